@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, url_filter
+from . import chat, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_simhash": simhash.op2_simhash,
     "op3_chat": chat.op3_chat,
 }
 
