@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, simhash, url_filter
+from . import chat, decontaminate, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
     "op3_chat": chat.op3_chat,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
 }
 
 ORACLE = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_chat": chat.OP3_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
 }
