@@ -143,9 +143,10 @@ def start(weight: np.ndarray, need: np.ndarray, room: int) -> np.ndarray:
             column[k] = n
             free -= n * weight[k]
         held = np.flatnonzero(column)
-        times = (left[held] / column[held]).min()
-        left[held] -= times * column[held]
-        k = held[(left[held] / need[held]).argmin()]
+        ratio = left[held] / column[held]
+        k = held[ratio.argmin()]
+        left[held] -= ratio.min() * column[held]
+        left[k] = 0
         basis[:, k], alive[k] = column, False
     return basis
 
