@@ -165,8 +165,10 @@ def patterns(demand: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tu
         if price @ column <= 1 + 1e-9:
             break
         step = inverse @ column
-        ratio = np.where(step > 1e-12, amount / np.where(step > 1e-12, step, 1), np.inf)
-        out = int(ratio.argmin())
+        ratio = np.where(step > 1e-7, amount / np.where(step > 1e-7, step, 1), np.inf)
+        if not np.isfinite(ratio.min()):
+            break
+        out = int(np.where(ratio <= ratio.min() + 1e-9, step, 0).argmax())  # of tied rows the largest pivot
         basis[:, out] = column
         if k % 40 == 39:
             inverse = np.linalg.inv(basis)
