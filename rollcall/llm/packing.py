@@ -32,7 +32,7 @@ from .common import checkpointed, small_batches, table
 
 SIZE, STEP, END_ID = 4096, 16, 2
 ROUNDS = 400
-CACHED, CHARS = 300_000, 40
+CACHED, CHARS = 1_000_000, 40
 BREAK = "<|endoftext|>"
 
 
@@ -40,7 +40,8 @@ class Ids:
     """Token ids as little-endian 32-bit bytes, with a cache of space-delimited chunks.
 
     The tokenizer never joins characters across a space or a line feed, so a text's
-    ids are its chunks' ids in turn. Chunks not known yet are encoded in one call
+    ids are its chunks' ids in turn; the same holds for letters and the stops behind
+    them, and case is folded first. Chunks not known yet are encoded in one call
     each batch, parted by a special token. The cache is emptied when full and
     changes no result.
     """
@@ -53,29 +54,46 @@ class Ids:
         self.known: dict[str, bytes] = {"": b""}
         self.stop = self.tok.token_to_id(BREAK)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        plain = [c for c in chunks if "<|" not in c]
-        out = {c: np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks if "<|" in c}
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds the chunks' ids. Words of Latin-1 letters go by their lower case and their trailing stops apart, as the tokenizer itself takes them."""
+        known, whole, parted = self.known, set(), []
+        for c in chunks:
+            stem = c.rstrip(".,")
+            if stem.isalpha() and max(stem) <= "\xff":
+                low = stem.lower()
+                if low != c:
+                    parted.append((c, low, c[len(stem) :]))
+                    c = c[len(stem) :]
+                    if c not in known:
+                        whole.add(c)
+                    c = low
+            if c not in known:
+                whole.add(c)
+        for c in [c for c in whole if "<|" in c]:
+            known[c] = np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            whole.discard(c)
+        plain = list(whole)
         for i in range(0, len(plain), 512):
             part = plain[i : i + 512]
             ids = np.array(self.tok.encode_batch_fast([BREAK.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.stop) * 4
-            raw, starts, ends = ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(ids) * 4]
-            out.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-        return out
+            cuts = (np.flatnonzero(ids == self.stop) * 4).tolist()
+            raw = ids.tobytes()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
+        for c, low, stops in parted:
+            known[c] = known[low] + known[stops]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         every = set().union(*split)
         if len(self.known) + len(every - self.known.keys()) > CACHED:
             self.known = {"": b""}
-        self.known.update(self._learn(list(every - self.known.keys())))
+        self._learn(list(every - self.known.keys()))
         get = self.known.__getitem__
         for chunks in split:
             yield b"".join(map(get, chunks))
         for c in every:
             if len(c) > CHARS:
-                del self.known[c]
+                self.known.pop(c, None)
 
 
 _ids: dict[str, Ids] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, simhash, url_filter
+from . import chat, decontaminate, packing, pii, quality, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_pii": pii.op6_pii,
     "op7_packing": packing.op7_packing,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLE = {
