@@ -52,36 +52,50 @@ class Ids:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.stop = self.tok.token_to_id(BREAK)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.breaks, self.closes = np.zeros((2, max(vocabulary.values()) + 1), bool)
+        self.breaks[self.tok.token_to_id(BREAK)] = True
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds the chunks' ids. Words of Latin-1 letters go by their lower case and their trailing stops apart, as the tokenizer itself takes them."""
-        known, whole, parted = self.known, set(), []
+        known, words, others, parted = self.known, set(), set(), []
         for c in chunks:
             stem = c.rstrip(".,")
-            if stem.isalpha() and max(stem) <= "\xff":
+            if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
                 low = stem.lower()
+                if low not in known:
+                    words.add(low)
                 if low != c:
-                    parted.append((c, low, c[len(stem) :]))
-                    c = c[len(stem) :]
-                    if c not in known:
-                        whole.add(c)
-                    c = low
-            if c not in known:
-                whole.add(c)
-        for c in [c for c in whole if "<|" in c]:
+                    stops = c[len(stem) :]
+                    parted.append((c, low, stops))
+                    if stops not in known:
+                        others.add(stops)
+            else:
+                others.add(c)
+        # each word of letters ends in one token that closes a word
+        words = list(words)
+        for i in range(0, len(words), 512):
+            self._keep(words[i : i + 512], " ", self.closes, 4, 4)
+        for c in [c for c in others if "<|" in c]:
             known[c] = np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-            whole.discard(c)
-        plain = list(whole)
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(self.tok.encode_batch_fast([BREAK.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(ids == self.stop) * 4).tolist()
-            raw = ids.tobytes()
-            known.update(zip(part, [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)], strict=True))
+            others.discard(c)
+        others = list(others)
+        for i in range(0, len(others), 512):
+            self._keep(others[i : i + 512], BREAK, self.breaks, 0, 4)
         for c, low, stops in parted:
             known[c] = known[low] + known[stops]
 
+    def _keep(self, part: list[str], between: str, parts: np.ndarray, end: int, start: int) -> None:
+        """Encodes the chunks together; ``parts`` tells which ids part them, of which a chunk holds the bytes up to ``end``."""
+        ids = np.array(self.tok.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(parts[ids]) * 4
+        raw, ends = ids.tobytes(), (cuts + end).tolist()
+        if not end:
+            ends.append(len(raw))
+        starts = [0, *(cuts + start).tolist()][: len(ends)]
+        self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         every = set().union(*split)
