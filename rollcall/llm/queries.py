@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, simhash, url_filter
+from . import chat, decontaminate, media, packing, pii, quality, simhash, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_simhash": simhash.op2_simhash,
     "op3_chat": chat.op3_chat,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_media": media.op5_media,
     "op6_pii": pii.op6_pii,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
