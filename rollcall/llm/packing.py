@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,10 @@ class Ids:
                 self.known.pop(c, None)
 
 
-_ids: dict[str, Ids] = {}
+@lru_cache(1)
+def ids_of(tokenizer: str) -> Ids:
+    """One for all tasks of a Python worker; found through the module, as globals of a task's closure are copies."""
+    return Ids(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -119,9 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ids:
-            _ids[tokenizer] = Ids(tokenizer)
-        ids = _ids[tokenizer]
+        ids = ids_of(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
