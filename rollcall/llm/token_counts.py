@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,10 @@ class Counter:
                 del self.counts[w]
 
 
-_counters: dict[str, Counter] = {}
+@lru_cache(1)
+def counter_of(model: str) -> Counter:
+    """One for all tasks of a Python worker; found through the module, as globals of a task's closure are copies."""
+    return Counter(load(model))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,12 +109,11 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _counters:
-            _counters[model] = Counter(load(model))
+        counter = counter_of(model)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                got = list(_counters[model](b.column(1).to_pylist()))
+                got = list(counter(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], ["id", "n_words", "n_tokens"])
 
     small_batches(docs.sparkSession)
