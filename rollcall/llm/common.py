@@ -19,16 +19,20 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder named by spark.checkpoint.dir.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir, by its full path.
 
     Only where that setting is absent (local tests) is a temporary folder taken.
     """
-    spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="rollcall-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollcall-"))
+    return jsc.getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

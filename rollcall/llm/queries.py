@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, media, packing, pii, quality, simhash, token_counts, url_filter
+from . import chat, decontaminate, lm, media, packing, pii, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op7_packing": packing.op7_packing,
     "op8_quality": quality.op8_quality,
+    "op9_lm": lm.op9_lm,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
