@@ -134,12 +134,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.float64())), pa.array([sorted(w) for _, w in got], pa.list_(pa.binary())), b.column(1)], ["form", "words", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.float64())), pa.array([b" ".join(sorted(w)) for _, w in got], pa.binary()), b.column(1)], ["form", "words", "good"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(id_col, F.col(text_col)).join(F.broadcast(chosen), id_col).select(text_col, "good").mapInArrow(run, "form array<double>, words array<binary>, good int").limit(4 * sample)
-    one = {}
-    return fit(sorted((list(r.form), [one.setdefault(w, w) for w in map(bytes, r.words)], r.good) for r in rows.toLocalIterator()))
+    rows = docs.select(id_col, F.col(text_col)).join(F.broadcast(chosen), id_col).select(text_col, "good").mapInArrow(run, "form array<double>, words binary, good int").limit(4 * sample).toArrow()
+    one: dict[bytes, bytes] = {}  # one copy of each word
+    cols = (rows[c].to_pylist() for c in ("form", "words", "good"))
+    return fit(sorted((f, [one.setdefault(w, w) for w in ws.split()], g) for f, ws, g in zip(*cols, strict=True)))
 
 
 def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
