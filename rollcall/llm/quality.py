@@ -57,7 +57,6 @@ def features(text: str | None) -> tuple[list[float], set[bytes]]:
     low = raw.translate(_LETTERS).split()
     share = lambda kind: (len(raw) - len(raw.translate(None, kind))) / size
     form = [
-        math.log1p(len(chunks)),
         share(_SYMBOLS),
         share(_UPPER),
         share(_DIGITS),
