@@ -33,10 +33,19 @@ from .common import checkpointed, small_batches, table
 
 SIZE, STEP, END_ID = 4096, 16, 2
 ROUNDS = 400
-CACHED, CHARS = 1_000_000, 40
+CACHED, CHARS = 1_500_000, 40
 BREAK = "<|endoftext|>"
 
 
+def folded(text: str) -> str:
+    """Lower case where that is surely the tokenizer's own: Latin-1 without special tokens."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 class Ids:
     """Token ids as little-endian 32-bit bytes, with a cache of space-delimited chunks.
 
@@ -59,21 +68,20 @@ class Ids:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
-        """Adds the chunks' ids. Words of Latin-1 letters go by their lower case and their trailing stops apart, as the tokenizer itself takes them."""
+        """Adds the chunks' ids. Words of small Latin-1 letters go without their trailing stops, which the tokenizer itself takes apart."""
         known, words, others, parted = self.known, set(), set(), []
         for c in chunks:
             stem = c.rstrip(".,")
-            if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
-                low = stem.lower()
-                if low not in known:
-                    words.add(low)
-                if low != c:
-                    stops = c[len(stem) :]
-                    parted.append((c, low, stops))
-                    if stops not in known:
-                        others.add(stops)
-            else:
+            if not stem.isalpha() or stem != stem.lower() or not (stem.isascii() or max(stem) <= "\xff"):
                 others.add(c)
+                continue
+            if stem not in known:
+                words.add(stem)
+            if stem is not c:
+                stops = c[len(stem) :]
+                parted.append((c, stem, stops))
+                if stops not in known:
+                    others.add(stops)
         # each word of letters ends in one token that closes a word
         words = list(words)
         for i in range(0, len(words), 512):
@@ -98,11 +106,13 @@ class Ids:
         self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [folded(t or "").replace("\n", " ").split(" ") for t in texts]
         every = set().union(*split)
-        if len(self.known) + len(every - self.known.keys()) > CACHED:
+        new = [c for c in every if c not in self.known]  # a set difference would walk the whole cache
+        if len(self.known) + len(new) > CACHED:
             self.known = {"": b""}
-        self._learn(list(every - self.known.keys()))
+            new = [c for c in every if c]
+        self._learn(new)
         get = self.known.__getitem__
         for chunks in split:
             yield b"".join(map(get, chunks))
