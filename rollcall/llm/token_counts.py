@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 MARK = "▁"
-CACHED, KEPT_BYTES = 600_000, 64
+CACHED, KEPT_BYTES = 1_500_000, 64
 
 
 @dataclass
@@ -60,7 +60,7 @@ class Counter:
     def __init__(self, pieces: Pieces):
         self.pieces, self.counts = pieces, {}
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         score, longest, byte = self.pieces.score.get, self.pieces.longest, self.pieces.byte
         counts, before = self.counts, ""
         best, used = [0.0], [0]  # by depth on the path
@@ -88,9 +88,11 @@ class Counter:
         """(words, tokens) of each text."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
         every = set().union(*split)
-        if len(self.counts) + len(every - self.counts.keys()) > CACHED:
+        new = [w for w in every if w not in self.counts]  # a set difference would walk the whole cache
+        if len(self.counts) + len(new) > CACHED:
             self.counts.clear()
-        self.learn(every - self.counts.keys())
+            new = list(every)
+        self.learn(new)
         for ws in split:
             yield len(ws), sum(map(self.counts.__getitem__, ws))
         for w in every:
