@@ -23,6 +23,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import checkpointed, small_batches, table
 
 SIZE, STEP, END_ID = 4096, 16, 2
 ROUNDS = 400
-CACHED, CHARS = 1_500_000, 40
+CACHED, CHARS = 800_000, 40
 BREAK = "<|endoftext|>"
 
 
@@ -50,7 +51,7 @@ class Ids:
     """Token ids as little-endian 32-bit bytes, with a cache of space-delimited chunks.
 
     The tokenizer never joins characters across a space or a line feed, so a text's
-    ids are its chunks' ids in turn; the same holds for letters and the stops behind
+    ids are its chunks' ids in turn; the same holds for letters and the signs behind
     them, and case is folded first. Chunks not known yet are encoded in one call
     each batch, parted by a special token. The cache is emptied when full and
     changes no result.
@@ -68,20 +69,20 @@ class Ids:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _learn(self, chunks: list[str]) -> None:
-        """Adds the chunks' ids. Words of small Latin-1 letters go without their trailing stops, which the tokenizer itself takes apart."""
+        """Adds the chunks' ids. Words of small Latin-1 letters go without the signs behind them, which the tokenizer itself takes apart."""
         known, words, others, parted = self.known, set(), set(), []
         for c in chunks:
-            stem = c.rstrip(".,")
+            stem = c.rstrip(punctuation)
             if not stem.isalpha() or stem != stem.lower() or not (stem.isascii() or max(stem) <= "\xff"):
                 others.add(c)
                 continue
             if stem not in known:
                 words.add(stem)
             if stem is not c:
-                stops = c[len(stem) :]
-                parted.append((c, stem, stops))
-                if stops not in known:
-                    others.add(stops)
+                signs = c[len(stem) :]
+                parted.append((c, stem, signs))
+                if signs not in known:
+                    others.add(signs)
         # each word of letters ends in one token that closes a word
         words = list(words)
         for i in range(0, len(words), 512):
@@ -92,8 +93,8 @@ class Ids:
         others = list(others)
         for i in range(0, len(others), 512):
             self._keep(others[i : i + 512], BREAK, self.breaks, 0, 4)
-        for c, low, stops in parted:
-            known[c] = known[low] + known[stops]
+        for c, low, signs in parted:
+            known[c] = known[low] + known[signs]
 
     def _keep(self, part: list[str], between: str, parts: np.ndarray, end: int, start: int) -> None:
         """Encodes the chunks together; ``parts`` tells which ids part them, of which a chunk holds the bytes up to ``end``."""
