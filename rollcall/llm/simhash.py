@@ -214,7 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = labels.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
     members = labels.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots)
     lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    # checkpointed, so that both sides of the last join are plain exchanges and AQE can split a fingerprint of many copies
     of_fp = distinct.join(members.join(lowest, "root").select("fp", "root", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    of_fp = checkpointed(of_fp)
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), text("fp").alias("fingerprint"), "component_id", text("root").alias("component"))
 
@@ -230,8 +232,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows_of = near.groupBy(key).agg(F.count("*").alias("__n"))
     first = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col("fingerprint"), key)).alias("r"))
     chosen = first.select("r.__k", F.col("r.fingerprint").alias("__f")).join(rows_of, "__k")
+    chosen = checkpointed(chosen)
     rows = docs.withColumn("__k", key)
     once = rows.join(chosen.where("__n = 1").select("__k"), "__k", "left_semi").drop("__k")
+    if not chosen.where("__n > 1").limit(1).count():  # ids don't repeat, as they shouldn't
+        return once
     again = rows.join(chosen.where("__n > 1").select("__k").distinct(), "__k", "left_semi")
     fp = F.pandas_udf(lambda t: t.map(lambda x: f"{fingerprint(x) % 2**64:016x}"), "string")
     again = again.withColumn("__f", fp(F.coalesce(text_col, F.lit("")))).join(chosen.select("__k", "__f"), ["__k", "__f"], "left_semi")
