@@ -23,6 +23,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from string import punctuation
 
 import numpy as np
@@ -34,7 +35,7 @@ from .common import checkpointed, small_batches, table
 
 SIZE, STEP, END_ID = 4096, 16, 2
 ROUNDS = 400
-CACHED, CHARS = 800_000, 40
+CACHED, LEFT, CHARS = 800_000, 150_000, 40
 BREAK = "<|endoftext|>"
 
 
@@ -122,6 +123,12 @@ class Ids:
                 self.known.pop(c, None)
 
 
+    def trim(self) -> None:
+        """Leaves what was learned first, which is what is frequent: idle Python workers hold little."""
+        if len(self.known) > LEFT:
+            self.known = dict(islice(self.known.items(), LEFT))
+
+
 @lru_cache(1)
 def ids_of(tokenizer: str) -> Ids:
     """One for all tasks of a Python worker; found through the module, as globals of a task's closure are copies."""
@@ -147,6 +154,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         crc.append(zlib.crc32(raw[a * 4 : (a + size) * 4]))
                 cols = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids.trim()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")

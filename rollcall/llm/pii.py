@@ -40,7 +40,7 @@ from .common import checkpointed, small_batches, table
 
 SUPPORT, DISCLOSURE, TERM_BYTES = 4, 0.9, 4
 #: Terms a task holds before it hands its counts on.
-HELD = 400_000
+HELD = 250_000
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")

@@ -24,6 +24,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 MARK = "▁"
-CACHED, KEPT_BYTES = 1_500_000, 64
+CACHED, LEFT, KEPT_BYTES = 1_000_000, 200_000, 64
 
 
 @dataclass
@@ -100,6 +101,12 @@ class Counter:
                 del self.counts[w]
 
 
+    def trim(self) -> None:
+        """Leaves what was learned first, which is what is frequent: idle Python workers hold little."""
+        if len(self.counts) > LEFT:
+            self.counts = dict(islice(self.counts.items(), LEFT))
+
+
 @lru_cache(1)
 def counter_of(model: str) -> Counter:
     """One for all tasks of a Python worker; found through the module, as globals of a task's closure are copies."""
@@ -117,6 +124,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 b = whole.slice(at, 1000)
                 got = list(counter(b.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], ["id", "n_words", "n_tokens"])
+        counter.trim()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
