@@ -30,9 +30,16 @@ def scratch(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    scratch(df.sparkSession)
+def checkpointed(df: DataFrame, thin: bool = False) -> DataFrame:
+    """Cut the lineage in the shared folder.
+
+    ``thin`` tables (a few numbers for a document or less) take an eighth of the
+    shuffle's partitions, which are sized for texts: fewer, larger files.
+    """
+    spark = df.sparkSession
+    scratch(spark)
+    if thin:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     return df.checkpoint(eager=True)
 
 

@@ -39,9 +39,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = checkpointed(e)
+    e = checkpointed(e, thin=True)
     for _ in range(rounds):
         if _is_forest_of_stars(e):
             return e
-        e = checkpointed(_small_star(_large_star(e)))
+        e = checkpointed(_small_star(_large_star(e)), thin=True)
     raise RuntimeError(f"components not settled after {rounds} rounds")

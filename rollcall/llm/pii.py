@@ -225,7 +225,7 @@ BROADCAST_ROWS = 20_000
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with each span generalised to its kind in brackets; ``size_col``, if there, follows."""
     base = checkpointed(found(docs, id_col, text_col))
-    terms = checkpointed(revealing(docs, base, text_col, support, disclosure))
+    terms = checkpointed(revealing(docs, base, text_col, support, disclosure), thin=True)
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     names = docs.columns
     at = names.index(text_col)

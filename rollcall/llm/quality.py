@@ -176,7 +176,7 @@ def posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFra
     """(host, path, host_posterior, path_posterior) and the global mean, from ``__p`` of all rows."""
     null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     paths = scored.select(null(host_col).alias("host"), null(path_col).alias("path"), "__p").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("__p", 9).cast("decimal(18,9)")).cast("double").alias("s"))
-    paths = checkpointed(paths)
+    paths = checkpointed(paths, thin=True)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total.s / total.n, 1e-6), 1 - 1e-6) if total.n else 0.5

@@ -198,7 +198,7 @@ def link(fps: DataFrame, dense: int = DENSE, hot: int = HOT) -> DataFrame:
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks())))
     keyed = fps.select("fp", F.explode(tables).alias("k")).select("k.t", "k.key", "fp")
     dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key")
-    edges = checkpointed(dealt.mapInArrow(_bucket_edges(dense, hot), "u long, v long, hot boolean").distinct())
+    edges = checkpointed(dealt.mapInArrow(_bucket_edges(dense, hot), "u long, v long, hot boolean").distinct(), thin=True)
     plain = edges.where("not hot").select("u", "v")
     crowd = edges.where("hot").select("u").distinct()
     if crowd.limit(1).count():
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     # checkpointed, so that both sides of the last join are plain exchanges and AQE can split a fingerprint of many copies
     of_fp = distinct.join(members.join(lowest, "root").select("fp", "root", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    of_fp = checkpointed(of_fp)
+    of_fp = checkpointed(of_fp, thin=True)
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), text("fp").alias("fingerprint"), "component_id", text("root").alias("component"))
 
@@ -232,7 +232,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows_of = near.groupBy(key).agg(F.count("*").alias("__n"))
     first = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col("fingerprint"), key)).alias("r"))
     chosen = first.select("r.__k", F.col("r.fingerprint").alias("__f")).join(rows_of, "__k")
-    chosen = checkpointed(chosen)
+    chosen = checkpointed(chosen, thin=True)
     rows = docs.withColumn("__k", key)
     once = rows.join(chosen.where("__n = 1").select("__k"), "__k", "left_semi").drop("__k")
     if not chosen.where("__n > 1").limit(1).count():  # ids don't repeat, as they shouldn't
