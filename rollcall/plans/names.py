@@ -443,6 +443,20 @@ def html_items(spark, d):
 
 SQL["html_items"] = r"WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS l FROM pages), y AS (SELECT page_id, unnest(l) AS item, unnest(range(0, len(l))) AS n FROM x) SELECT page_id, CAST(n AS INTEGER) AS n, trim(regexp_replace(item, '<[^>]+>', '', 'g')) AS item FROM y"
 
+
+
+@query
+def html_udtf(spark, d):
+    """Headings of each page by the table function over the parsed tree."""
+    from ..sources.documents import register_items
+
+    register_items(spark, "rollcall_html_elements")
+    read(spark, d, "pages").select("page_id", "html").createOrReplaceTempView("rollcall_pages")
+    return spark.sql("SELECT page_id, e.n, e.item FROM rollcall_pages, LATERAL rollcall_html_elements(html, 'h1') e")
+
+
+SQL["html_udtf"] = r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages), y AS (SELECT page_id, unnest(l) AS item, unnest(range(0, len(l))) AS n FROM x) SELECT page_id, CAST(n AS INTEGER) AS n, replace(replace(replace(replace(trim(regexp_replace(item, '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS item FROM y"""
+
 NAME = r"^[A-Z][\w.'-]*( [A-Z][\w.'-]*){1,3}$"
 
 
