@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes.
 
-1. A logistic regression over word presence and binned form features (symbols,
+1. A logistic regression over the presence of words and stems and binned form features (symbols,
    capitals, digits, repeats, ...) gives each document the evidence p that it is
    good (quality 1 and not toxic). It is fitted on a bounded sample of labelled
    rows: the ``SAMPLE`` with the least hash of their id.
@@ -26,6 +26,7 @@ by :func:`filtered`.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import checkpointed, small_batches, table
 
-SAMPLE, VOCABULARY, BINS, CERTAIN = 8000, 600, 8, 3.0
+SAMPLE, VOCABULARY, BINS, CERTAIN, STEM = 12_000, 3000, 8, 3.0, 5
 BROADCAST_ROWS = 20_000
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
@@ -48,7 +49,7 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 els
 
 
 def features(text: str | None) -> tuple[list[float], set[bytes]]:
-    """(form features, distinct words of letters)."""
+    """(form features, distinct words of letters and their stems: the first bytes)."""
     raw = (text or "").encode("utf-8", "replace")
     size = max(len(raw), 1)
     chunks = raw.split()
@@ -67,7 +68,8 @@ def features(text: str | None) -> tuple[list[float], set[bytes]]:
         raw.count(b"!") / n,
         raw.count(b"|") / n,
     ]
-    return form, set(low)
+    own = set(low)
+    return form, own | {w[:STEM] + b"-" for w in own if len(w) > STEM}
 
 
 @dataclass
@@ -87,9 +89,20 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(rows: list[tuple[list[float], list[bytes], int]], rounds: int = 400, ridge: float = 2e-4) -> Model:
+def distinct(rows: list[tuple[list[float], list[bytes], int]]) -> list[tuple[list[float], list[bytes], int]]:
+    """One row of those that share their two least word hashes and their label: copies of one text are one piece of evidence."""
+    seen, out = set(), []
+    for row in rows:
+        key = (*sorted(zlib.crc32(w) for w in row[1] if len(w) > STEM and w[-1:] != b"-")[:2], row[2])
+        if len(key) < 3 or key not in seen:
+            seen.add(key)
+            out.append(row)
+    return out
+
+
+def fit(rows: list[tuple[list[float], list[bytes], int]], rounds: int = 500, ridge: float = 2e-5) -> Model:
     """Logistic regression on (form, words, good) rows by accelerated gradient steps."""
-    y = np.array([g for *_, g in rows], np.float32)
+    y = np.array([g for *_, g in rows], np.float64)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 1.0, 1e-6), 1 - 1e-6)
         return Model(math.log(share / (1 - share)))
@@ -103,25 +116,27 @@ def fit(rows: list[tuple[list[float], list[bytes], int]], rounds: int = 400, rid
         a, b = good[w] + 0.5, bad[w] + 0.5
         return abs(math.log(a / (ng + 1)) - math.log(b / (nb + 1))) / math.sqrt(1 / a + 1 / b)
 
-    words = sorted((w for w in good.keys() | bad.keys() if weight(w) >= CERTAIN), key=lambda w: (-weight(w), w))[:VOCABULARY]
+    words = sorted((w for w in good.keys() | bad.keys() if good[w] + bad[w] >= 5 and weight(w) >= CERTAIN), key=lambda w: (-weight(w), w))[:VOCABULARY]
     index = {w: i for i, w in enumerate(words)}
     forms = np.array([f for f, *_ in rows])
     edges = [np.unique(np.quantile(forms[:, j], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for j in range(forms.shape[1])]
-    x = np.zeros((len(rows), len(words) + sum(len(e) + 1 for e in edges) + 1), np.float32)
-    x[:, -1] = 1
-    for i, (_, own, _g) in enumerate(rows):
-        x[i, [index[w] for w in own if w in index]] = 1
-    at, places = len(words), []
+    at, places, fixed = len(words), [], []
     for j, e in enumerate(edges):
-        x[np.arange(len(rows)), at + np.searchsorted(e, forms[:, j])] = 1
+        fixed.append(at + np.searchsorted(e, forms[:, j]))
         places.append((at, at + len(e) + 1))
         at += len(e) + 1
-    theta = look = np.zeros(x.shape[1], np.float32)
-    step = np.float32(4 / np.square(x).sum(axis=1).mean())
+    fixed.append(np.full(len(rows), at))
+    # the rows' features, one after the other: each row has at least its bins and the constant
+    own = [[index[w] for w in ws if w in index] for _, ws, _ in rows]
+    cols = np.concatenate([np.array([*o, *f]) for o, f in zip(own, np.stack(fixed, axis=1), strict=True)]).astype(np.int64)
+    sizes = np.array([len(o) + len(fixed) for o in own])
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
+    theta = look = np.zeros(at + 1)
+    step = 4 / sizes.mean()
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ look, -30, 30)))
-        new = look - step * (x.T @ (p - y) / len(rows) + ridge * look)
-        look = new + np.float32(k / (k + 3)) * (new - theta)
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(look[cols], starts), -30, 30)))
+        new = look - step * (np.bincount(cols, (p - y)[of], at + 1) / len(rows) + ridge * look)
+        look = new + k / (k + 3) * (new - theta)
         theta = new
     return Model(float(theta[-1]), {w: float(theta[i]) for w, i in index.items()}, edges, [theta[a:z].tolist() for a, z in places])
 
@@ -139,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(id_col, F.col(text_col)).join(F.broadcast(chosen), id_col).select(text_col, "good").mapInArrow(run, "form array<double>, words binary, good int").limit(4 * sample).toArrow()
     one: dict[bytes, bytes] = {}  # one copy of each word
     cols = (rows[c].to_pylist() for c in ("form", "words", "good"))
-    return fit(sorted((f, [one.setdefault(w, w) for w in ws.split()], g) for f, ws, g in zip(*cols, strict=True)))
+    return fit(distinct(sorted((f, [one.setdefault(w, w) for w in ws.split()], g) for f, ws, g in zip(*cols, strict=True))))
 
 
 def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
