@@ -13,6 +13,7 @@ import re
 from .credits import Output, Rules, clean
 
 MARKER = "/*__SCRIPT__*/"
+#: How the compiled script spells strings, tiers, titles, paragraphs and rosters.
 _STRING = r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
 _VALUE = rf"(?:\w+\(\s*(?P<{{0}}key>{_STRING})\s*\)|(?P<{{0}}lit>{_STRING}))"
 _TIER_KEY = "credits.block-titles."
