@@ -89,35 +89,44 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def distinct(rows: list[tuple[list[float], list[bytes], int]]) -> list[tuple[list[float], list[bytes], int]]:
+Row = tuple[list[float], bytes, int]  # form features, distinct words and stems joined by spaces, good
+
+
+def distinct(rows: list[Row]) -> list[Row]:
     """One row of those that share their two least word hashes and their label: copies of one text are one piece of evidence."""
     seen, out = set(), []
     for row in rows:
-        key = (*sorted(zlib.crc32(w) for w in row[1] if len(w) > STEM and w[-1:] != b"-")[:2], row[2])
+        key = (*sorted(zlib.crc32(w) for w in row[1].split() if len(w) > STEM and w[-1:] != b"-")[:2], row[2])
         if len(key) < 3 or key not in seen:
             seen.add(key)
             out.append(row)
     return out
 
 
-def fit(rows: list[tuple[list[float], list[bytes], int]], rounds: int = 500, ridge: float = 2e-5) -> Model:
-    """Logistic regression on (form, words, good) rows by accelerated gradient steps."""
+def fit(rows: list[Row], rounds: int = 500, ridge: float = 2e-5) -> Model:
+    """Logistic regression by accelerated gradient steps; words are counted by hash, so the driver holds four bytes each."""
     y = np.array([g for *_, g in rows], np.float64)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 1.0, 1e-6), 1 - 1e-6)
         return Model(math.log(share / (1 - share)))
-    good, bad = Counter(), Counter()
-    for _, words, g in rows:
-        (good if g else bad).update(words)
-    ng, nb = float(y.sum()), float(len(y) - y.sum())
-
-    def weight(w: bytes) -> float:
-        """How many standard errors the word's log-odds are from zero."""
-        a, b = good[w] + 0.5, bad[w] + 0.5
-        return abs(math.log(a / (ng + 1)) - math.log(b / (nb + 1))) / math.sqrt(1 / a + 1 / b)
-
-    words = sorted((w for w in good.keys() | bad.keys() if good[w] + bad[w] >= 5 and weight(w) >= CERTAIN), key=lambda w: (-weight(w), w))[:VOCABULARY]
-    index = {w: i for i, w in enumerate(words)}
+    hashed = [np.array([zlib.crc32(w) for w in ws.split()], np.uint32) for _, ws, _ in rows]
+    every, at = np.unique(np.concatenate(hashed), return_inverse=True)
+    total = np.bincount(at, minlength=len(every)) + 1.0
+    a = np.bincount(at[np.repeat(y > 0, list(map(len, hashed)))], minlength=len(every)) + 0.5
+    del at
+    b = total - a
+    # how many standard errors a word's log-odds are from zero
+    z = abs(np.log(a / (y.sum() + 1)) - np.log(b / (len(y) - y.sum() + 1))) / np.sqrt(1 / a + 1 / b)
+    some = np.flatnonzero((total >= 6) & (z >= CERTAIN))
+    chosen = np.sort(every[some[np.lexsort((every[some], -z[some]))[:VOCABULARY]]])
+    index, own = {}, []
+    for (_, ws, _), h in zip(rows, hashed, strict=True):
+        i = np.minimum(np.searchsorted(chosen, h), max(len(chosen) - 1, 0))
+        hit = np.flatnonzero(chosen[i] == h) if len(chosen) and len(h) else np.empty(0, int)
+        own.append(i[hit])
+        split = ws.split() if len(hit) else []
+        index.update((split[k], int(i[k])) for k in hit.tolist())
+    words = chosen
     forms = np.array([f for f, *_ in rows])
     edges = [np.unique(np.quantile(forms[:, j], np.linspace(0, 1, BINS + 1)[1:-1])).tolist() for j in range(forms.shape[1])]
     at, places, fixed = len(words), [], []
@@ -127,8 +136,7 @@ def fit(rows: list[tuple[list[float], list[bytes], int]], rounds: int = 500, rid
         at += len(e) + 1
     fixed.append(np.full(len(rows), at))
     # the rows' features, one after the other: each row has at least its bins and the constant
-    own = [[index[w] for w in ws if w in index] for _, ws, _ in rows]
-    cols = np.concatenate([np.array([*o, *f]) for o, f in zip(own, np.stack(fixed, axis=1), strict=True)]).astype(np.int64)
+    cols = np.concatenate([np.concatenate((o, f)) for o, f in zip(own, np.stack(fixed, axis=1), strict=True)]).astype(np.int64)
     sizes = np.array([len(o) + len(fixed) for o in own])
     starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
     theta = look = np.zeros(at + 1)
@@ -152,9 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     small_batches(docs.sparkSession)
     rows = docs.select(id_col, F.col(text_col)).join(F.broadcast(chosen), id_col).select(text_col, "good").mapInArrow(run, "form array<double>, words binary, good int").limit(4 * sample).toArrow()
-    one: dict[bytes, bytes] = {}  # one copy of each word
     cols = (rows[c].to_pylist() for c in ("form", "words", "good"))
-    return fit(distinct(sorted((f, [one.setdefault(w, w) for w in ws.split()], g) for f, ws, g in zip(*cols, strict=True))))
+    return fit(distinct(sorted(zip(*cols, strict=True))))
 
 
 def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
