@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, table, words
 
-BLOCK = 2_000_000
+BLOCK = 1_300_000
 #: Tokens for each part of the count tables; at least LEAST parts.
-PART, LEAST = 5_000_000, 8
+PART, LEAST = 4_000_000, 8
 CUTOFF, FOLDS, HELD_OUT = 5, 7, 2
 END, START = b" end", b" start"  # with a space: never words
 
