@@ -40,7 +40,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import checkpointed, small_batches, table
 
-SAMPLE, VOCABULARY, BINS, CERTAIN, STEM = 12_000, 3000, 8, 3.0, 5
+SAMPLE, VOCABULARY, BINS, CERTAIN, STEM = 9_000, 3000, 8, 3.0, 5
 BROADCAST_ROWS = 20_000
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
