@@ -72,9 +72,11 @@ def rank(cls: Column) -> Column:
 
 def votes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows(keys, cls, prov): the class of highest priority, unspecified only if nothing else; a class stated once is stated."""
-    per = rows.groupBy(*keys, "cls").agg(F.max(F.col("prov") == STATED).alias("stated"))
-    best = per.groupBy(*keys).agg(F.min_by(F.struct("cls", "stated"), rank(F.col("cls"))).alias("b"))
-    return best.select(*keys, F.col("b.cls").alias("cls"), F.when(F.col("b.stated"), STATED).otherwise(INFERRED).alias("prov"))
+    # twice the rank, plus one if inferred: the least number is the winner and says whether it was ever stated
+    code = rank(F.col("cls")) * 2 + (F.col("prov") != STATED).cast("int")
+    best = rows.groupBy(*keys).agg(F.min(code).alias("__c"))
+    cls = F.element_at(F.array(*map(F.lit, PRIORITY)), F.floor(F.col("__c") / 2).cast("int"))
+    return best.select(*keys, cls.alias("cls"), F.when(F.col("__c") % 2 == 0, STATED).otherwise(INFERRED).alias("prov"))
 
 
 def column_fold(per_release: DataFrame, columns: DataFrame, key: str, release: str) -> DataFrame:
