@@ -10,11 +10,13 @@ Base spans, leftmost and non-overlapping within each kind:
 Each distinct value found is a protected entity e. Over all documents, c(e) and
 c(t) count those that hold e and term t, c(e, t) those that hold both, N all. A
 term discloses PMI(e; t) = log2(N c(e, t) / (c(e) c(t))) of the IC(e) =
-log2(N / c(e)) bits that e is worth. Where at least ``SUPPORT`` different texts
-hold both and PMI / IC is at least ``DISCLOSURE``, the term reveals e: in the
-documents that hold e it gets a span of kind ``term`` and :func:`sanitise`
-generalises it. An entity of fewer texts has no terms: one text alone says
-nothing about what goes with it.
+log2(N / c(e)) bits that e is worth. Where PMI / IC is at least ``DISCLOSURE``,
+the term reveals e: in the documents that hold e it gets a span of kind ``term``
+and :func:`sanitise` generalises it. Entities and pairs of any count are scored.
+Where only n < ``SUPPORT`` different texts hold both, PMI is shrunk: the share
+c(e, t) / c(t) of e among the documents of t counts as n texts against ``PRIOR``
+texts that hold e at its rate c(e) / N. So an entity of one text has for terms
+the words of no other text once a table has some 110 documents.
 
 Texts are scanned once; what is kept is thin, with the text itself only where an
 entity is. Each task sums its texts' terms before it hands them on, so a term in
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_batches, table
 
 SUPPORT, DISCLOSURE, TERM_BYTES = 4, 0.9, 4
-#: Terms a task holds before it hands its counts on.
+#: Weight of the base rate, in texts, against pairs of fewer than SUPPORT texts.
+PRIOR = 0.6
+#: Terms, or pairs of entity and term, that a task holds before it hands its counts on.
 HELD = 250_000
 KINDS = ("email", "ip", "card", "phone")
 
@@ -172,27 +176,48 @@ def revealing(docs: DataFrame, base: DataFrame, text_col: str = "text", support:
     total = max(base.count(), 1)
     holding = base.where("text is not null").groupBy("h").agg(F.count("*").alias("w"), F.first("text").alias("text"), F.first("entities").alias("entities"))
     held = holding.select("h", "w", F.explode("entities").alias("e"))
-    known = held.groupBy("e").agg(F.sum("w").alias("c_e"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    dirty = held.join(known, "e").select("h", "e")
-    texts = dirty.groupBy("h").agg(F.collect_list("e").alias("es")).join(holding.select("h", "w", "text"), "h")
+    known = held.groupBy("e").agg(F.sum("w").alias("c_e"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = Counter(), Counter()
+
+        def out():
+            cols = [e for e, _ in sums], [x for _, x in sums], list(sums.values()), list(n.values())
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e", "term", "w", "n"])
+            sums.clear(), n.clear()
+            return batch
+
         for b in batches:
-            sums, n = Counter(), Counter()
             for es, w, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 inside = [_long(x) for x in _terms(t)]
                 for e in es:
                     for x in inside:
                         sums[e, x] += w
                         n[e, x] += 1
-            cols = [e for e, _ in sums], [x for _, x in sums], list(sums.values()), list(n.values())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["e", "term", "w", "n"])
+                    if len(sums) > HELD:
+                        yield out()
+        yield out()
 
-    both = texts.select("es", "w", "text").mapInArrow(pairs, "e long, term long, w long, n long").groupBy("e", "term").agg(F.sum("w").alias("c_et"), F.sum("n").alias("texts_et")).where(F.col("texts_et") >= support)
-    scored = both.join(known, "e").join(term_counts(docs, text_col), "term")
-    pmi = F.log2(F.lit(float(total)) * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
+    both = holding.select("entities", "w", "text").mapInArrow(pairs, "e long, term long, w long, n long").repartition("term").groupBy("term", "e").agg(F.sum("w").alias("c_et"), F.sum("n").alias("texts_et"))
+    share, rate, n = F.col("c_et") / F.col("c_t"), F.col("c_e") / F.lit(float(total)), F.col("texts_et")
+    # no pair of a lesser share reveals: PMI >= d IC says share >= (c(e) / N)^(1 - d), and c(e) is 1 at least
+    close = both.join(term_counts(docs, text_col), "term").where(share >= 0.999 * total ** (disclosure - 1))
+    scored = close.join(known, "e")
+    shrunk = F.when(n >= support, share).otherwise((n * share + PRIOR * rate) / (n + PRIOR))
+    pmi = F.log2(shrunk / rate)
     reveals = scored.where(pmi >= disclosure * F.log2(F.lit(float(total)) / F.col("c_e"))).where(F.col("c_e") < total).select("e", "term")
-    return dirty.join(reveals, "e").groupBy("h").agg(F.collect_set("term").alias("terms"))
+    return held.select("h", "e").join(reveals, "e").groupBy("h").agg(F.collect_set("term").alias("terms"))
+
+
+#: Rows of (text hash, terms), and terms in them, up to which they are broadcast.
+BROADCAST_ROWS, BROADCAST_TERMS = 20_000, 1_000_000
+
+
+def _joinable(terms: DataFrame) -> DataFrame:
+    """Checkpointed, so that AQE can split a text of many copies in a join, or broadcast where they are few."""
+    terms = checkpointed(terms, thin=True)
+    rows, n = terms.agg(F.count("*"), F.coalesce(F.sum(F.size(terms.columns[1])), F.lit(0))).first()
+    return F.broadcast(terms) if rows <= BROADCAST_ROWS and n <= BROADCAST_TERMS else terms
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -210,7 +235,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
                     out[i] = _joined(sorted(both, key=lambda s: (s[1], (*KINDS, "term").index(s[0]))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "base", "spans"])
 
-    full = base.join(revealing(docs, base, text_col, support, disclosure), "h", "left").select("id", "base", "text", "terms")
+    full = base.join(_joinable(revealing(docs, base, text_col, support, disclosure)), "h", "left").select("id", "base", "text", "terms")
     return full.mapInArrow(run, f"id {kind}, base string, spans string").withColumnRenamed("id", id_col)
 
 
@@ -218,15 +243,10 @@ def _split(joined: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in joined.split(",") if s)]
 
 
-#: Rows of (text hash, terms) up to which :func:`sanitise` broadcasts them.
-BROADCAST_ROWS = 20_000
-
-
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with each span generalised to its kind in brackets; ``size_col``, if there, follows."""
     base = checkpointed(found(docs, id_col, text_col))
-    terms = checkpointed(revealing(docs, base, text_col, support, disclosure), thin=True)
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    terms = revealing(docs, base, text_col, support, disclosure).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
     names = docs.columns
     at = names.index(text_col)
 
@@ -243,8 +263,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             yield pa.RecordBatch.from_arrays(cols, names)
 
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    terms = terms.select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
-    rows = keyed.join(F.broadcast(terms) if few else terms, "__h", "left").select(*names, "__terms")
+    rows = keyed.join(_joinable(terms), "__h", "left").select(*names, "__terms")
     return rows.mapInArrow(run, docs.schema)
 
 

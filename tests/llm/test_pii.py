@@ -72,3 +72,16 @@ def test_query(spark):
     assert clean[20] == texts[20]
     empty = docs.limit(0)
     assert pii.spans(empty).count() == 0 and pii.sanitise(empty).columns == docs.columns
+
+
+def test_entities_of_one_text_have_terms(spark):
+    own = "Zanzibar harbour letter from plain day to rare.q@mail3.example.com"
+    pair = "common letter by Kestrelman about a day and +1 (939) 555-0359 number"
+    texts = [own, own, f"{pair} one", f"{pair} two"] + [f"some harbour letter on a plain common day and number {i}" for i in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.spans(docs).collect()}
+    terms = {i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].split(",") if s.startswith("term:")] for i in got}
+    assert terms[0] == terms[1] == ["Zanzibar", "from"] and terms[2] == terms[3] == ["Kestrelman", "about"]
+    assert not any(terms[i] for i in range(4, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == "[TERM] harbour letter [TERM] plain day to [EMAIL]" and clean[9] == texts[9]
