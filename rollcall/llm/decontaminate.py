@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import small_batches, table
+from .common import checkpointed, small_batches, table
 
 LENGTH, PROBE, BLOCK_WORDS = 10, 4, 400_000
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -180,6 +181,14 @@ def _automaton(shared, length: int) -> Automaton:
     return _built[name, length]
 
 
+def _either(hit: np.ndarray | None, old: bytes | None, n: int) -> np.ndarray | None:
+    """The words hit now or in the packed bits of the blocks before."""
+    if old is None:
+        return hit
+    was = np.unpackbits(np.frombuffer(old, np.uint8), count=n).astype(bool)
+    return was if hit is None else hit | was
+
+
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_words, n_hit, items: the ids hit, sorted as strings), a row for each row of ``docs``."""
     spark = docs.sparkSession
@@ -195,9 +204,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 for t, old, known in zip(b.column(1), b.column(4), b.column(5), strict=True):
                     ws = item_words(t.as_py())
                     hit, found = auto.walk(ws)
-                    if (old := old.as_py()) is not None:
-                        was = np.unpackbits(np.frombuffer(old, np.uint8), count=len(ws)).astype(bool)
-                        hit = was if hit is None else hit | was
+                    hit = _either(hit, old.as_py(), len(ws))
                     n.append(len(ws))
                     sums.append(0 if hit is None else int(hit.sum()))
                     hits.append(None if hit is None else np.packbits(hit).tobytes())
@@ -215,56 +222,69 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: str = "n_chars", length: int = LENGTH, coverage: float = 0.5) -> DataFrame:
     """``docs`` without hit spans; a document hit over more than ``coverage`` of its words goes, as does one left without words.
 
-    Each hit span gives way to an ellipsis, which is a word of its own, so the words
-    on either side don't become neighbours. ``size_col``, if there, follows.
+    Hits are gathered over all blocks before a document is judged and cut, so blocks
+    don't change the result. Each hit span gives way to an ellipsis, which is a word
+    of its own, so the words on either side don't become neighbours; only items with
+    that word can hit a text once it is cut, and then it is cut until none does.
+    ``size_col``, if there, follows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names, at = docs.columns, docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("__hit", BinaryType())])
 
-    def one(shared):
+    def one(shared, last: bool, alone: bool, share: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = _automaton(shared, length)
             for b in batches:
-                texts, keep, changed = b.column(at).to_pylist(), [], False
+                texts, hits, keep, changed = b.column(at).to_pylist(), b.column(len(names)).to_pylist(), [], False
                 for i, t in enumerate(texts):
-                    new, kept = cleaned(t, auto, coverage)
-                    keep.append(kept)
-                    if new is not t:
-                        texts[i], changed = new, True
+                    ws = item_words(t)
+                    hit = _either(auto.walk(ws)[0], hits[i], len(ws))
+                    hits[i] = None if hit is None else np.packbits(hit).tobytes()
+                    keep.append(not last or hit is None or hit.sum() <= share * len(ws))
+                    if last and hit is not None and keep[-1]:
+                        texts[i], changed = cut(t, hit), True
+                        while alone and (hit := auto.walk(item_words(texts[i]))[0]) is not None:
+                            texts[i] = cut(texts[i], hit)
+                        keep[-1] = bool(WORD.search(texts[i].replace(CUT, " ")))
                 cols = list(b.columns)
+                cols[-1] = pa.array(hits, pa.binary())
                 if changed:
                     cols[at] = pa.array(texts, b.schema.field(at).type)
                     if size_col in names:
                         k = names.index(size_col)
                         cols[k] = pa.array([len(new) if new != old else n for new, old, n in zip(texts, b.column(at).to_pylist(), b.column(k).to_pylist(), strict=True)], b.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, [*names, "__hit"]).filter(pa.array(keep, pa.bool_()))
 
         return run
 
-    for block in blocks(items):
-        docs = docs.mapInArrow(one(spark.sparkContext.broadcast((uuid4().hex, block))), docs.schema)
-    return docs
-
-
-def cleaned(text: str | None, auto: Automaton, coverage: float) -> tuple[str | None, bool]:
-    """(the text without hit spans, whether the document stays)."""
-    ws = item_words(text)
-    hit, _ = auto.walk(ws)
-    if hit is None:
-        return text, True
-    if hit.sum() > coverage * len(ws):
-        return text, False
-    while hit is not None:
-        spans = [m.span() for m in WORD.finditer(text)]
-        parts, at = [], 0
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).reshape(-1, 2)
-        for a, z in edges.tolist():
-            parts += [text[at : spans[a][0]], CUT]
-            at = spans[z - 1][1]
-        text = "".join(parts) + text[at:]
-        hit, _ = auto.walk(item_words(text))
-    return text, bool(WORD.search(text.replace(CUT, " ")))
+    share = coverage
+    while True:
+        marked, ahead, n, ellipsis = docs.withColumn("__hit", F.lit(None).cast("binary")), blocks(items), 0, False
+        block = next(ahead)
+        while block is not None:
+            after, n = next(ahead, None), n + 1
+            ellipsis = ellipsis or any(CUT.strip().encode() in ws for _, ws in block)
+            marked = marked.mapInArrow(one(spark.sparkContext.broadcast((uuid4().hex, block)), after is None, n == 1, share), schema)
+            block = after
+        if n == 1 or not ellipsis:
+            return marked.select(*names)
+        marked = checkpointed(marked)
+        if not marked.where("__hit is not null").limit(1).count():
+            return marked.select(*names)
+        docs, share = marked.select(*names), 1.0
+
+
+def cut(text: str, hit: np.ndarray) -> str:
+    """The text without the words hit."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    parts, at = [], 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).reshape(-1, 2)
+    for a, z in edges.tolist():
+        parts += [text[at : spans[a][0]], CUT]
+        at = spans[z - 1][1]
+    return "".join(parts) + text[at:]
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,27 @@ def test_clean_leaves_no_window_and_touches_no_clean_text(spark, monkeypatch):
                 assert hit > 0
 
 
+def test_clean_is_the_same_for_any_blocks(spark, monkeypatch):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    line = lambda *parts: " ".join(x for p in parts for x in p)
+    items = [(1, line(w[:12])), (2, line(w[20:32])), (3, line(w[6:18])), (4, line(w[40:46], ["\u2026"], w[60:66]))]
+    docs = [
+        line(w[:12], w[80:96], w[20:32]),  # each item hits 30 %, both 60 %
+        line(w[70:90], w[:18], w[90:99]),  # windows of two items overlap
+        line(w[70:90], w[40:46], w[20:32], w[60:66], w[90:99]),  # hit again once cut
+        line(w[70:99]),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(docs)], "doc_id long, text string, n_chars long")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for block in (d.BLOCK_WORDS, 12):
+        monkeypatch.setattr(d, "BLOCK_WORDS", block)
+        got[block] = sorted((r.doc_id, r.text, r.n_chars) for r in d.clean(df, it).collect())
+        assert [i for i, _, _ in got[block]] == [1, 2, 3]
+        assert all(words(t.replace("\u2026", " ")) == [*w[70:90], *w[90:99]] for i, t, _ in got[block] if i < 3)
+    assert len({str(g) for g in got.values()}) == 1
+
+
 def test_digest(spark, tmp_path):
     spark.createDataFrame([(1, "p q r s t u v w x y z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(10, "q r s t u v w x y z"), (9, "p q r s t u v w x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
