@@ -209,8 +209,12 @@ def link(fps: DataFrame, dense: int = DENSE, hot: int = HOT) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the least id reachable through links, component: its least fingerprint as a signed long)."""
     fps = checkpointed(fingerprints(docs, id_col, text_col))
+    return grouped(fps, link(fps.select("fp").distinct(), hot=hot), id_col)
+
+
+def grouped(fps: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
+    """(id, fingerprint, component_id, component) from rows (id, fp) and each linked fingerprint's root."""
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    labels = link(distinct.select("fp"), hot=hot)
     roots = labels.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
     members = labels.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots)
     lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -221,13 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), text("fp").alias("fingerprint"), "component_id", text("root").alias("component"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, mark=fingerprint) -> DataFrame:
     """One row of ``docs`` for each component: a row with its least id (without an id only where no row has one).
 
     Where several rows of a component share that id, the one with the least
-    fingerprint, then the least row, stays.
+    fingerprint, then the least row, stays. ``near`` gives the components and
+    ``mark`` a text's fingerprint in them.
     """
-    near = near_duplicates(docs, id_col, text_col)
+    near = near(docs, id_col, text_col)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("__k")
     rows_of = near.groupBy(key).agg(F.count("*").alias("__n"))
     first = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col("fingerprint"), key)).alias("r"))
@@ -238,7 +243,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if not chosen.where("__n > 1").limit(1).count():  # ids don't repeat, as they shouldn't
         return once
     again = rows.join(chosen.where("__n > 1").select("__k").distinct(), "__k", "left_semi")
-    fp = F.pandas_udf(lambda t: t.map(lambda x: f"{fingerprint(x) % 2**64:016x}"), "string")
+    fp = F.pandas_udf(lambda t: t.map(lambda x: f"{mark(x) % 2**64:016x}"), "string")
     again = again.withColumn("__f", fp(F.coalesce(text_col, F.lit("")))).join(chosen.select("__k", "__f"), ["__k", "__f"], "left_semi")
     least = again.groupBy("__k", "__f").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
     return once.unionByName(least)
