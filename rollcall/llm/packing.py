@@ -28,6 +28,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +40,13 @@ CACHED, LEFT, CHARS = 800_000, 250_000, 40
 BREAK = "<|endoftext|>"
 
 
-def folded(text: str) -> str:
-    """Lower case where that is surely the tokenizer's own: Latin-1 without special tokens."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text if "<|" in text else text.lower()
+#: Code points that may compose with the letter before them, and all that might; and marks of special tokens.
+_UNSURE = r"<\||[\x{300}-\x{1FFF}\x{2070}-\x{10FFFF}]"
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """ASCII letters in lower case where that is surely the tokenizer's own: no special tokens, nothing that composes."""
+    return pc.if_else(pc.match_substring_regex(texts, _UNSURE), texts, pc.ascii_lower(texts))
 
 
 class Ids:
@@ -107,21 +108,28 @@ class Ids:
         starts = [0, *(cuts + start).tolist()][: len(ends)]
         self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [folded(t or "").replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
+    def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
+        """Each text's ids. Splitting, distinct chunks and the ids' way back into the texts are columnar."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(folded(pc.fill_null(column, "")), "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        every, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
         new = [c for c in every if c not in self.known]  # a set difference would walk the whole cache
         if len(self.known) + len(new) > CACHED:
             self.known = {"": b""}
             new = [c for c in every if c]
         self._learn(new)
-        get = self.known.__getitem__
-        for chunks in split:
-            yield b"".join(map(get, chunks))
-        for c in every:
+        raw = list(map(self.known.__getitem__, every))
+        for c in new:
             if len(c) > CHARS:
                 self.known.pop(c, None)
-
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        stop = np.cumsum(n)
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first - stop + n, n) + np.arange(n.sum())]
+        ends = np.concatenate(([0], stop))[split.offsets.to_numpy()].tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield ids[a:b].tobytes()
 
     def trim(self) -> None:
         """Leaves what was learned first, which is what is frequent: idle Python workers hold little."""
@@ -143,10 +151,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 row, start, length, crc, total = [], [], [], [], []
-                for i, raw in enumerate(ids(b.column(1).to_pylist())):
+                for i, raw in enumerate(ids(b.column(1))):
                     raw += end
                     n = len(raw) // 4
                     for a in range(0, n, size):
