@@ -12,7 +12,8 @@ A log holds one event a row: ``conv_id``, ``seq``, ``kind``, ``message_id``,
 The log is grouped by (conversation, message), each message's events are sorted
 by sequence and folded from its last reset on; a window drops what a
 regeneration has cut off; messages are then gathered by conversation in order of
-their first event and rendered. All of it is DataFrame work. A long
+their first event and rendered, with their places as a running sum, so the work
+is proportional to the conversation. All of it is DataFrame work. A long
 conversation's messages are folded in many tasks; only its rendering, which is
 one output value, meets in one.
 
@@ -21,9 +22,11 @@ roles and texts get a backslash behind their first character and backslashes are
 doubled, so none survives inside a text and unescaping gives every text back.
 
 Defined results: null text and role are empty; a null conv_id is a conversation
-of its own; events tied on sequence are ordered by message, kind and text, and
-rows repeated as messages (distinct ids) are all kept; an empty log gives no
-rows; extra columns are ignored.
+of its own; a message's events tied on sequence are ordered by kind and text, and
+messages that begin together by role, text and then id; rows repeated as messages
+(distinct ids) are all kept; texts of any length are kept whole (one rendered
+conversation is one value, so 2 GB at most); an empty log gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,27 +71,20 @@ def fold(events: DataFrame) -> DataFrame:
     return (
         per.withColumn("text", text)
         .withColumn("cut", F.max("regenerated").over(before))
+        .withColumn("role", F.coalesce("role", F.lit("")))
         .where("(cut is null or first > cut) and not (reset.kind <=> 'delete' and text = '')")
-        .select("conv_id", F.struct("first", "message_id").alias("ord"), F.coalesce("role", F.lit("")).alias("role"), "text")
+        .select("conv_id", F.struct("first", "role", "text", "message_id").alias("ord"), "role", "text")
     )
 
 
 def render(messages: DataFrame) -> DataFrame:
     """One row a conversation: n_turns, formatted, and loss_mask as spans of code points."""
-    one = F.concat(F.lit(START), escape("role"), F.lit(SEP), escape("text"), F.lit(END))
-    turns = messages.select("conv_id", "ord", (F.col("role") == "assistant").alias("learn"), one.alias("turn"), F.length(escape("text")).alias("size"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "learn", "turn", "size"))).alias("t"))
-    # ends: code points up to the end of each turn
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"))
-    walk = F.aggregate(
-        "t",
-        zero,
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["turn"])).alias("at"),
-            F.when(x["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(x["turn"]) - len(END) - x["size"]).alias("start"), (a["at"] + F.length(x["turn"]) - len(END)).alias("stop"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return chats.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), walk["spans"].alias("loss_mask"))
+    learn, turn, size = F.col("role") == "assistant", F.concat(F.lit(START), escape("role"), F.lit(SEP), escape("text"), F.lit(END)), F.length(escape("text"))
+    turns = messages.select("conv_id", "ord", learn.alias("learn"), turn.alias("turn"), size.alias("size"))
+    stop = F.sum(F.length("turn")).over(W.partitionBy("conv_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)) - len(END)
+    placed = turns.withColumn("stop", stop).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("stop", "learn", "turn", "size"))).alias("t"))
+    mask = F.transform(F.filter("t", lambda x: x["learn"]), lambda x: F.struct((x["stop"] - x["size"]).alias("start"), x["stop"].alias("stop")))
+    return placed.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["turn"]), "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -105,19 +101,16 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = rows.unionByName(planted)
-    # each row is a message of its own; rows tied on the turn, even repeated ones, are all kept
-    ident = F.concat_ws("\x00", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    same = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    events = same.select(
+    # each row is a message of its own, named by its place; what is tied on the turn goes by role and text
+    events = rows.select(
         "conv_id",
         F.coalesce("turn", F.lit(-(2**62))).alias("seq"),
         F.lit("message").alias("kind"),
-        F.concat(F.coalesce(F.col("turn").cast("string"), F.lit("")), F.lit("\x00"), ident).alias("base"),
-        "role",
-        "text",
-        F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"),
-    ).withColumn("message_id", F.concat("base", F.lit("\x00"), F.lpad("copy", 9, "0")))
-    back = read_back(render(fold(events.drop("base", "copy"))))
+        F.monotonically_increasing_id().alias("message_id"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    back = read_back(render(fold(events)))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -19,6 +19,7 @@ def test_query_against_brute_force(spark, tmp_path):
     for c in range(6):
         for k, t in enumerate(TEXTS[c:] + TEXTS[:c]):
             rows.append((c, k // 2, ["user", "assistant", "tool <s>", None][(k + c) % 4], t, 1))
+    rows += [(8, 0, "user", None, 1), (8, 0, "user", "", 1), (8, 0, None, "q", 1), (8, 0, "", "q", 1), (8, 1, "assistant", "x", 1)]
     rows += [(9, 0, "assistant", "same", 1)] * 3 + [(None, None, "assistant", "no id", 1), (None, 1, "user", None, 1)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
