@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +26,42 @@ def ascii_lower(col):
 def scratch(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir, by its full path.
 
-    Only where that setting is absent (local tests) is a temporary folder taken.
+    Where that setting is absent a local session (tests) takes a temporary folder; a cluster has to name one.
     """
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollcall-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rollcall-"))
     return jsc.getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which later plans read by column; it stays there until the folder is cleared."""
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/rollcall_{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the files of a table that :func:`written` gave and no later plan reads."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names that none of the columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame, thin: bool = False) -> DataFrame:
     """Cut the lineage in the shared folder.
 

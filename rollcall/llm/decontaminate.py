@@ -11,34 +11,36 @@ walked; the probes are exact and only save time.
 
 Documents are only mapped, never shuffled. Items are read in blocks of at most
 ``BLOCK_WORDS`` words; each block is broadcast (its size is that bound) and all
-documents pass it, so a benchmark of any size takes more passes and not more
-memory.
+documents pass it. What a pass finds is written to the shared folder before the
+next block's pass and the table before it removed, so a benchmark of any size
+takes more passes and not more memory.
 
 Defined results: null or empty texts have no words and no hits, null or wordless
-items no windows; an item without an id hits but isn't listed; repeated items
-count once an id; repeated rows of documents are all returned; empty tables give
-no rows or no hits; extra columns are ignored by :func:`scan` and kept by
-:func:`clean`.
+items no windows; texts of any length are walked whole; an item without an id
+hits but isn't listed; repeated items count once an id; repeated rows of
+documents are all returned; empty tables give no rows or no hits; extra columns,
+of any name, are ignored by :func:`scan` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import checkpointed, small_batches, table
+from .common import dropped, fresh, small_batches, table, written
 
 LENGTH, PROBE, BLOCK_WORDS = 10, 4, 400_000
 _SPACES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 CUT = " … "
+MARK = CUT.strip().encode()
 STATE = ["id", "text", "n_words", "n_hit", "hit", "items"]
 
 
@@ -213,10 +215,22 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         return run
 
-    for block in blocks(items):
-        shared = spark.sparkContext.broadcast((uuid4().hex, block))
-        state = state.mapInArrow(one(shared), f"id {kind}, text string, n_words long, n_hit long, hit binary, items array<string>")
-    return state.select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
+    return _passes(state, blocks(items), lambda block, _: one(spark.sparkContext.broadcast((uuid4().hex, block)))).select(F.col("id").alias(id_col), "n_words", "n_hit", "items")
+
+
+def _passes(state: DataFrame, ahead: Iterator[list], one) -> DataFrame:
+    """``state`` mapped by one(block, is it the last?) for each block, with a table between passes."""
+    schema, before = state.schema, None
+    block = next(ahead)
+    while True:
+        after = next(ahead, None)
+        state = state.mapInArrow(one(block, after is None), schema)
+        if after is None:
+            return state
+        state = written(state)
+        if before is not None:
+            dropped(state.sparkSession, before)
+        before, block = state, after
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: str = "n_chars", length: int = LENGTH, coverage: float = 0.5) -> DataFrame:
@@ -225,13 +239,14 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: s
     Hits are gathered over all blocks before a document is judged and cut, so blocks
     don't change the result. Each hit span gives way to an ellipsis, which is a word
     of its own, so the words on either side don't become neighbours; only items with
-    that word can hit a text once it is cut, and then it is cut until none does.
-    ``size_col``, if there, follows.
+    that word can hit a text once it is cut, and then it is cut until none does. The
+    ellipsis itself is left then, so that every round takes words away and the last
+    one comes. ``size_col``, if there, follows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names, at = docs.columns, docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("__hit", BinaryType())])
+    (mark,) = fresh(names, "hit")
 
     def one(shared, last: bool, alone: bool, share: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +255,13 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: s
                 texts, hits, keep, changed = b.column(at).to_pylist(), b.column(len(names)).to_pylist(), [], False
                 for i, t in enumerate(texts):
                     ws = item_words(t)
-                    hit = _either(auto.walk(ws)[0], hits[i], len(ws))
+                    hit = auto.walk(ws)[0]
+                    hit = _either(_but_marks(hit, ws) if again else hit, hits[i], len(ws))
                     hits[i] = None if hit is None else np.packbits(hit).tobytes()
                     keep.append(not last or hit is None or hit.sum() <= share * len(ws))
                     if last and hit is not None and keep[-1]:
                         texts[i], changed = cut(t, hit), True
-                        while alone and (hit := auto.walk(item_words(texts[i]))[0]) is not None:
+                        while alone and (hit := _but_marks(auto.walk(ws := item_words(texts[i]))[0], ws)) is not None:
                             texts[i] = cut(texts[i], hit)
                         keep[-1] = bool(WORD.search(texts[i].replace(CUT, " ")))
                 cols = list(b.columns)
@@ -255,25 +271,35 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", size_col: s
                     if size_col in names:
                         k = names.index(size_col)
                         cols[k] = pa.array([len(new) if new != old else n for new, old, n in zip(texts, b.column(at).to_pylist(), b.column(k).to_pylist(), strict=True)], b.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(cols, [*names, "__hit"]).filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, [*names, mark]).filter(pa.array(keep, pa.bool_()))
 
         return run
 
-    share = coverage
+    again = False
     while True:
-        marked, ahead, n, ellipsis = docs.withColumn("__hit", F.lit(None).cast("binary")), blocks(items), 0, False
-        block = next(ahead)
-        while block is not None:
-            after, n = next(ahead, None), n + 1
-            ellipsis = ellipsis or any(CUT.strip().encode() in ws for _, ws in block)
-            marked = marked.mapInArrow(one(spark.sparkContext.broadcast((uuid4().hex, block)), after is None, n == 1, share), schema)
-            block = after
-        if n == 1 or not ellipsis:
+        ahead = blocks(items)
+        some = list(islice(ahead, 2))
+        alone, share = len(some) == 1, 1.0 if again else coverage
+        marked = _passes(docs.withColumn(mark, F.lit(None).cast("binary")), chain(some, ahead), lambda block, last: one(spark.sparkContext.broadcast((uuid4().hex, block)), last, alone, share))
+        if alone or not _has_mark(items):
             return marked.select(*names)
-        marked = checkpointed(marked)
-        if not marked.where("__hit is not null").limit(1).count():
+        marked = written(marked)
+        if not marked.where(F.col(mark).isNotNull()).limit(1).count():
             return marked.select(*names)
-        docs, share = marked.select(*names), 1.0
+        docs, again = marked.select(*names), True
+
+
+def _but_marks(hit: np.ndarray | None, ws: list[bytes]) -> np.ndarray | None:
+    """The words hit that don't stand for what was cut before; None if there are none."""
+    if hit is None:
+        return None
+    hit = hit & np.fromiter((w != MARK for w in ws), bool, len(ws))
+    return hit if hit.any() else None
+
+
+def _has_mark(items: DataFrame, text_col: str = "text") -> bool:
+    """Does an item hold the word that stands for what was cut?"""
+    return bool(items.where(F.col(text_col).contains(MARK.decode())).limit(1).count())
 
 
 def cut(text: str, hit: np.ndarray) -> str:

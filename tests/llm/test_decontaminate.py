@@ -95,6 +95,29 @@ def test_clean_is_the_same_for_any_blocks(spark, monkeypatch):
     assert len({str(g) for g in got.values()}) == 1
 
 
+def test_clean_ends_where_the_cut_mark_is_an_item(spark, monkeypatch):
+    w = [f"w{chr(97 + i)}" for i in range(26)]
+    items = [(1, "\u2026"), (2, " ".join(w[:10])), (3, " ".join([*w[10:14], "\u2026", *w[14:19]]))]
+    docs = [" ".join([*w[10:14], *w[:10], *w[14:19], *w[19:26], *w[19:26]]), "\u2026", "a \u2026 b", " ".join(w[10:])]
+    df = spark.createDataFrame([(i, t, len(t), b"x") for i, t in enumerate(docs)], "doc_id long, text string, n_chars long, __hit binary")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    for block in (d.BLOCK_WORDS, 3):
+        monkeypatch.setattr(d, "BLOCK_WORDS", block)
+        out = d.clean(df, it)
+        assert out.columns == df.columns
+        got = {r.doc_id: words(r.text.replace("\u2026", " ")) for r in out.collect()}
+        assert got == {0: [*w[19:26], *w[19:26]], 2: ["a", "b"], 3: w[10:]}
+
+
+def test_a_pass_a_block(spark, monkeypatch):
+    """Blocks aren't chained in one plan: each has a table behind it, and one automaton is held at a time."""
+    items, docs = tables(7)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    monkeypatch.setattr(d, "BLOCK_WORDS", 30)
+    out = d.scan(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_digest(spark, tmp_path):
     spark.createDataFrame([(1, "p q r s t u v w x y z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(10, "q r s t u v w x y z"), (9, "p q r s t u v w x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
