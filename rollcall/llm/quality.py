@@ -2,8 +2,9 @@
 
 1. A logistic regression over the presence of words and stems and binned form features (symbols,
    capitals, digits, repeats, ...) gives each document the evidence p that it is
-   good (quality 1 and not toxic). It is fitted on a bounded sample of labelled
-   rows: the ``SAMPLE`` with the least hash of their id.
+   good (quality 1 and not toxic). It is fitted on a bounded sample: the ``SAMPLE``
+   labelled ids with the least hash. Their features meet in one task, which gives
+   back a model of some 100 kB; the driver holds nothing else.
 2. Grouped aggregation of p over all documents gives each host and each path of
    a host its count and sum. Between-site variance is found by moments; it sets
    how many documents' worth a prior counts. A host's posterior shrinks its mean
@@ -11,21 +12,26 @@
    rest on their priors.
 3. The score is p moved by its path's log-odds over the global log-odds.
 
-In the synthetic tables ``source`` is the host and ``lang`` the path. Sums are
-partial in every task, so a host with a third of all rows is one row a task. The
-path table is broadcast only if it has at most ``BROADCAST_ROWS`` rows.
-
-Defined results: null or empty texts have the form features of no words; null
-host or path is a site of its own; labels with a null are left out, a document
-labelled twice is good only if all its labels are; repeated rows count each;
-without labels of both kinds p is the labels' share of good (1 without labels);
-empty tables give no rows; extra columns are ignored by :func:`scores` and kept
-by :func:`filtered`.
+In the synthetic tables ``source`` is the host and ``lang`` the path. Each text is
+scored once and written with its p; sums are partial in every task, so a host
+with a third of all rows is one row a task. The path table is broadcast only if
+it has at most ``BROADCAST_ROWS`` rows.
+
+Defined results: null or empty texts have the form features of no words; texts of
+any length are scored whole; null host or path is a site of its own (as is the
+lone character U+0000, with it); labels with a null are left out, a document
+labelled twice is good only if all its labels are, and where rows share a
+labelled id the one with the least text is learned from; ids tied on their hash
+are ordered by themselves; repeated rows count each; without labels of both kinds
+p is the labels' share of good (1 without labels); empty tables give no rows;
+extra columns are kept, of any name in :func:`filtered`; in :func:`scores` those
+named as its own results give way.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,9 +44,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, fresh, small_batches, table, written
 
-SAMPLE, VOCABULARY, BINS, CERTAIN, STEM = 9_000, 3000, 8, 3.0, 5
+SAMPLE, VOCABULARY, BINS, CERTAIN, STEM = 12_000, 3000, 8, 3.0, 5
 BROADCAST_ROWS = 20_000
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
@@ -93,14 +99,8 @@ Row = tuple[list[float], bytes, int]  # form features, distinct words and stems
 
 
 def distinct(rows: list[Row]) -> list[Row]:
-    """One row of those that share their two least word hashes and their label: copies of one text are one piece of evidence."""
-    seen, out = set(), []
-    for row in rows:
-        key = (*sorted(zlib.crc32(w) for w in row[1].split() if len(w) > STEM and w[-1:] != b"-")[:2], row[2])
-        if len(key) < 3 or key not in seen:
-            seen.add(key)
-            out.append(row)
-    return out
+    """One row of those with the same set of words and the same label: copies of one text are one piece of evidence."""
+    return list({(ws, good): (form, ws, good) for form, ws, good in rows}.values())
 
 
 def fit(rows: list[Row], rounds: int = 500, ridge: float = 2e-5) -> Model:
@@ -151,31 +151,36 @@ def fit(rows: list[Row], rounds: int = 500, ridge: float = 2e-5) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     good = labels.where("quality is not null and toxic is not null").groupBy(id_col).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
-    chosen = good.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    chosen = good.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("id"), "good")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in got], pa.list_(pa.float64())), pa.array([b" ".join(sorted(w)) for _, w in got], pa.binary()), b.column(1)], ["form", "words", "good"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(distinct(sorted(rows))))], pa.binary())], ["model"])
+
     small_batches(docs.sparkSession)
-    rows = docs.select(id_col, F.col(text_col)).join(F.broadcast(chosen), id_col).select(text_col, "good").mapInArrow(run, "form array<double>, words binary, good int").limit(4 * sample).toArrow()
-    cols = (rows[c].to_pylist() for c in ("form", "words", "good"))
-    return fit(distinct(sorted(zip(*cols, strict=True))))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("good").alias("good"))
+    rows = texts.select("text", "good").mapInArrow(read, "form array<double>, words binary, good int")
+    return pickle.loads(rows.repartition(1).mapInArrow(learn, "model binary").first().model)
 
 
-def evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with column ``__p``."""
-    names, at = docs.columns, docs.columns.index(text_col)
+def evidence(docs: DataFrame, model: Model, text_col: str, name: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the evidence under ``name``."""
+    used = docs.select(*keep, *([] if text_col in keep else [text_col]))
+    at = used.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([score(t.as_py()) for t in b.column(at)], pa.float64())], [*names, "__p"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([score(t.as_py()) for t in b.column(at)], pa.float64())], [*keep, name])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__p", DoubleType())]))
+    return used.mapInArrow(run, StructType([*docs.select(*keep).schema.fields, StructField(name, DoubleType())]))
 
 
 def _prior(sites: DataFrame) -> float:
@@ -194,10 +199,13 @@ def _prior(sites: DataFrame) -> float:
     return float(min(max(r.spread / tau - 1 if tau > 0 else 1e6, 1.0), 1e6))
 
 
-def posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFrame, float]:
-    """(host, path, host_posterior, path_posterior) and the global mean, from ``__p`` of all rows."""
-    null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    paths = scored.select(null(host_col).alias("host"), null(path_col).alias("path"), "__p").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("__p", 9).cast("decimal(18,9)")).cast("double").alias("s"))
+def _place(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+
+
+def posteriors(scored: DataFrame, host_col: str, path_col: str, p: str = "__p") -> tuple[DataFrame, float]:
+    """(host, path, host_posterior, path_posterior) and the global mean, from the evidence ``p`` of all rows."""
+    paths = scored.select(_place(host_col).alias("host"), _place(path_col).alias("path"), F.round(p, 9).cast("decimal(18,9)").alias("p")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").cast("double").alias("s"))
     paths = checkpointed(paths, thin=True)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
@@ -209,33 +217,39 @@ def posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFra
     return both.select("host", "path", "host_posterior", ((F.lit(kp) * F.col("host_posterior") + F.col("s")) / (F.lit(kp) + F.col("n"))).alias("path_posterior")), mean
 
 
-def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """``docs`` with p_doc, host_posterior, path_posterior, score and keep."""
+RESULTS = ["p_doc", "host_posterior", "path_posterior", "score", "keep"]
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` and a struct of RESULTS, and that struct's name."""
     model = train(docs, labels, id_col, text_col)
-    thin = evidence(docs.select(text_col, host_col, path_col), model, text_col)
-    sites, mean = posteriors(thin, host_col, path_col)
+    p, result, host, path, site = fresh(keep, "p", "result", "host", "path", "site")
+    scored = written(evidence(docs, model, text_col, p, keep))
+    sites, mean = posteriors(scored, host_col, path_col, p)
+    sites = sites.select(F.col("host").alias(host), F.col("path").alias(path), F.struct("host_posterior", "path_posterior").alias(site))
     few = sites.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    names = docs.columns
-    null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    scored = evidence(docs, model, text_col).withColumn("__h", null(host_col)).withColumn("__q", null(path_col))
-    sites = sites.select(F.col("host").alias("__h"), F.col("path").alias("__q"), F.col("host_posterior").alias("__hp"), F.col("path_posterior").alias("__pp"))
     odds = lambda c: F.log(c / (1 - c))
     safe = lambda c: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), c))
-    z = odds(safe(F.col("__p"))) + odds(safe(F.col("__pp"))) - F.lit(math.log(mean / (1 - mean)))
-    out = scored.join(F.broadcast(sites) if few else sites, ["__h", "__q"]).withColumn("__s", 1 / (1 + F.exp(-z)))
-    return out.select(*names, F.col("__p").alias("p_doc"), F.col("__hp").alias("host_posterior"), F.col("__pp").alias("path_posterior"), F.col("__s").alias("score"), (F.col("__s") >= 0.5).alias("keep"))
+    both = scored.withColumns({host: _place(host_col), path: _place(path_col)}).join(F.broadcast(sites) if few else sites, [host, path])
+    score = 1 / (1 + F.exp(-(odds(safe(F.col(p))) + odds(safe(F.col(f"{site}.path_posterior"))) - F.lit(math.log(mean / (1 - mean))))))
+    cols = [F.col(p), F.col(f"{site}.host_posterior"), F.col(f"{site}.path_posterior"), score, score >= 0.5]
+    return both.select(*keep, F.struct(*(c.alias(n) for c, n in zip(cols, RESULTS, strict=True))).alias(result)), result
+
+
+def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all unless given; host and path among them) with p_doc, host_posterior, path_posterior, score and keep."""
+    judged, result = _judged(docs, labels, id_col, text_col, host_col, path_col, keep or docs.columns)
+    return judged.select(*[c for c in judged.columns[:-1] if c.lower() not in RESULTS], *(F.col(f"{result}.{c}").alias(c) for c in RESULTS))
 
 
 def filtered(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    clash = {"p_doc", "host_posterior", "path_posterior", "score", "keep"} & set(docs.columns)
-    safe = docs.select(*[F.col(c).alias(f"__own_{c}" if c in clash else c) for c in docs.columns])
-    kept = scores(safe, labels, id_col, text_col, host_col, path_col).where("keep")
-    return kept.select(*[F.col(f"__own_{c}" if c in clash else c).alias(c) for c in docs.columns])
+    judged, result = _judged(docs, labels, id_col, text_col, host_col, path_col, docs.columns)
+    return judged.where(F.col(f"{result}.keep")).select(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    got = scores(docs, table(spark, sf_dir, "labels"))
+    got = scores(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "source", "lang"])
     places = lambda c: F.round(c, 6).alias(c)
     return got.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), *map(places, ("p_doc", "host_posterior", "path_posterior", "score")), "keep")
