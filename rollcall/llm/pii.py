@@ -22,9 +22,11 @@ Texts are scanned once; what is kept is thin, with the text itself only where an
 entity is. Each task sums its texts' terms before it hands them on, so a term in
 a third of all rows is a sum a task.
 
-Defined results: null and empty texts have no spans; repeated rows are all
-returned; a null id is kept; empty tables give no rows; extra columns are
-ignored by :func:`spans` and kept by :func:`sanitise`.
+Defined results: null and empty texts have no spans; texts of any length are
+scanned whole; spans that start together stand in the order of their kinds;
+repeated rows are all returned; a null id is kept; empty tables give no rows;
+extra columns, of any name, are ignored by :func:`spans` and kept by
+:func:`sanitise`.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, fresh, small_batches, table
 
 SUPPORT, DISCLOSURE, TERM_BYTES = 4, 0.9, 4
 #: Weight of the base rate, in texts, against pairs of fewer than SUPPORT texts.
@@ -175,8 +177,12 @@ def revealing(docs: DataFrame, base: DataFrame, text_col: str = "text", support:
     """(h, terms): for texts that hold an entity, by hash, the hashes of the terms that reveal it. ``base`` comes from :func:`found`."""
     total = max(base.count(), 1)
     holding = base.where("text is not null").groupBy("h").agg(F.count("*").alias("w"), F.first("text").alias("text"), F.first("entities").alias("entities"))
-    held = holding.select("h", "w", F.explode("entities").alias("e"))
-    known = held.groupBy("e").agg(F.sum("w").alias("c_e"))
+    # entities of the same texts reveal alike: one stands for all, so that a text of many entities of its own has one
+    alike = holding.select("h", "w", F.explode("entities").alias("e")).groupBy("e").agg(F.sum("w").alias("c_e"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.count("*").alias("n"))
+    known = alike.groupBy("x", "s", "n").agg(F.min("e").alias("e"), F.min("c_e").alias("c_e"))
+    known = checkpointed(known.select("e", "c_e"), thin=True)
+    held = holding.select("h", "w", F.explode("entities").alias("e")).join(known.select("e"), "e", "left_semi")
+    holding = held.groupBy("h").agg(F.collect_set("e").alias("entities")).join(holding.select("h", "w", "text"), "h")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = Counter(), Counter()
@@ -246,9 +252,9 @@ def _split(joined: str) -> list[tuple[str, int, int]]:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with each span generalised to its kind in brackets; ``size_col``, if there, follows."""
     base = checkpointed(found(docs, id_col, text_col))
-    terms = revealing(docs, base, text_col, support, disclosure).select(F.col("h").alias("__h"), F.col("terms").alias("__terms"))
     names = docs.columns
-    at = names.index(text_col)
+    at, (key, terms) = names.index(text_col), fresh(names, "h", "terms")
+    revealed = revealing(docs, base, text_col, support, disclosure).select(F.col("h").alias(key), F.col("terms").alias(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,9 +268,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                     cols[k] = pa.array([len(y) if x != y else n for x, y, n in zip(old, new, b.column(k).to_pylist(), strict=True)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    keyed = docs.withColumn("__h", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    rows = keyed.join(_joinable(terms), "__h", "left").select(*names, "__terms")
-    return rows.mapInArrow(run, docs.schema)
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return keyed.join(_joinable(revealed), key, "left").select(*names, terms).mapInArrow(run, docs.schema)
 
 
 def generalised(text: str | None, hashes: set[int]) -> str | None:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table, words
+from .common import checkpointed, fresh, small_batches, table, words
 from .graph import components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -233,19 +233,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``mark`` a text's fingerprint in them.
     """
     near = near(docs, id_col, text_col)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("__k")
-    rows_of = near.groupBy(key).agg(F.count("*").alias("__n"))
-    first = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col("fingerprint"), key)).alias("r"))
-    chosen = first.select("r.__k", F.col("r.fingerprint").alias("__f")).join(rows_of, "__k")
+    k, f = fresh(docs.columns, "k", "f")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("none"))
+    rows_of = near.groupBy(key.alias(k)).agg(F.count("*").alias("n"))
+    first = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct(F.col("fingerprint").alias("f"), key.alias("k"))).alias("r"))
+    chosen = first.select(F.col("r.k").alias(k), F.col("r.f").alias(f)).join(rows_of, k)
     chosen = checkpointed(chosen, thin=True)
-    rows = docs.withColumn("__k", key)
-    once = rows.join(chosen.where("__n = 1").select("__k"), "__k", "left_semi").drop("__k")
-    if not chosen.where("__n > 1").limit(1).count():  # ids don't repeat, as they shouldn't
+    rows = docs.withColumn(k, key)
+    once = rows.join(chosen.where("n = 1").select(k), k, "left_semi").drop(k)
+    if not chosen.where("n > 1").limit(1).count():  # ids don't repeat, as they shouldn't
         return once
-    again = rows.join(chosen.where("__n > 1").select("__k").distinct(), "__k", "left_semi")
+    again = rows.join(chosen.where("n > 1").select(k).distinct(), k, "left_semi")
     fp = F.pandas_udf(lambda t: t.map(lambda x: f"{mark(x) % 2**64:016x}"), "string")
-    again = again.withColumn("__f", fp(F.coalesce(text_col, F.lit("")))).join(chosen.select("__k", "__f"), ["__k", "__f"], "left_semi")
-    least = again.groupBy("__k", "__f").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    again = again.withColumn(f, fp(F.coalesce(text_col, F.lit("")))).join(chosen.select(k, f), [k, f], "left_semi")
+    least = again.groupBy(k, f).agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
     return once.unionByName(least)
 
 
