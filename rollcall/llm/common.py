@@ -41,9 +41,20 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, which later plans read by column; it stays there until the folder is cleared."""
     spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/rollcall_{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: list[str] = []
+
+
+def stage_begins(spark: SparkSession) -> None:
+    """Removes tables that earlier stages of a pipeline wrote: what they returned has been written and read again since."""
+    while _kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a table that :func:`written` gave and no later plan reads."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -46,3 +46,32 @@ def test_stage_drops_near_copies_that_fingerprints_miss(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert simhash.one_of_each(docs).count() > 20
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Families that share most bands but aren't similar, and bridges between some of them."""
+    rnd, texts = random.Random(11), []
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    base = [word() for _ in range(300)]
+    for family in range(5):
+        own = base[:]
+        for at in range(10, 290, 40):
+            own[at : at + 3] = [f"f{family}{at}{i}" for i in range(3)]
+        for _ in range(12):
+            w = own[:]
+            for at in rnd.sample(range(300), 3):
+                w[at] = word()
+            texts.append(" ".join(w))
+        if family == 3:
+            texts += [" ".join(own[:cut] + base[cut:]) for cut in (50, 120, 200, 260)]
+    texts.append(" ".join(base))
+    sets, root, n = [brute(t) for t in texts], list(range(len(texts))), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        n += 0.6 < len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.8
+        if alike(sets[i], sets[j]):
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert n > 100 and 1 < len(set(root)) < len(texts) - 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sizes in ({}, {"small": 3, "window": 2, "block": 7}):
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, **sizes).collect()}
+        assert [got[i] for i in range(len(texts))] == root, sizes
