@@ -1,6 +1,6 @@
 """Every query of the engine and its SQL."""
 
-from . import continuity, names
+from . import continuity, names, parsing
 
-QUERIES = {**continuity.QUERIES, **names.QUERIES}
-SQL = {**continuity.SQL, **names.SQL}
+QUERIES = {**continuity.QUERIES, **names.QUERIES, **parsing.QUERIES}
+SQL = {**continuity.SQL, **names.SQL, **parsing.SQL}
