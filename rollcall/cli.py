@@ -37,7 +37,7 @@ class Project:
 
     def fetch(self) -> int:
         for s in self.table("sources").toLocalIterator():
-            io.freeze(s.url, s.parser, f"{self.root}/{s.raw_path}")
+            io.freeze(s.url, s.parser, f"{self.root}/{s.raw_path}", options=json.loads(s.options or "{}"))
         return 0
 
     def rules(self) -> Rules:

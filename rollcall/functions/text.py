@@ -81,7 +81,12 @@ def heading_from_ref(ref: Column) -> Column:
 
 def strip_links(c: Column) -> Column:
     """Wiki links to what is shown."""
-    return F.regexp_replace(F.regexp_replace(c, r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), r"\[\[([^\]|]+)\]\]", "$1")
+    return F.regexp_replace(c, r"\[\[(?:[^\]|]+\|)?([^\]|]+)\]\]", "$1")
+
+
+def link_targets(c: Column) -> Column:
+    """Wiki links to the page they lead to, whatever is shown."""
+    return F.regexp_replace(c, r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]", "$1")
 
 
 @F.pandas_udf(StringType())

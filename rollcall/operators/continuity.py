@@ -38,9 +38,12 @@ def release_stats(appearances: DataFrame, spine: DataFrame) -> DataFrame:
     ``appearances`` holds (person, release, is_vendor), any number of rows each; a
     person is a contractor of a release with any vendor row. Releases without people stay, with zeros.
     """
-    crew = appearances.groupBy("person", "release").agg(F.max("is_vendor").alias("is_vendor"))
-    crew = crew.join(F.broadcast(spine.select("release", "position")), "release")
-    both = crew.join(person_positions(appearances, spine), ["person", "position"])
+    at = appearances.select("person", "release", "is_vendor").join(F.broadcast(spine.where("position is not null").select("release", "position")), "release")
+    crew = at.repartition("person").groupBy("person", "release", "position").agg(F.max("is_vendor").alias("is_vendor"))
+    # releases may share a position, which is neither before nor after itself
+    own = W.partitionBy("person").orderBy("position")
+    before, after = own.rangeBetween(W.unboundedPreceding, -1), own.rangeBetween(1, W.unboundedFollowing)
+    both = crew.withColumn("before", F.max("position").over(before)).withColumn("after", F.min("position").over(after))
     n = lambda c: F.count_if(c).cast("long")
     per = both.groupBy("release").agg(
         F.count("*").alias("headcount"),

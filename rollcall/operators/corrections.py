@@ -1,6 +1,6 @@
 """Hand-ruled corrections, applied in this order: names, studios, appended rows, classes.
 
-Correction tables are small data; each is broadcast and joined once. Each function
+Each correction table is joined once; Spark broadcasts those it measures as small. Each function
 keeps a column ``changed`` or ``kind`` so that changes are counted and nothing
 disappears without a record.
 """
@@ -38,7 +38,7 @@ def apply_name_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     """
     f = fixes.select(F.col("name_raw"), F.col("action").alias("__a"), F.split("names", "[|]").alias("__n"), F.split("studio", "[|]").alias("__s"))
     each = F.transform("__n", lambda n, i: F.struct(F.trim(n).alias("n"), F.when(F.size("__s") > 1, F.get("__s", i)).otherwise(F.get("__s", F.lit(0))).alias("s")))
-    hit = rows.join(F.broadcast(f), "name_raw", "left")
+    hit = rows.join(f, "name_raw", "left")
     hit = hit.withColumn("__e", F.explode_outer(F.when(F.col("__a") == "fix", F.filter(each, lambda x: x["n"] != ""))))
     fixed = F.col("__a") == "fix"
     studio = F.when(F.coalesce("__e.s", F.lit("")) == "", F.col("studio")).when(F.col("__e.s") == "-", "").otherwise(F.col("__e.s"))
@@ -54,7 +54,7 @@ def apply_name_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
 def conditional_update(rows: DataFrame, fixes: DataFrame, keys: list[str], column: str, wrong: str, right: str) -> DataFrame:
     """``column`` from ``right`` where it still has the value ``wrong``; else it stays."""
     f = fixes.select(*keys, F.col(wrong).alias("__w"), F.col(right).alias("__r"))
-    hit = rows.join(F.broadcast(f), keys, "left")
+    hit = rows.join(f, keys, "left")
     fires = F.coalesce(F.col(column) == F.col("__w"), F.lit(False))
     return hit.select(*[F.when(fires, F.col("__r")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns], fires.alias("changed"))
 
@@ -62,7 +62,7 @@ def conditional_update(rows: DataFrame, fixes: DataFrame, keys: list[str], colum
 def override(rows: DataFrame, fixes: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``column`` from the fixes where the keys are in it and the value differs."""
     f = fixes.select(*keys, F.col(column).alias("__r"))
-    hit = rows.join(F.broadcast(f), keys, "left")
+    hit = rows.join(f, keys, "left")
     return hit.select(*[F.coalesce("__r", column).alias(c) if c == column else F.col(c) for c in rows.columns], F.coalesce(F.col("__r") != F.col(column), F.lit(False)).alias("changed"))
 
 

@@ -58,7 +58,7 @@ def resolve(credits: DataFrame, games: DataFrame, aliases: DataFrame, reviews: D
     reviews = reviews_checked(reviews)
     split = reviews.where("ruling = 'split'").select(F.col("person_id").alias("__base"), F.lit(True).alias("__split"))
     keyed = credits.join(spelling_keys(credits, aliases), "name_raw").withColumn("__base", person_id(F.col("key")))
-    keyed = keyed.join(F.broadcast(split), "__base", "left").withColumn("is_split", F.coalesce("__split", F.lit(False)))
+    keyed = keyed.join(split, "__base", "left").withColumn("is_split", F.coalesce("__split", F.lit(False)))
     key = F.when(F.col("is_split"), F.concat("key", F.lit("#"), "game_id")).otherwise(F.col("key"))
     # a slug is taken of the key without the mark before the release; an alias keeps it
     plain = slug(F.regexp_replace(key, r"(?U)[^\w ]", ""))
@@ -78,30 +78,23 @@ def resolve(credits: DataFrame, games: DataFrame, aliases: DataFrame, reviews: D
 def compound_facts(own: DataFrame, shown: DataFrame) -> DataFrame:
     """Whole known names inside credits of several people: each such person gets the release and the spelling.
 
-    Compound credits are the few rows of the join that are broadcast; a containment
-    test runs before the pattern, whose word ends are those of a name as it stands
-    (a name that ends in a stop isn't found before a space).
+    They meet by the first word of the name, which any text that holds the name has
+    (names without a word character meet all texts); a containment test runs before
+    the pattern, whose word ends are those of a name as it stands (a name that ends
+    in a stop isn't found before a space).
     """
     whole = own.where(is_compound(F.col("variant"))).select(F.col("variant").alias("text"), "game_id", F.col("person_id").alias("own_id"), F.col("ord").alias("at"))
     plain = shown.where("not is_split")
     names = plain.select("person_id", F.col("display_name").alias("name")).union(own.join(plain.select("person_id"), "person_id", "left_semi").select("person_id", F.col("variant").alias("name")))
     names = names.where((F.col("name") != "") & ~is_compound(F.col("name"))).distinct()
     inside = F.expr(r"contains(text, name) and own_id <> person_id and regexp_like(text, concat('(?U)\\b\\Q', name, '\\E\\b'))")
-    few = whole.limit(COMPOUND_BROADCAST + 1).count() <= COMPOUND_BROADCAST
-    if few:
-        hit = names.join(F.broadcast(whole), inside)
-    else:  # by the first word of the name, which any text that holds the name has
-        word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-        left = names.withColumn("__w", F.get(word(F.col("name")), F.lit(0)))
-        right = whole.withColumn("__w", F.explode(F.array_distinct(word(F.col("text")))))
-        hit = left.join(right, "__w").where(inside)
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
+    left = names.withColumn("__w", F.coalesce(F.get(word(F.col("name")), F.lit(0)), F.lit("")))
+    right = whole.withColumn("__w", F.explode(F.array_distinct(F.array_append(word(F.col("text")), F.lit("")))))
+    hit = left.join(right, "__w").where(inside)
     return hit.select("person_id", "game_id", F.col("text").alias("variant"), F.col("at").alias("ord"))
 
 
-#: Compound credits up to which they are broadcast.
-COMPOUND_BROADCAST = 5_000
-
-
 def people_table(facts: DataFrame, shown: DataFrame, games: DataFrame, reviews: DataFrame) -> DataFrame:
     """Variants by first appearance, games by sequence, and the measures of a career."""
     variants = facts.groupBy("person_id", "variant").agg(F.min("ord").alias("ord")).groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "variant"))), lambda x: x["variant"]).alias("variants"))
@@ -118,7 +111,7 @@ def people_table(facts: DataFrame, shown: DataFrame, games: DataFrame, reviews:
         F.coalesce(F.array_max(gaps), F.lit(0)).alias("largest_gap_years"),
     )
     same = reviews.where("ruling = 'same'").select("person_id", F.lit(True).alias("__same"))
-    out = out.join(shown.select("person_id", "display_name"), "person_id").join(variants, "person_id").join(F.broadcast(same), "person_id", "left")
+    out = out.join(shown.select("person_id", "display_name"), "person_id").join(variants, "person_id").join(same, "person_id", "left")
     uncertain = (F.col("largest_gap_years") > UNCERTAIN_YEARS) & F.col("__same").isNull()
     return out.select("person_id", "display_name", "variants", "first_game", "last_game", "game_count", "games", "span_years", "largest_gap_years", uncertain.alias("uncertain"))
 

@@ -2,40 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def career_order() -> list:
-    """Latest last column first, then earliest first column, then columns from the back, then name."""
-    return [F.desc(F.array_max("cols")), F.array_min("cols"), F.transform(F.reverse(F.array_sort("cols")), lambda c: -c), F.col("name")]
+#: Role classes in the order of the grid's legend, by which bands are laid.
+ROLE_ORDER = ["management", "production", "design", "engineering", "art", "audio", "writing", "qa", "live", "publishing", "community", "thanks", "unspecified"]
 
 
-def slot_packing(people: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """people(name, cols array): (placed(row, col, name), overflow(col, name)).
+def class_rank(publisher: Column, community: Column) -> Column:
+    """Developers, then the publisher's staff, then volunteers."""
+    return F.when(publisher, 1).when(community, 2).otherwise(0)
+
+
+def role_rank(cls: Column) -> Column:
+    """Place in the legend's order; unknown and missing roles come last."""
+    place = F.array_position(F.array(*map(F.lit, ROLE_ORDER)), F.coalesce(cls, F.lit("")))
+    return F.when(place == 0, len(ROLE_ORDER)).otherwise(place - 1).cast("int")
+
+
+def ranked(people: DataFrame) -> DataFrame:
+    """people(name, cols, and maybe publisher, community, roles: map of column to class) with what careers are ordered by."""
+    has = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in people.columns else F.lit(False)
+    roles = F.col("roles") if "roles" in people.columns else F.lit(None).cast("map<int,string>")
+    out = people.withColumn("cols", F.array_sort("cols"))
+    return out.select(
+        "*",
+        class_rank(has("publisher"), has("community")).alias("__class"),
+        F.transform("cols", lambda c: role_rank(F.try_element_at(roles, c))).alias("__roles"),
+        F.array_max("cols").alias("__z"),
+        F.array_min("cols").alias("__a"),
+        F.transform(F.reverse("cols"), lambda c: -c).alias("__shape"),
+    )
+
+
+def numbered(rows: DataFrame, name: str, groups: list, within: list, by: list[str] = ()) -> DataFrame:
+    """``name``: each row's place from 0 in the order of ``groups`` and then ``within``, from 0 again for each ``by``.
+
+    Groups are few whatever the rows (shapes of careers over a grid's columns), so
+    only their counts meet; rows are ordered within their group, each in a task of its own.
+    """
+    keys = [f"__g{i}" for i in range(len(groups))]
+    rows = rows.select("*", *(g.alias(k) for g, k in zip(groups, keys, strict=True)))
+    counts = rows.groupBy(*by, *keys).agg(F.count("*").alias("__n"))
+    before = W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select(*by, *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    local = F.row_number().over(W.partitionBy(*by, *keys).orderBy(*within)) - 1
+    return rows.withColumn("__l", local).join(first, [*by, *keys]).withColumn(name, F.col("__first") + F.col("__l")).drop(*keys, "__first", "__l")
+
+
+def career_rows(people: DataFrame, group_by_shape: bool = True, sink_marked: bool = True, section: Column | None = None, name: str = "row") -> DataFrame:
+    """:func:`ranked` people with ``name``: their place among all careers, from 0.
+
+    Sections first (if given), then the latest last column, then the earliest first
+    one; then either the columns from the back (equal careers become neighbours),
+    class and roles, or the number of columns; then the name.
+    """
+    head = [section if section is not None else F.lit(0), -F.col("__z"), F.col("__a")]
+    if group_by_shape:
+        return numbered(ranked(people), name, [*head, F.col("__shape")], [*(["__class"] if sink_marked else []), "__roles", "name"])
+    return numbered(ranked(people), name, [*head, -F.size("cols")], ["name"])
+
+
+def slot_packing(people: DataFrame, width: int, group_by_shape: bool = True, sink_marked: bool = True, section: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """people(name, cols, and what :func:`ranked` knows, and maybe ``reprints``): (placed(row, col, name), overflow(col, name)).
 
     People of several columns own a row each, in career order, and its cells from
-    their first to their last column. People of one column fill that column's free
-    cells from the top, by name; whoever finds none is overflow. Columns don't
-    touch each other, so the k-th free cell meets the k-th person in one equi-join.
+    the first to the last of their columns and reprints. People of one column fill
+    that column's free cells from the top: by class, role and name, or by name alone
+    where the marked don't sink; whoever finds none is overflow. The k-th free cell
+    meets the k-th person in one equi-join.
     """
-    many = people.where("size(cols) > 1")
-    rows = many.withColumn("row", F.row_number().over(W.orderBy(*career_order())) - 1)
-    owned = rows.select("row", "name", F.array_min("cols").alias("a"), F.array_max("cols").alias("z"), F.explode("cols").alias("col"))
-    taken = rows.select("row", F.explode(F.sequence(F.array_min("cols"), F.array_max("cols"))).alias("col"))
-    cells = rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
-    free = cells.join(taken, ["row", "col"], "left_anti").withColumn("k", F.row_number().over(W.partitionBy("col").orderBy("row")))
-    single = people.where("size(cols) = 1").select("name", F.get("cols", F.lit(0)).alias("col"))
-    single = single.withColumn("k", F.row_number().over(W.partitionBy("col").orderBy("name")))
+    rows = career_rows(people.where("size(cols) > 1"), group_by_shape, sink_marked, section)
+    points = F.concat("cols", F.coalesce("reprints", F.array().cast("array<int>"))) if "reprints" in people.columns else F.col("cols")
+    rows = rows.withColumn("__points", points)
+    owned = rows.select("row", "name", F.explode("cols").alias("col"))
+    taken = F.sequence(F.array_min("__points"), F.array_max("__points"))
+    cells = rows.select("row", *(F.col(c) for c in ("__z", "__a")), F.explode(F.array_except(F.sequence(F.lit(0), F.lit(width - 1)), taken)).alias("col"))
+    # rows of one first and last column stand together, so free cells are counted by them
+    free = numbered(cells, "k", [F.floor(F.col("row") / CELLS)], ["row"], ["col"]).select("row", "col", "k")
+    single = ranked(people.where("size(cols) = 1")).withColumn("col", F.get("cols", F.lit(0)))
+    order = [F.col("__class"), F.get("__roles", F.lit(0))] if sink_marked else [F.lit(0)]
+    single = numbered(single, "k", order, ["name"], ["col"]).select("name", "col", "k")
     put = single.join(free, ["col", "k"], "left")
     placed = owned.select("row", "col", "name").unionByName(put.where("row is not null").select("row", "col", "name"))
     return placed, put.where("row is null").select("col", "name")
 
 
-def bins(rows: DataFrame, width: int, *order) -> DataFrame:
-    """Rows numbered in order into lines of ``width``: line and place."""
-    n = F.row_number().over(W.orderBy(*order)) - 1
+#: Rows of the grid whose free cells are numbered in one task.
+CELLS = 100_000
+
+
+def sections(people: DataFrame, first_era: Column) -> DataFrame:
+    """(section, row): where the section of each era of a first column begins, for people of several columns."""
+    n = people.where("size(cols) > 1").groupBy(first_era.alias("section")).agg(F.count("*").alias("n"))
+    before = W.orderBy("section").rowsBetween(W.unboundedPreceding, -1)  # a handful of eras
+    return n.select("section", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("row"))
+
+
+def bins(rows: DataFrame, width: int, by: str, *order) -> DataFrame:
+    """Rows numbered in order within each ``by`` into lines of ``width``: line and place."""
+    n = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1
     return rows.withColumn("line", F.floor(n / width).cast("int")).withColumn("place", F.pmod(n, F.lit(width)).cast("int"))
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalise_studio
-from . import roles
+from ..functions.text import normalise_studio, percent
+from . import marts, roles
 
 
 def people_columns(people: DataFrame, columns: DataFrame, exclude: list[str] = ()) -> DataFrame:
@@ -45,9 +45,9 @@ def employed(credits: DataFrame, people: DataFrame, everyone: DataFrame, columns
     rows = credits.join(F.broadcast(columns), "game_id").join(owner, "name_raw", "left")
     rows = rows.withColumn("name", F.coalesce("shown", F.when(F.col("inclusion_class") == "community", F.col("name_raw")))).where("name is not null")
     key = lambda t, value: t.select(normalise_studio(F.col("studio")).alias("key"), F.trim(value).alias(value))
-    rows = rows.withColumn("key", normalise_studio(F.col("studio"))).where("key <> ''").join(F.broadcast(key(classes, "class")), "key", "left").where("class is null or class = 'vendor'")
+    rows = rows.withColumn("key", normalise_studio(F.col("studio"))).where("key <> ''").join(key(classes, "class"), "key", "left").where("class is null or class = 'vendor'")
     rows = rows.join(everyone.select("name", "cols"), "name").where("array_contains(cols, col)")
-    return rows.join(F.broadcast(key(types, "type")), "key", "left").select("col", "name", "key", "studio", F.coalesce("type", F.lit("development")).alias("type"))
+    return rows.join(key(types, "type"), "key", "left").select("col", "name", "key", "studio", F.coalesce("type", F.lit("development")).alias("type"))
 
 
 def studio_spellings(work: DataFrame) -> DataFrame:
@@ -97,3 +97,78 @@ def role_tables(per_release: DataFrame, columns: DataFrame) -> tuple[DataFrame,
     totals = per_release.groupBy("cls").agg(F.count("*").alias("n"))
     by_col = per_release.join(F.broadcast(columns), "game_id").groupBy("col", "cls").agg(F.count("*").alias("n"))
     return roles.column_fold(per_release, columns, "name", "game_id"), totals, by_col
+
+
+def roles_of(per_release: DataFrame, columns: DataFrame) -> DataFrame:
+    """(name, roles): each person's class by column, as a map, from (name, game_id, cls)."""
+    own = roles.column_fold(per_release, columns, "name", "game_id")
+    return own.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("col", "cls"))).alias("roles"))
+
+
+def fmt(n):
+    """Whole numbers with thousands separators."""
+    return F.format_number(n, 0)
+
+
+def label_year(label):
+    """The first year of a label like 2018-25."""
+    return F.substring(label, 1, 4).cast("int")
+
+
+def hero_numbers(everyone: DataFrame, work: DataFrame, columns: DataFrame, eras: list[str]) -> DataFrame:
+    """The headline numbers in one row.
+
+    ``everyone`` holds name, cols, community, publisher; ``work`` (col, name, key);
+    ``columns`` the small table (col, year label, era); ``eras`` the first, the
+    later and the last era. Developers are neither publishers nor volunteers; core
+    staff of a column are its developers without a vendor there.
+    """
+    first, later, _ = eras
+    at = everyone.select("name", (~F.col("community") & ~F.col("publisher")).alias("dev"), F.explode("cols").alias("col")).join(F.broadcast(columns), "col")
+    vendor = work.select("name", "col").distinct().withColumn("v", F.lit(True))
+    at = at.join(vendor, ["name", "col"], "left").withColumn("v", F.coalesce("v", F.lit(False)))
+    spot = F.struct("col", "era", label_year(F.col("year")).alias("year"), "v")
+    p = at.groupBy("name", "dev").agg(F.array_sort(F.collect_list(spot)).alias("c"))
+    size, final = F.size("c"), F.lit(columns.agg(F.max("col")).first()[0])
+    steps = F.transform(F.slice("c", 2, F.greatest(size - 1, F.lit(0))), lambda b, i: F.struct((b["col"] - F.get("c", i)["col"]).alias("d"), (b["year"] - F.get("c", i)["year"]).alias("y")))
+    p = p.withColumn("s", steps).withColumn("gap", F.array_max(F.transform(F.filter("s", lambda s: s["d"] > 1), lambda s: s["y"])))
+    some = lambda test: F.exists("c", test)
+    in_final = some(lambda x: x["col"] == final)
+    core_final = F.col("dev") & some(lambda x: (x["col"] == final) & ~x["v"])
+    prior = lambda era, core: some(lambda x: (x["era"] == era) & (x["col"] < final) & (~x["v"] if core else F.lit(True)))
+    in_later, core_later = some(lambda x: x["era"] == later), F.col("dev") & some(lambda x: (x["era"] == later) & ~x["v"])
+    n = F.count_if
+    steps_of = lambda test: F.coalesce(F.sum(F.size(F.filter("s", test))), F.lit(0)).cast("long")
+    longest = p.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("longest"))
+    of_people = p.crossJoin(F.broadcast(longest)).agg(  # one row
+        F.count("*").alias("people"),
+        n(some(lambda x: x["v"])).alias("with_vendor"),
+        n(size > 1).alias("several"),
+        steps_of(lambda s: s["d"] == 1).alias("unbroken"),
+        steps_of(lambda s: s["d"] > 1).alias("returns"),
+        n(core_later).alias("later_core"),
+        n(core_later & some(lambda x: (x["era"] == first) & ~x["v"])).alias("later_core_first"),
+        n(in_later).alias("later_all"),
+        n(in_later & some(lambda x: x["era"] == first)).alias("later_all_first"),
+        n(core_final).alias("final_core"),
+        n(core_final & prior(later, True)).alias("final_core_later"),
+        n(core_final & prior(first, True)).alias("final_core_first"),
+        n(in_final).alias("final_all"),
+        n(in_final & prior(later, False)).alias("final_all_later"),
+        n(in_final & prior(first, False)).alias("final_all_first"),
+        n(F.size(F.array_distinct(F.transform("c", lambda x: x["era"]))) == len(eras)).alias("all_eras"),
+        F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"),
+        n((F.col("gap") == F.col("longest")) & (F.col("gap") > 0)).alias("longest_gap_people"),
+    )
+    reach = marts.vendor_reach(work.select(F.col("key").alias("vendor"), F.col("col").alias("release"), F.col("name").alias("person")))
+    of_vendors = reach.agg(
+        F.count("*").alias("vendors"),
+        n(F.col("releases") == 1).alias("vendors_once"),
+        F.min_by(F.struct("vendor", "people", "releases"), F.struct(-F.col("people"), "vendor")).alias("top"),
+    ).select("vendors", "vendors_once", F.col("top.vendor").alias("top_vendor"), F.col("top.people").alias("top_people"), F.col("top.releases").alias("top_releases"))
+    both = of_people.crossJoin(of_vendors)  # one row with one row
+    share = lambda a, b: percent(F.col(a), F.col(b))
+    return both.withColumns({
+        "vendor_pct": share("with_vendor", "people"), "later_pct": share("later_core_first", "later_core"), "later_all_pct": share("later_all_first", "later_all"),
+        "final_later_pct": share("final_core_later", "final_core"), "final_first_pct": share("final_core_first", "final_core"), "people_text": fmt(F.col("people")),
+    })

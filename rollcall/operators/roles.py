@@ -37,35 +37,76 @@ def mapped(c: Column, table: dict[str, str]) -> Column:
     return out
 
 
-def row_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]], **cols: Column) -> Column:
-    """struct(cls, prov) of one credit.
+def _said(c: Column, prov: str) -> Column:
+    return F.when(c.isNotNull(), F.struct(c.alias("cls"), F.lit(prov).alias("prov")))
+
+
+def text_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]], **cols: Column) -> Column:
+    """struct(cls, prov) of what a credit's texts say, or null: the patterns of the cascade, apart from standing.
 
     ``headings`` and ``categories`` are ordered (pattern, label). Columns: category,
-    role_raw, tag, explicit, heading, vendor_type, inclusion; absent ones are ''.
-    Order: standing that always holds, category, role text, name tag, explicit role
-    (category rules, then heading rules), then inferred from heading and employer,
-    then standing as a fallback.
+    role_raw, tag, explicit, heading, vendor_type; absent ones are ''. Order:
+    category, role text, name tag, explicit role (category rules, then heading
+    rules), then inferred from heading and employer. Many credits share their texts:
+    apply it to distinct ones and join.
     """
     get = lambda name: F.coalesce(cols[name], F.lit("")) if name in cols else F.lit("")
-    said = lambda c, prov: F.when(c.isNotNull(), F.struct(c.alias("cls"), F.lit(prov).alias("prov")))
     by_heading = lambda c: F.when(c != "", first_match(c, headings, None))
     explicit = get("explicit")
     # the first category rule that maps to a class, not merely the first that matches
     usable = [(p, CATEGORY_CLASS[label]) for p, label in categories if label in CATEGORY_CLASS]
     return F.coalesce(
-        said(mapped(F.trim(get("inclusion")), STANDING_ALWAYS), STATED),
-        said(mapped(F.trim(get("category")), CATEGORY_CLASS), STATED),
-        said(by_heading(get("role_raw")), STATED),
-        said(by_heading(get("tag")), STATED),
-        said(F.when(explicit != "", first_match(explicit, usable, None)), STATED),
-        said(by_heading(explicit), STATED),
-        said(by_heading(get("heading")), INFERRED),
-        said(mapped(get("vendor_type"), VENDOR_TYPE_CLASS), INFERRED),
-        said(mapped(F.trim(get("inclusion")), STANDING_FALLBACK), STATED),
+        _said(mapped(F.trim(get("category")), CATEGORY_CLASS), STATED),
+        _said(by_heading(get("role_raw")), STATED),
+        _said(by_heading(get("tag")), STATED),
+        _said(F.when(explicit != "", first_match(explicit, usable, None)), STATED),
+        _said(by_heading(explicit), STATED),
+        _said(by_heading(get("heading")), INFERRED),
+        _said(mapped(get("vendor_type"), VENDOR_TYPE_CLASS), INFERRED),
+    )
+
+
+def standing_class(text: Column, inclusion: Column) -> Column:
+    """struct(cls, prov): standing that always holds, else what the texts say, else standing as a fallback, else unspecified."""
+    inclusion = F.trim(F.coalesce(inclusion, F.lit("")))
+    return F.coalesce(
+        _said(mapped(inclusion, STANDING_ALWAYS), STATED),
+        text,
+        _said(mapped(inclusion, STANDING_FALLBACK), STATED),
         F.struct(F.lit(UNSPECIFIED).alias("cls"), F.lit(STATED).alias("prov")),
     )
 
 
+def row_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]], inclusion: Column | None = None, **cols: Column) -> Column:
+    """struct(cls, prov) of one credit, by :func:`text_class` and :func:`standing_class`."""
+    return standing_class(text_class(headings, categories, **cols), F.lit("") if inclusion is None else inclusion)
+
+
+def with_context(credits: DataFrame, tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Adds what other tables know of a credit: tag (by name), explicit (by release and name), vendor_type (by the company as written), heading.
+
+    tags(name, tag), explicit(game_id, name, roles), vendor_types(studio, type); a
+    company's key is its text in lower case without outer space, corporate suffix
+    and all; of rows with one key the one with the greatest value counts.
+    """
+    name, studio = F.trim("name_raw"), F.lower(F.trim(F.coalesce("studio", F.lit(""))))
+    one = lambda t, keys, value, out: t.groupBy(*keys).agg(F.max(value).alias(out))
+    tag = one(tags.where("tag <> ''"), [F.trim("name").alias("__name")], F.col("tag"), "tag")
+    said = one(explicit.where("roles <> ''"), [F.col("game_id"), F.trim("name").alias("__name")], F.col("roles"), "explicit")
+    kind = one(vendor_types.where("trim(studio) <> '' and trim(type) <> ''"), [F.lower(F.trim("studio")).alias("__studio")], F.lower(F.trim("type")), "vendor_type")
+    out = with_heading(credits, index).withColumn("__name", name).withColumn("__studio", studio)
+    return out.join(tag, "__name", "left").join(said, ["game_id", "__name"], "left").join(kind, "__studio", "left").drop("__name", "__studio")
+
+
+def classify(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None, keys: list[str] = ("name_raw", "game_id")) -> DataFrame:
+    """(keys, cls, prov): one role class for each name and release, from credit rows and what other tables know of them."""
+    texts = ["category", "role_raw", "tag", "explicit", "heading", "vendor_type"]
+    full = with_context(credits, tags, explicit, vendor_types, index)
+    cls = text_class(headings, categories, **{c: F.col(c) for c in texts})
+    rows = full.select(*keys, standing_class(cls, F.col("inclusion_class")).alias("c"))
+    return votes(rows.select(*keys, "c.cls", "c.prov"), list(keys))
+
+
 def rank(cls: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, PRIORITY)), cls)
 

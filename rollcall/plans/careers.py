@@ -58,7 +58,7 @@ def parse(docs: DataFrame, rules: Rules, fixes: Corrections | None = None) -> Da
 def studio_class(credits: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds ``studio_class``: '' for none, the table's class, else vendor."""
     table = classes.select(normalise_studio(F.col("studio")).alias("__k"), F.trim("class").alias("__c"))
-    out = credits.withColumn("__k", normalise_studio(F.col("studio"))).join(F.broadcast(table), "__k", "left")
+    out = credits.withColumn("__k", normalise_studio(F.col("studio"))).join(table, "__k", "left")
     return out.withColumn("studio_class", F.when(F.col("__k") == "", "").otherwise(F.coalesce("__c", F.lit("vendor")))).drop("__k", "__c")
 
 

@@ -1,6 +1,7 @@
 """Every query of the engine and its SQL."""
 
-from . import continuity, names, parsing
+from . import continuity, credits, names, parsing
 
-QUERIES = {**continuity.QUERIES, **names.QUERIES, **parsing.QUERIES}
-SQL = {**continuity.SQL, **names.SQL, **parsing.SQL}
+_PLANS = (continuity, names, parsing, credits)
+QUERIES = {name: f for p in _PLANS for name, f in p.QUERIES.items()}
+SQL = {name: text for p in _PLANS for name, text in p.SQL.items()}

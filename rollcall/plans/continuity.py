@@ -141,15 +141,6 @@ def all_eras_people(spark, d):
 SQL["all_eras_people"] = f"WITH {PG} SELECT person FROM pg JOIN rel ON pg.release = rel.release GROUP BY 1 HAVING count(DISTINCT era) = {len(ERAS)}"
 
 
-def uncertain_review(spark, d):
-    """People whose largest gap is over the limit, with their releases joined."""
-    years = appearances(spark, d).select("person", "release").distinct().groupBy("person").agg(F.array_join(F.transform(F.array_sort(F.collect_list("release")), lambda y: y.cast("string")), "|").alias("games"))
-    return person_metrics(spark, d).where("uncertain").join(years, "person").select("person", "games", F.col("span_years").alias("years"), "largest_gap", F.lit("").alias("ruling"))
-
-
-SQL["uncertain_review"] = f"WITH m AS ({SQL['person_metrics']}), g AS (SELECT person, string_agg(CAST(y AS VARCHAR), '|' ORDER BY y) AS games FROM (SELECT DISTINCT o_custkey AS person, year(o_orderdate) AS y FROM orders WHERE o_orderstatus <> 'P') x GROUP BY 1) SELECT m.person, games, span_years AS years, largest_gap, '' AS ruling FROM m JOIN g ON m.person = g.person WHERE uncertain"
-
-
 # --- marts ------------------------------------------------------------------
 
 
@@ -179,20 +170,14 @@ SQL["top_vendor"] = f"WITH {_FACTS} SELECT vendor, count(DISTINCT person) AS peo
 
 
 def single_release_vendors(spark, d):
-    """Customers' years with one order only: what was credited once."""
-    n = appearances(spark, d).groupBy("person").agg(F.count_distinct("release").alias("n"))
-    return n.where("n = 1").select("person")
-
-
-SQL["single_release_vendors"] = f"WITH {PG} SELECT person FROM pg GROUP BY 1 HAVING count(DISTINCT release) = 1"
-
-
-def vendor_chips(spark, d):
-    """Distinct people of each vendor and release, most first."""
-    return facts(spark, d).distinct().groupBy("vendor", "release").agg(F.count("*").alias("people"))
+    """Companies (a supplier of a part) that are credited in one release only, and their people."""
+    li = read(spark, d, "lineitem").select("l_orderkey", F.concat_ws("/", "l_partkey", "l_suppkey").alias("vendor"))
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    f = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("vendor", F.year("o_orderdate").alias("release"), F.col("o_custkey").alias("person"))
+    return marts.vendor_reach(f).where("releases = 1").select("vendor", "people")
 
 
-SQL["vendor_chips"] = f"WITH {_FACTS} SELECT vendor, release, count(DISTINCT person) AS people FROM f GROUP BY 1, 2"
+SQL["single_release_vendors"] = "SELECT l_partkey || '/' || l_suppkey AS vendor, count(DISTINCT o_custkey) AS people FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT year(o_orderdate)) = 1"
 
 
 def mode_spelling(spark, d):
@@ -210,15 +195,6 @@ def composition_share(spark, d):
 SQL["composition_share"] = "WITH n AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS release, o_orderpriority AS kind, count(*) AS n FROM orders GROUP BY 1, 2) SELECT release, kind, n, CAST(round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY release), 0) AS INTEGER) AS pct FROM n"
 
 
-def hero_numbers(spark, d):
-    """Headline numbers in one row, each a plain aggregate of the person table."""
-    m = person_metrics(spark, d)
-    return m.agg(F.count("*").alias("people"), F.sum("game_count").alias("appearances"), F.count_if("uncertain").alias("uncertain"), F.count_if(F.col("game_count") == 1).alias("once"), F.max("game_count").alias("most"), F.max("span_years").alias("longest_career"), F.max("largest_gap").alias("longest_gap"))
-
-
-SQL["hero_numbers"] = f"WITH m AS ({SQL['person_metrics']}) SELECT count(*) AS people, CAST(sum(game_count) AS BIGINT) AS appearances, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (game_count = 1) AS once, max(game_count) AS most, max(span_years) AS longest_career, max(largest_gap) AS longest_gap FROM m"
-
-
 def columns_of(spark, d):
     """People with the distinct grid columns of their releases (1998 and 1999 share one)."""
     col = F.when(F.col("release") > 1998, F.col("release") - 1996).otherwise(F.col("release") - 1995).cast("int")
@@ -227,37 +203,15 @@ def columns_of(spark, d):
 
 
 _COLS = "cp AS (SELECT DISTINCT printf('c%07d', o_custkey) AS name, CAST(CASE WHEN year(o_orderdate) > 1998 THEN year(o_orderdate) - 1996 ELSE year(o_orderdate) - 1995 END AS INTEGER) AS col FROM orders WHERE o_orderstatus <> 'P'), c AS (SELECT name, list(col ORDER BY col) AS cols, min(col) AS a, max(col) AS z, count(*) AS n FROM cp GROUP BY 1)"
-_CAREER = "z DESC, a, list_transform(list_reverse(cols), lambda x: -x), name"
-
-
-def career_sort(spark, d):
-    from pyspark.sql import Window as W
-
-    p = columns_of(spark, d)
-    return p.select("name", F.concat_ws("|", F.transform("cols", lambda x: x.cast("string"))).alias("cols"), F.row_number().over(W.orderBy(*layout.career_order())).alias("place"))
-
-
-SQL["career_sort"] = f"WITH {_COLS} SELECT name, array_to_string(cols, '|') AS cols, CAST(row_number() OVER (ORDER BY {_CAREER}) AS INTEGER) AS place FROM c"
-
-
-def slot_packing(spark, d):
-    """Grid cells and, with row -1, people who found no cell."""
-    placed, over = layout.slot_packing(columns_of(spark, d), 6)
-    return placed.unionByName(over.withColumn("row", F.lit(-1)).select("row", "col", "name"))
-
-
-SQL["slot_packing"] = f"""WITH {_COLS}, m AS (SELECT *, CAST(row_number() OVER (ORDER BY {_CAREER}) - 1 AS INTEGER) AS row FROM c WHERE n > 1),
-fr AS (SELECT m.row, g.col, row_number() OVER (PARTITION BY g.col ORDER BY m.row) AS k FROM m, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS col) g WHERE g.col < m.a OR g.col > m.z),
-s AS (SELECT name, a AS col, row_number() OVER (PARTITION BY a ORDER BY name) AS k FROM c WHERE n = 1)
-SELECT m.row, cp.col, m.name FROM m JOIN cp ON m.name = cp.name UNION ALL SELECT coalesce(fr.row, -1), s.col, s.name FROM s LEFT JOIN fr ON s.col = fr.col AND s.k = fr.k"""
 
 
 def overflow_bins(spark, d):
-    single = columns_of(spark, d).where("size(cols) = 1").select("name")
-    return layout.bins(single, 12, "name")
+    """People of one column in lines of twelve, column by column."""
+    single = columns_of(spark, d).where("size(cols) = 1").select("name", F.get("cols", F.lit(0)).alias("col"))
+    return layout.bins(single, 12, "col", "name")
 
 
-SQL["overflow_bins"] = f"WITH {_COLS}, s AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS k FROM c WHERE n = 1) SELECT name, CAST(k // 12 AS INTEGER) AS line, CAST(k % 12 AS INTEGER) AS place FROM s"
+SQL["overflow_bins"] = f"WITH {_COLS}, s AS (SELECT name, a AS col, row_number() OVER (PARTITION BY a ORDER BY name) - 1 AS k FROM c WHERE n = 1) SELECT name, col, CAST(k // 12 AS INTEGER) AS line, CAST(k % 12 AS INTEGER) AS place FROM s"
 
 
 REPRINTS = [(0, 2), (0, 3), (1, 3), (2, 5), (4, 5)]

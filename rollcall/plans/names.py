@@ -24,18 +24,15 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # --- spellings and people -----------------------------------------------------
 
 
-def first_lines(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-
-
 @query
 def normalised_keys(spark, d):
-    lines = first_lines(spark, d)
+    """The spelling key of each line of each document; a null text is one empty line."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     keys = lines.select("line").distinct().withColumn("key", T.normalise_name("line"))
-    return lines.join(keys, "line").select("doc_id", "key")
+    return lines.join(keys, "line").select("doc_id", "line_no", "key")
 
 
-SQL["normalised_keys"] = r"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(split_part(text, chr(10), 1)), '[^\p{L}\p{N}_ ]', '', 'g')), '\s+', ' ', 'g')) AS key FROM documents"
+SQL["normalised_keys"] = r"WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), e AS (SELECT doc_id, CAST(unnest(range(0, len(x))) AS INTEGER) AS line_no, unnest(x) AS line FROM l) SELECT doc_id, line_no, trim(regexp_replace(lower(regexp_replace(strip_accents(line), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', ' ', 'g')) AS key FROM e"
 
 
 @query
@@ -105,14 +102,14 @@ SQL["person_facts"] = f"WITH {CREDITS} SELECT DISTINCT person_id, game_id, raw A
 
 @query
 def whole_word_attribution(spark, d):
-    """Known words found whole inside a part's compound credit, by a containment test and then the pattern."""
-    p = read(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(" and "), "p_type").alias("text"))
-    names = read(spark, d, "part").select(F.substring_index("p_name", " ", 1).alias("name")).distinct()
-    hit = p.join(F.broadcast(names), F.expr(r"contains(text, name) and regexp_like(text, concat('\\b\\Q', name, '\\E\\b'))"))
-    return hit.groupBy("name").agg(F.count("*").alias("n"))
+    """Part names found whole inside other parts' compound credits, by the resolver's own join."""
+    p = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("person_id"), "p_name", "p_type")
+    own = p.select("person_id", F.lit("g").alias("game_id"), F.when(F.col("person_id") % 4 == 0, F.concat("p_name", F.lit(" and "), "p_type")).otherwise(F.col("p_name")).alias("variant"), F.col("person_id").alias("ord"))
+    shown = own.select("person_id", F.col("variant").alias("display_name"), F.lit(False).alias("is_split"))
+    return identity.compound_facts(own, shown).groupBy("person_id").agg(F.count_distinct("variant").alias("texts"))
 
 
-SQL["whole_word_attribution"] = r"WITH p AS (SELECT p_partkey, p_name || ' and ' || p_type AS text FROM part), w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) SELECT name, count(*) AS n FROM p, w WHERE regexp_matches(text, '\b' || name || '\b') GROUP BY 1"
+SQL["whole_word_attribution"] = r"WITH n AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 4 = 0 THEN p_name || ' and ' || p_type ELSE p_name END AS v FROM part) SELECT a.id AS person_id, count(DISTINCT b.v) AS texts FROM n a JOIN n b ON a.id <> b.id AND lower(b.v) LIKE '% and %' AND lower(a.v) NOT LIKE '% and %' AND contains(b.v, a.v) AND regexp_matches(b.v, '\b' || a.v || '\b') GROUP BY 1"
 
 
 @query
@@ -218,20 +215,19 @@ HEADINGS = [(r"(?i)\bsteel\b", "engineering"), (r"(?i)\b(tin|nickel)", "qa"), (r
 
 
 def classified(spark, d):
-    """Each order line as a credit: the part says category, text and employer, the line its standing."""
+    """Each order line as a credit: the part says category, text and employer, the line its standing. Texts are read once a part."""
     li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     p = read(spark, d, "part").select("p_partkey", part_text().alias("t"), "p_brand", "p_size")
-    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"))
-    cat = rules.first_match(F.col("t"), RULES)
-    cls = roles.row_class(
+    said = roles.text_class(
         HEADINGS, RULES,
-        category=F.when(F.col("p_size") > 20, cat).otherwise(F.lit("")),
+        category=F.when(F.col("p_size") > 20, rules.first_match(F.col("t"), RULES)).otherwise(F.lit("")),
         role_raw=F.when(F.col("p_size") % 2 == 0, F.col("t")).otherwise(F.lit("")),
         heading=F.col("p_brand"),
         vendor_type=F.when(F.col("p_size") < 5, "testing").otherwise("development"),
-        inclusion=F.when(F.col("l_linenumber") == 7, "babies").when(F.col("l_returnflag") == "R", "publishing").otherwise("core"),
     )
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.year("l_shipdate").alias("y"), cls.alias("c"))
+    j = li.join(p.select("p_partkey", said.alias("said")), F.col("l_partkey") == F.col("p_partkey"))
+    standing = F.when(F.col("l_linenumber") == 7, "babies").when(F.col("l_returnflag") == "R", "publishing").otherwise("core")
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.year("l_shipdate").alias("y"), roles.standing_class(F.col("said"), standing).alias("c"))
 
 
 def _head(t: str) -> str:
@@ -298,17 +294,6 @@ def studio_suffix_norm(spark, d):
 SQL["studio_suffix_norm"] = f"WITH {_COMP} SELECT s_suppkey, trim(key) AS studio FROM c"
 
 
-@query
-def classify_studio(spark, d):
-    classes = read(spark, d, "supplier").where("s_suppkey % 10 = 3").select(F.lower("s_name").alias("key"), F.lit("first-party").alias("class"))
-    c = companies(spark, d).withColumn("key", F.when(F.col("s_suppkey") % 11 == 0, "").otherwise(T.normalise_studio(F.col("studio"))))
-    out = c.join(classes, "key", "left")
-    return out.select("s_suppkey", F.when(F.col("key") == "", "").otherwise(F.coalesce("class", F.lit("vendor"))).alias("class"))
-
-
-SQL["classify_studio"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 11 = 0 THEN '' WHEN s_suppkey % 10 = 3 THEN 'first-party' ELSE 'vendor' END AS class FROM supplier"
-
-
 # --- corrections -------------------------------------------------------------------
 
 
@@ -457,22 +442,20 @@ def html_udtf(spark, d):
 
 SQL["html_udtf"] = r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1) AS l FROM pages), y AS (SELECT page_id, unnest(l) AS item, unnest(range(0, len(l))) AS n FROM x) SELECT page_id, CAST(n AS INTEGER) AS n, replace(replace(replace(replace(trim(regexp_replace(item, '<[^>]+>', '', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS item FROM y"""
 
-NAME = r"^[A-Z][\w.'-]*( [A-Z][\w.'-]*){1,3}$"
-
-
 @query
 def roster_split(spark, d):
-    """Customers of one nation on one line; three or more parts, all shaped like names, become rows."""
-    name = F.concat(F.element_at(F.array(F.lit("Ann"), F.lit("Bo"), F.lit("cy")), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(" K"), F.col("c_custkey").cast("string"))
-    c = read(spark, d, "customer").where("c_custkey % 3 <> 2 or c_nationkey % 2 = 0")
-    lines = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", name.alias("n")))), lambda x: x["n"]), ", ").alias("line"))
-    parts = F.transform(F.split("line", ","), lambda x: F.btrim(x))
-    ok = (F.size("p") >= 3) & F.forall("p", lambda x: x.rlike(NAME))
-    return lines.withColumn("p", parts).select("c_nationkey", F.explode(F.when(ok, F.col("p")).otherwise(F.array("line"))).alias("name"))
+    """All customers of a nation on one line: three or more people become rows, a line with a company or another spelling stays."""
+    from ..sources.wikitext import roster
+
+    first = F.when((F.col("c_nationkey") % 3 == 1) & (F.col("c_custkey") % 3 == 0), "cy").when((F.col("c_nationkey") % 3 == 2) & (F.col("c_custkey") % 7 == 0), "Bo Media").otherwise("Ann")
+    c = read(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat(first, F.lit(" K"), F.col("c_custkey").cast("string")).alias("n"))
+    lines = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "n"))), lambda x: x["n"]), ", ").alias("line"))
+    names = F.pandas_udf(lambda t: t.map(roster), "array<string>")("line")
+    return lines.withColumn("p", names).select("c_nationkey", F.explode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array("line"))).alias("name"))
 
 
-SQL["roster_split"] = r"""WITH n AS (SELECT c_nationkey, c_custkey, (CASE c_custkey % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bo' ELSE 'cy' END) || ' K' || c_custkey AS n FROM customer WHERE c_custkey % 3 <> 2 OR c_nationkey % 2 = 0),
-g AS (SELECT c_nationkey, count(*) >= 3 AND bool_and(regexp_matches(n, '^[A-Z]')) AS ok, string_agg(n, ', ' ORDER BY c_custkey) AS line FROM n GROUP BY 1)
+SQL["roster_split"] = r"""WITH n AS (SELECT c_nationkey, c_custkey, CASE WHEN c_nationkey % 3 = 1 AND c_custkey % 3 = 0 THEN 'cy' WHEN c_nationkey % 3 = 2 AND c_custkey % 7 = 0 THEN 'Bo Media' ELSE 'Ann' END || ' K' || c_custkey AS n FROM customer),
+g AS (SELECT c_nationkey, count(*) >= 3 AND bool_and(n LIKE 'Ann %') AS ok, string_agg(n, ', ' ORDER BY c_custkey) AS line FROM n GROUP BY 1)
 SELECT n.c_nationkey, n.n AS name FROM n JOIN g ON n.c_nationkey = g.c_nationkey WHERE g.ok UNION ALL SELECT c_nationkey, line FROM g WHERE NOT ok"""
 
 

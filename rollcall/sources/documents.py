@@ -168,17 +168,21 @@ def http_get(url: str) -> str:
         return answer.read().decode("utf-8", "strict")
 
 
-def script_url(page: str, origin: str) -> str:
+def script_url(page: str, origin: str, pattern: str) -> str:
+    """The address of the page's script: ``pattern`` is the site's, with the address as its group."""
     import re
 
-    m = re.search(r'src="(/_next/static/chunks/pages/[^"]*credits-[^"]+\.js)"', page)
+    m = re.search(pattern, page)
     if not m:
         raise ValueError("the page names no credits script")
     return origin + m[1]
 
 
-def freeze(url: str, parser: str, path: str, get: Callable[[str], str] = http_get) -> bool:
-    """Writes a source's text as it came; False without a url. Bundles are page, marker and script; wikis the markup in the answer."""
+def freeze(url: str, parser: str, path: str, get: Callable[[str], str] = http_get, options: dict | None = None) -> bool:
+    """Writes a source's text as it came; False without a url.
+
+    Bundles are page, marker and script, whose address the option ``script`` finds; wikis the markup in the answer.
+    """
     from pathlib import Path
     from urllib.parse import urlsplit
 
@@ -187,7 +191,7 @@ def freeze(url: str, parser: str, path: str, get: Callable[[str], str] = http_ge
     text = get(url)
     if parser == "bundle":
         parts = urlsplit(url)
-        text = f"{text}\n{bundle.MARKER}\n{get(script_url(text, f'{parts.scheme}://{parts.netloc}'))}"
+        text = f"{text}\n{bundle.MARKER}\n{get(script_url(text, f'{parts.scheme}://{parts.netloc}', (options or {})['script']))}"
     elif parser == "wikitext":
         data = json.loads(text)
         if "error" in data:

@@ -137,7 +137,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_freeze_and_frozen_scan(spark, tmp_path):
     answers = {"http://w/x": '{"parse":{"wikitext":"===A===\\n* B C"}}', "http://b/x": '<script src="/_next/static/chunks/pages/en/credits-1.js">', "http://b/_next/static/chunks/pages/en/credits-1.js": "code"}
     assert io.freeze("http://w/x", "wikitext", f"{tmp_path}/raw/w/a b.txt", answers.get)
-    assert io.freeze("http://b/x", "bundle", f"{tmp_path}/raw/b/m.txt", answers.get)
+    assert io.freeze("http://b/x", "bundle", f"{tmp_path}/raw/b/m.txt", answers.get, {"script": r'src="(/_next/[^"]*credits-[^"]+[.]js)"'})
     assert not io.freeze("", "sheet", f"{tmp_path}/raw/none.txt")
     with pytest.raises(ValueError, match="nope"):
         io.freeze("u", "wikitext", "", lambda _: '{"error":{"code":"nope"}}')

@@ -42,16 +42,15 @@ def test_gaps_and_rulings(spark):
     assert set(p) == {"a-one#r1", "a-one#r14"}
 
 
-def test_compound_credits(spark, monkeypatch):
+def test_compound_credits(spark):
     rows = [("r2", "Jamie P", ""), ("r1", "Jamie P and Common N", ""), ("r3", "Common N", ""), ("r14", "Common N", ""), ("r3", "Sam Jr.", ""), ("r1", "Sam Jr. & Jamie Pal", "")]
-    for limit in (identity.COMPOUND_BROADCAST, 0):
-        monkeypatch.setattr(identity, "COMPOUND_BROADCAST", limit)
-        p, people, _ = resolve(spark, rows, reviews=[("common-n", "split")])
-        assert p["jamie-p"].games == ["r1", "r2"] and p["jamie-p"].variants == ["Jamie P and Common N", "Jamie P"]
-        assert all("r1" not in v.games for k, v in p.items() if k.startswith("common-n"))
-        assert p["sam-jr"].games == ["r3"]
-        real = {r.person_id for r in identity.real_people(people).collect()}
-        assert "jamie-p-and-common-n" not in real and "jamie-p" in real and "sam-jr-jamie-pal" in real
+    rows += [("r3", "--", ""), ("r1", "a--b and C", "")]  # a name without a word character
+    p, people, _ = resolve(spark, rows, reviews=[("common-n", "split")])
+    assert p["jamie-p"].games == ["r1", "r2"] and p["jamie-p"].variants == ["Jamie P and Common N", "Jamie P"]
+    assert all("r1" not in v.games for k, v in p.items() if k.startswith("common-n"))
+    assert p["sam-jr"].games == ["r3"] and p["unknown"].games == ["r1", "r3"]
+    real = {r.person_id for r in identity.real_people(people).collect()}
+    assert "jamie-p-and-common-n" not in real and "jamie-p" in real and "sam-jr-jamie-pal" in real
 
 
 def test_first_read_order_is_of_files(spark):

@@ -10,15 +10,15 @@ from rollcall.sources import indexes
 def test_heading_indexes_roles_and_tags(spark):
     wiki = "intro\n==A==\nx\n===B===\ny\n== [[t|C]] ==\n'''z'''\n"
     docs = spark.createDataFrame([("g", wiki)], "game_id string, text string")
-    assert {(r.source_ref, r.heading) for r in indexes.wiki_heading_index(docs).collect()} >= {("L3", "A"), ("L5", "A / B"), ("L7", "C")}
+    assert {(r.source_ref, r.heading) for r in indexes.wiki_heading_index(docs).collect()} >= {("L3", "A"), ("L5", "A / B"), ("L7", "t")}
     page = "<tr>0</tr><h2>One &amp; <b>x</b></h2><tr>1</tr><tr>2</tr><h4>Two</h4><TR>3</tr>"
     docs = spark.createDataFrame([("g", page)], "game_id string, text string")
     assert {(r.source_ref, r.heading) for r in indexes.table_heading_index(docs).collect()} == {("tr1", "One & x"), ("tr2", "One & x"), ("tr3", "Two")}
     row = lambda role, *people: f'<tr><td class="text-right">{role}</td><td>' + "".join(f'<a href="/person/1/{p}/">{p}</a>' for p in people) + "</td></tr>"
     docs = spark.createDataFrame([("g", row("Lead", "A", "B") + row("Art &amp; more", "A") + row("Lead", "A") + row("", "C"))], "game_id string, text string")
     assert {(r["name"], r.roles) for r in indexes.explicit_roles(docs).collect()} == {("A", "Lead | Art & more"), ("B", "Lead")}
-    fixes = spark.createDataFrame([("A Bee (VOLT) (Tech Art)", "A Bee", 0), ("A Bee (QA)", "A Bee", 1), ("X (Big Group)", "X", 2), ("Y & Z (Art)", "Y|Z", 3), ("W (12)", "W", 4)], "name_raw string, names string, place int")
-    assert {tuple(r) for r in indexes.name_tags(fixes, ["volt"]).collect()} == {("A Bee", "Tech Art")}
+    fixes = spark.createDataFrame([("A Bee (VOLT) (Tech Art)", "A Bee", 0), ("A Bee (QA)", "A Bee", 1), ("X (Big Group)", "X", 2), ("Y & Z (Art)", "Y|Z", 3), ("W (12)", "W", 4), ("V (Co-op Design)", "V", 5)], "name_raw string, names string, place int")
+    assert {tuple(r) for r in indexes.name_tags(fixes, ["volt"]).collect()} == {("A Bee", "Tech Art"), ("V", "Co-op Design")}
     marked = spark.createDataFrame([("g", "Ann", 0), ("h", "Anna", 1), ("h", "Ann ", 2)], "game_id string, name_raw string, ord int")
     cols = spark.createDataFrame([("g", 0), ("h", 3)], "game_id string, col int")
     al = spark.createDataFrame([("Anna", "ann")], "name_variant string, person_id string")
