@@ -2,31 +2,39 @@ r"""Token counts by trie-shared dynamic programming.
 
 A unigram model scores a segmentation by the sum of its pieces' log-probabilities
 and the best one gives the token count. Pieces are those of a public vocabulary
-file; piece number r counts as the r-th most frequent and gets the Zipf
-log-probability log(1 / (r + 2.7)), up to a constant; a character without a piece
-falls back to its UTF-8 bytes. Ties go to fewer tokens.
-
-Pre-tokens are words ``[^\x20\x09-\x0D]+`` behind the vocabulary's word mark. The
-distinct ones of a batch that have no count yet are walked in sorted order, which
-is the depth-first order of their trie: forward scores stay on the path's stack,
-so each shared prefix is scored once, and the score's token count is stored where
-a pre-token ends. A document's count is the sum over its words. Stored counts
-are kept by a Python worker up to ``CACHED`` words and then start anew, which
-changes no result.
-
-Defined results: null and empty texts have no tokens; repeated rows are all
-returned; empty tables give no rows; extra columns are ignored.
+file, which is only read. Their probabilities are estimated from the documents:
+each piece's count over all words as that file's own tokenizer cuts them, plus one,
+over the sum; a character without a piece falls back to its UTF-8 bytes, which are
+counted alike. Ties go to fewer tokens.
+
+Pre-tokens are words ``[^\x20\x09-\x0D]+`` behind the vocabulary's word mark. Each
+Python worker inserts the distinct ones that it meets in a trie whose nodes hold
+the forward score (log-probability and tokens) of their prefix, so a prefix that
+words share is scored once, and keeps each word's terminal count. A document's
+count is the sum over its words. Trie and counts start anew beyond ``NODES`` nodes
+and ``CACHED`` words; words over ``LONG`` characters are scored apart, in a window as
+long as the longest piece. None of this changes a result.
+
+Two passes over the documents: one for the model (a count a piece leaves each
+task), one for the counts. Nothing else is shuffled.
+
+Defined results: null and empty texts have no tokens; texts and words of any length
+are counted whole; repeated rows count each and are all returned; empty tables give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
+from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,95 +42,198 @@ from .common import small_batches, table
 
 MARK = "▁"
 CACHED, LEFT, KEPT_BYTES = 1_000_000, 200_000, 64
+NODES, LONG = 600_000, 1_000
+_SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def split_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the word at each place or -1 between two spaces, each text's end among the places)."""
+    _, offsets, data = pa.concat_arrays([pc.fill_null(column.cast(pa.string()), "")]).buffers()
+    raw = b"" if data is None else data.to_pybytes().translate(_SPACES)
+    split = pc.split_pattern(pa.StringArray.from_buffers(len(column), offsets, pa.py_buffer(raw)), " ")
+    chunks = split.flatten().cast(pa.binary()).dictionary_encode()
+    every, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+    if b"" in every:
+        empty = every.index(b"")
+        every[empty], last = every[-1], len(every) - 1
+        every.pop()
+        at = np.where(at == empty, -1, np.where(at == last, empty, at))
+    return every, at, split.offsets.to_numpy()
 
 
 @dataclass
 class Pieces:
-    """Log-probability of each piece, and of a byte."""
+    """Log-probability of each piece, and of each byte that stands for itself."""
 
     score: dict[str, float]
-    byte: float
+    byte: list[float]
+    reach: dict[str, int] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.score), default=1)
+        self.reach = {}  # the longest piece that ends in a character
+        for p in self.score:
+            self.reach[p[-1]] = max(self.reach.get(p[-1], 0), len(p))
+
+    def bytes_of(self, ch: str) -> tuple[float, int]:
+        raw = ch.encode("utf-8", "replace")
+        return sum(self.byte[b] for b in raw), len(raw)
 
 
-def load(path: str) -> Pieces:
+@lru_cache(1)
+def tokenizer(path: str):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    ranks = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return Pieces({p: -math.log(r + 2.7) for r, p in enumerate(ranks)}, -math.log(len(ranks) + 2.7) - 1)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-class Counter:
-    """Token counts of pre-tokens, each trie prefix scored once a batch."""
+def model_of(path: str, counts: dict[int, int]) -> Pieces:
+    """From counts by piece number."""
+    sp = tokenizer(path)
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))]
+    total = math.log(sum(counts.get(i, 0) + 1 for i in ids))
+    score, byte = {}, [-total] * 256
+    for i in ids:
+        p, piece = math.log(counts.get(i, 0) + 1) - total, sp.id_to_piece(i)
+        if sp.is_byte(i):
+            byte[int(piece[3:5], 16)] = p  # <0xHH>
+        else:
+            score[piece] = p
+    return Pieces(score, byte)
+
+
+def piece_counts(docs: DataFrame, model: str, text_col: str = "text") -> dict[int, int]:
+    """How often each piece of the vocabulary occurs in all words of all documents: a bounded number of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, total = tokenizer(model), None
+        for b in batches:
+            every, at, _ = split_words(b.column(0))
+            n = np.bincount(at[at >= 0], minlength=len(every))
+            cut = sp.encode([w.decode("utf-8", "replace") for w in every], num_threads=1)
+            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+            ids = np.fromiter(chain.from_iterable(cut), np.int64, int(sizes.sum()))
+            part = np.bincount(ids, np.repeat(n, sizes), sp.get_piece_size()).astype(np.int64)
+            total = part if total is None else total + part
+        if total is not None:
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["piece", "n"])
+
+    small_batches(docs.sparkSession)
+    got = docs.select(F.col(text_col)).mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(got["piece"].to_pylist(), got["n"].to_pylist(), strict=True))
+
+
+class Trie:
+    """Pre-tokens character by character; nodes hold their prefix's best score and its tokens."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.counts = pieces, {}
-
-    def learn(self, new: list[bytes]) -> None:
-        score, longest, byte = self.pieces.score.get, self.pieces.longest, self.pieces.byte
-        counts, before = self.counts, ""
-        best, used = [0.0], [0]  # by depth on the path
-        for raw, word in sorted((MARK + w.decode("utf-8", "replace"), w) for w in new):
-            n = len(raw)
-            same = 0
-            stop = min(n, len(before))
-            while same < stop and raw[same] == before[same]:
-                same += 1
-            del best[same + 1 :], used[same + 1 :]
-            for end in range(same + 1, n + 1):
-                size = len(raw[end - 1].encode("utf-8", "replace"))
-                top, fewest = best[end - 1] + byte * size, used[end - 1] + size
-                for start in range(max(0, end - longest), end):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.kids: dict[int, int] = {}  # (node, character) to node
+        self.best, self.used = [0.0], [0]
+
+    def tokens(self, raw: str) -> int:
+        if len(raw) > LONG:
+            return self.apart(raw)
+        if len(self.best) > NODES:
+            self.clear()
+        kids, best, used, score, reach = self.kids, self.best, self.used, self.pieces.score.get, self.pieces.reach.get
+        node, path = 0, [0]
+        for end, ch in enumerate(raw, 1):
+            key = node << 21 | ord(ch)
+            node = kids.get(key)
+            if node is None:
+                s, size = self.pieces.bytes_of(ch)
+                top, fewest = best[path[-1]] + s, used[path[-1]] + size
+                for start in range(max(0, end - reach(ch, 0)), end):
                     s = score(raw[start:end])
                     if s is not None:
-                        s += best[start]
-                        if s > top or s == top and used[start] + 1 < fewest:
-                            top, fewest = s, used[start] + 1
+                        at = path[start]
+                        s += best[at]
+                        if s > top or s == top and used[at] + 1 < fewest:
+                            top, fewest = s, used[at] + 1
+                node = kids[key] = len(best)
                 best.append(top), used.append(fewest)
-            counts[word] = used[n]
-            before = raw
+            path.append(node)
+        return used[node]
+
+    def apart(self, raw: str) -> int:
+        """The same without nodes, for words that no other begins with."""
+        pieces, keep = self.pieces, self.pieces.longest + 1
+        best, used, first = [0.0], [0], 0  # of prefixes first, first + 1, ...
+        for end, ch in enumerate(raw, 1):
+            s, size = pieces.bytes_of(ch)
+            top, fewest = best[-1] + s, used[-1] + size
+            for start in range(max(0, end - pieces.reach.get(ch, 0)), end):
+                s = pieces.score.get(raw[start:end])
+                if s is not None:
+                    s += best[start - first]
+                    if s > top or s == top and used[start - first] + 1 < fewest:
+                        top, fewest = s, used[start - first] + 1
+            best.append(top), used.append(fewest)
+            if len(best) > 2 * keep:
+                first += len(best) - keep
+                del best[:-keep], used[:-keep]
+        return used[-1]
+
 
-    def __call__(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
+class Counter:
+    """Token counts of words, kept by a Python worker."""
+
+    def __init__(self, pieces: Pieces):
+        self.trie, self.counts = Trie(pieces), {}
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> Iterator[tuple[int, int]]:
         """(words, tokens) of each text."""
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        every = set().union(*split)
-        new = [w for w in every if w not in self.counts]  # a set difference would walk the whole cache
-        if len(self.counts) + len(new) > CACHED:
-            self.counts.clear()
-            new = list(every)
-        self.learn(new)
-        for ws in split:
-            yield len(ws), sum(map(self.counts.__getitem__, ws))
-        for w in every:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        every, at, ends = split_words(column)
+        counts, tokens = self.counts, self.trie.tokens
+        new = [w for w in every if w not in counts]  # a set difference would walk the whole store
+        if len(counts) + len(new) > CACHED:
+            counts.clear()
+            new = every
+        for w in new:
+            counts[w] = tokens(MARK + w.decode("utf-8", "replace"))
+        each = np.fromiter(chain(map(counts.__getitem__, every), (0,)), np.int64, len(every) + 1)  # -1 is the last
+        sums = np.concatenate(([0], np.cumsum(each[at])))[ends]
+        words = np.concatenate(([0], np.cumsum(at >= 0)))[ends]
+        for w in new:
             if len(w) > KEPT_BYTES:
-                del self.counts[w]
-
+                del counts[w]
+        yield from zip(np.diff(words).tolist(), np.diff(sums).tolist(), strict=True)
 
     def trim(self) -> None:
         """Leaves what was learned first, which is what is frequent: idle Python workers hold little."""
+        self.trie.clear()
         if len(self.counts) > LEFT:
             self.counts = dict(islice(self.counts.items(), LEFT))
 
 
-@lru_cache(1)
-def counter_of(model: str) -> Counter:
-    """One for all tasks of a Python worker; found through the module, as globals of a task's closure are copies."""
-    return Counter(load(model))
+_counters: dict[str, Counter] = {}
+
+
+def _counter(name: str, pieces: Pieces) -> Counter:
+    """One for all tasks of a Python worker that have the same model."""
+    if name not in _counters:
+        _counters.clear()
+        _counters[name] = Counter(pieces)
+    return _counters[name]
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens), a row for each row of ``docs``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast((uuid4().hex, model_of(model, piece_counts(docs, model, text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = counter_of(model)
+        counter = _counter(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                got = list(counter(b.column(1).to_pylist()))
+                got = list(counter(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], ["id", "n_words", "n_tokens"])
         counter.trim()
 

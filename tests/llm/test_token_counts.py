@@ -1,10 +1,22 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
 from rollcall.llm import token_counts
 
-pytest.importorskip("sentencepiece")
+sentencepiece = pytest.importorskip("sentencepiece")
+
+
+def brute_model(texts):
+    """(piece scores, byte scores) by counting, over all words of all texts."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
+    n = Counter(i for t in texts for w in (t or "").encode().split() for i in sp.encode(w.decode()))
+    ids = range(3, sp.get_piece_size())
+    total = sum(n[i] + 1 for i in ids)
+    score = {sp.id_to_piece(i): math.log(n[i] + 1) - math.log(total) for i in ids}
+    return score, [score.pop(f"<0x{b:02X}>") for b in range(256)]
 
 
 def brute(text, pieces):
@@ -19,8 +31,8 @@ def brute(text, pieces):
                 p = pieces.score.get(s[start:end])
                 if p is not None:
                     opts.append((-(p + best[start][0]), best[start][1] + 1))
-            size = len(s[end - 1].encode())
-            opts.append((-(best[end - 1][0] + pieces.byte * size), best[end - 1][1] + size))
+            raw = s[end - 1].encode()
+            opts.append((-(best[end - 1][0] + sum(pieces.byte[b] for b in raw)), best[end - 1][1] + len(raw)))
             score, n = min(opts)
             best[end] = (-score, n)
         total += best[len(s)][1]
@@ -32,12 +44,16 @@ def test_query_against_brute_force(spark, monkeypatch):
     syl = ["the", "Of", "tion", "é", "ß", "12", "'ll", "|", "***", "漢", "and", "er"]
     texts = [None, "", " \n", "a", "word word word", "x" * 300, "the" * 40 + " and"]
     texts += [" ".join("".join(rnd.choice(syl) for _ in range(rnd.randint(1, 6))) for _ in range(40)) for _ in range(60)]
-    pieces = token_counts.load(token_counts.model_path())
+    texts += ["\t\v\f\r the\u2003and \n", "\x1cand\x1d", "tion" * 600 + " er"]
+    pieces = token_counts.Pieces(*brute_model(texts))
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r for r in token_counts.token_counts(docs, token_counts.model_path()).collect()}
     assert [got[i].n_tokens for i in range(len(texts))] == [brute(t, pieces) for t in texts]
     assert [got[i].n_words for i in range(len(texts))] == [len((t or "").encode().split()) for t in texts]
+    learned = token_counts.model_of(token_counts.model_path(), token_counts.piece_counts(docs, token_counts.model_path()))
+    assert learned.score == pieces.score and learned.byte == pieces.byte
     monkeypatch.setattr(token_counts, "CACHED", 20)
+    monkeypatch.setattr(token_counts, "NODES", 30)
     few = token_counts.Counter(pieces)
     assert [n for t in texts for _, n in few([t])] == [brute(t, pieces) for t in texts]
     assert token_counts.token_counts(docs.limit(0), token_counts.model_path()).count() == 0
