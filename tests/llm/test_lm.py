@@ -24,19 +24,23 @@ def discounts(counts):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order, self.n_grams = order, [Counter() for _ in range(order + 1)]
         for t in texts:
             ws = toks(t)
-            self.uni.update(ws)
-            self.bi.update(zip(["<s>", *ws], ws))
+            for k in range(1, order + 1):
+                padded = ["<s>"] * (k - 1) + ws
+                self.n_grams[k].update(zip(*(padded[i:] for i in range(k))))
+        self.uni = Counter({g[0]: c for g, c in self.n_grams[1].items()})
         self.n, self.v = sum(self.uni.values()), len(self.uni)
         self.hist, self.follow = Counter(), {}
-        for (h, w), c in self.bi.items():
-            self.hist[h] += c
-            self.follow.setdefault(h, []).append(w)
-        self.du, self.db = discounts(self.uni), discounts(self.bi)
-        self.free = sum((1 - self.du(c)) * c for c in self.uni.values()) / self.n if self.n else 1
+        for k in range(2, order + 1):
+            for g, c in self.n_grams[k].items():
+                self.hist[g[:-1]] += c
+                self.follow.setdefault(g[:-1], []).append(g[-1])
+        self.d = [None, *(discounts(self.n_grams[k]) for k in range(1, order + 1))]
+        self.free = sum((1 - self.d[1](c)) * c for c in self.uni.values()) / self.n if self.n else 1
+        self.kept = {}
 
     def p1(self, w):
         if not self.n:
@@ -44,18 +48,23 @@ class Brute:
         c = self.uni[w]
         if not self.free:
             return (c or 1) / (self.n + 1)
-        return self.du(c) * c / self.n if c else self.free
+        return self.d[1](c) * c / self.n if c else self.free
 
-    def p2(self, h, w):
-        if not self.hist[h]:
+    def p(self, h, w):
+        """By the history's own n-grams, or else by the shorter history."""
+        if not h:
             return self.p1(w)
-        total = self.hist[h]
-        freed = sum((1 - self.db(self.bi[h, x])) * self.bi[h, x] for x in self.follow[h])
-        if self.bi[h, w]:
-            c = self.bi[h, w]
-            return c / (total + 1) if not freed else self.db(c) * c / total
-        mass = 1 / (total + 1) if not freed else freed / total
-        return mass / (1 - sum(self.p1(x) for x in self.follow[h])) * self.p1(w)
+        total, k = self.hist[h], len(h) + 1
+        if not total:
+            return self.p(h[1:], w)
+        if h not in self.kept:
+            freed = sum((1 - self.d[k](self.n_grams[k][*h, x])) * self.n_grams[k][*h, x] for x in self.follow[h])
+            mass = 1 / (total + 1) if not freed else freed / total
+            self.kept[h] = freed, mass / (1 - sum(self.p(h[1:], x) for x in self.follow[h]))
+        freed, alpha = self.kept[h]
+        if c := self.n_grams[k][*h, w]:
+            return c / (total + 1) if not freed else self.d[k](c) * c / total
+        return alpha * self.p(h[1:], w)
 
 
 def corpus():
@@ -71,12 +80,13 @@ def compare(spark, rows, **how):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
     got = lm.scored(docs, **how).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    m = Brute([t for i, t in rows if not held(i)])
+    m = Brute([t for i, t in rows if not held(i)], how.get("order", 2))
     want = []
     for i, t in rows:
         ws = toks(t)
         base = sum(math.log10((m.uni[w] + 1) / (m.n + m.v + 1)) for w in ws)
-        score = sum(math.log10(m.p2(h, w)) for h, w in zip(["<s>", *ws], ws))
+        padded = ["<s>"] * (m.order - 1) + ws
+        score = sum(math.log10(m.p(tuple(padded[i : i + m.order - 1]), w)) for i, w in enumerate(ws))
         want.append((str(i), held(i), len(ws), sum(m.uni[w] > 0 for w in ws), m.n, base, score))
     key = lambda r: (r[0], r[2], r[6])
     mine = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
@@ -92,7 +102,13 @@ def test_query_against_brute_force(spark):
     m = compare(spark, rows, block=700)
     # exactly normalised over the words and one unknown word
     for h in ["<s>", "w0", "w7", "same", "never-seen-elsewhere"]:
-        assert math.isclose(sum(m.p2(h, w) for w in [*m.uni, "<unk>"]), 1, rel_tol=1e-9)
+        assert math.isclose(sum(m.p((h,), w) for w in [*m.uni, "<unk>"]), 1, rel_tol=1e-9)
+    # and with longer n-grams, in many parts
+    for order in (1, 3, 4):
+        m = compare(spark, rows, block=1900, order=order)
+        for h in [("<s>", "<s>", "w0"), ("w0", "w1", "w0"), ("text", "here", "w0"), ("same", "text", "here")]:
+            assert math.isclose(sum(m.p(h[: order - 1], w) for w in [*m.uni, "<unk>"]), 1, rel_tol=1e-9)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("rollcall_") and not t.isTemporary]
 
 
 def test_little_or_no_training(spark):
