@@ -98,7 +98,7 @@ def compare(spark, rows, **how):
 
 def test_query_against_brute_force(spark):
     texts = corpus()
-    rows = [*enumerate(texts), (None, "without an id"), (3, "w1 w2 an id again")]
+    rows = [*enumerate([*texts, "w1 long w2 " * 4000]), (None, "without an id"), (3, "w1 w2 an id again")]
     m = compare(spark, rows, block=700)
     # exactly normalised over the words and one unknown word
     for h in ["<s>", "w0", "w7", "same", "never-seen-elsewhere"]:
