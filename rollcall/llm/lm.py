@@ -54,7 +54,7 @@ BLOCK = 1_300_000
 #: Length of the longest n-grams; see the README on what a longer one costs.
 ORDER = 2
 #: Tokens for each part of the count tables; at least LEAST parts.
-PART, LEAST = 4_000_000, 8
+PART, LEAST = 2_500_000, 8
 CUTOFF, FOLDS, HELD_OUT = 5, 7, 2
 END, START = b" end", b" start"  # with a space: never words
 

@@ -36,7 +36,7 @@ from .common import checkpointed, small_batches, table
 
 SIZE, STEP, END_ID = 4096, 16, 2
 ROUNDS = 400
-CACHED, LEFT, CHARS = 800_000, 250_000, 40
+CACHED, LEFT, CHARS = 600_000, 200_000, 40
 BREAK = "<|endoftext|>"
 
 
