@@ -1,7 +1,7 @@
 """Command line over a project folder: ``python -m rollcall.cli STAGE --root DIR``.
 
 The folder holds ``config`` (games, sources, correction tables, rules) and gets
-``raw`` (frozen pages) and ``out``. Stages: fetch, parse, people, stats, all. The
+``raw`` (frozen pages) and ``out``. Stages: fetch, parse, indexes, people, stats, roles, all. The
 exit code is 1 if any release fails the parse gate.
 """
 
@@ -14,12 +14,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corrections, identity
+from .operators import corrections, identity, roles
 from .plans import careers
 from .sources import documents as io
+from .sources import indexes
 from .sources.credits import Rules
 
-CONFIG = {"aliases": True, "reviews": True, "name_fixes": True, "studio_fixes": True, "inclusion_overrides": True, "studio_classes": False, "games": False, "sources": False}
+CONFIG = {"aliases": True, "reviews": True, "name_fixes": True, "studio_fixes": True, "inclusion_overrides": True, "vendor_types": True, "studio_classes": False, "games": False, "sources": False}
+
+
+STAGES = ["fetch", "parse", "indexes", "people", "stats", "roles"]
 
 
 class Project:
@@ -58,6 +62,27 @@ class Project:
         tagged.unpersist()
         return int(failed > 0)
 
+    def indexes(self) -> int:
+        """What frozen pages say beside the credits: headings by reference, roles by person, and tags behind names."""
+        docs = io.read_frozen(self.spark, f"{self.root}/raw", self.table("sources"), self.table("games"))
+        wiki, tables = (docs.where(F.col("parser") == p) for p in ("wikitext", "credit_table"))
+        headings = indexes.wiki_heading_index(wiki).unionByName(indexes.table_heading_index(tables))
+        io.write_mart(headings, f"{self.out}/indexes/headings", "game_id", "source_ref")
+        io.write_mart(indexes.explicit_roles(tables), f"{self.out}/indexes/explicit_roles", "game_id", "name")
+        fixes = self.table("name_fixes").withColumn("place", F.monotonically_increasing_id())
+        io.write_mart(indexes.name_tags(fixes, self.plan().get("not_work", [])), f"{self.out}/indexes/name_tags", "name")
+        return 0
+
+    def roles(self) -> int:
+        """One role class for each name and release."""
+        found = {k: io.read_table(self.spark, k, f"{self.out}/indexes/{k}", True) for k in ("headings", "explicit_roles", "name_tags")}
+        config = f"{self.root}/config"
+        rules = io.read_rules(self.spark, f"{config}/role_headings.csv", roles.PRIORITY) if Path(config, "role_headings.csv").exists() else []
+        rows = io.read_csv(self.spark, f"{self.out}/credits", io.CREDITS.replace("game_id string, ", "") + ", game_id string")
+        classes = roles.classify(rows, rules, io.read_rules(self.spark, f"{config}/categories.csv"), found["name_tags"], found["explicit_roles"], self.table("vendor_types"), found["headings"])
+        io.write_mart(classes.withColumnRenamed("name_raw", "name"), f"{self.out}/roles", "game_id", "name")
+        return 0
+
     def credits(self) -> DataFrame:
         """Core rows of all releases, in the order of files named by release."""
         rows = io.read_csv(self.spark, f"{self.out}/credits", io.CREDITS.replace("game_id string, ", "") + ", game_id string")
@@ -89,13 +114,13 @@ class Project:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="rollcall")
-    p.add_argument("stage", choices=["fetch", "parse", "people", "stats", "all"])
+    p.add_argument("stage", choices=[*STAGES, "all"])
     p.add_argument("--root", default=".")
     p.add_argument("--threshold", type=float, default=0.05)
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("rollcall").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     project, code = Project(spark, a.root), 0
-    for stage in ["fetch", "parse", "people", "stats"] if a.stage == "all" else [a.stage]:
+    for stage in STAGES if a.stage == "all" else [a.stage]:
         code = code or (project.parse(a.threshold) if stage == "parse" else getattr(project, stage)())
     return code
 

@@ -31,6 +31,16 @@ def check_name_fixes(fixes: DataFrame) -> None:
         raise CorrectionError(f"name fixes that can't be applied: {[r.name_raw for r in bad]}")
 
 
+def studio_fixes(fixes: DataFrame) -> DataFrame:
+    """The fixes that name a credit and its release: one for each, with both the wrong and the right company, or it raises."""
+    named = fixes.select(*(F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("name_raw", "game_id", "wrong_studio", "correct_studio"))).where("name_raw <> '' and game_id <> ''")
+    check_unique(named, ["name_raw", "game_id"])
+    bad = named.where("wrong_studio = '' or correct_studio = ''").limit(20).collect()
+    if bad:
+        raise CorrectionError(f"company fixes need both companies: {[(r.game_id, r.name_raw) for r in bad]}")
+    return named
+
+
 def apply_name_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     """Rows with ``kind`` row or dropped: a discard drops, a fix gives a row for each name and clears the canonical spelling.
 

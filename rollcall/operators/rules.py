@@ -2,7 +2,7 @@
 
 A rule table joined by ``rlike`` is a nested loop with a shuffle behind it; rules
 are few, so their order becomes one ``coalesce(when ...)`` inside a projection.
-The join form stays as :func:`first_match_join` for rule tables that live in data.
+Rule tables that live in data are read first (:func:`first_match_table`).
 """
 
 from __future__ import annotations
@@ -25,10 +25,16 @@ def any_match(c: Column, patterns: list[str]) -> Column:
     return out
 
 
-def first_match_join(rows: DataFrame, text: str, key: str, rules: DataFrame, default: str = "Other") -> DataFrame:
-    """(key, label) by a join with the table rules(priority, pattern, label)."""
-    hit = rows.join(F.broadcast(rules), F.expr(f"regexp_like({text}, pattern)"), "left")
-    return hit.groupBy(key).agg(F.coalesce(F.min_by("label", "priority"), F.lit(default)).alias("label"))
+#: Rules up to which a table of them is compiled into one expression.
+MOST_RULES = 2_000
+
+
+def first_match_table(rows: DataFrame, text: str, rules: DataFrame, default: str = "Other") -> DataFrame:
+    """Adds ``label`` by the table rules(priority, pattern, label), whose size is checked: rules are read and compiled as any others."""
+    found = rules.orderBy("priority").select("pattern", "label").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules in one table")
+    return rows.withColumn("label", first_match(F.col(text), [(r.pattern, r.label) for r in found], default))
 
 
 def split_audit(rows: DataFrame, bad: Column, reason: str) -> DataFrame:

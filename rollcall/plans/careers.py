@@ -42,8 +42,7 @@ def parse(docs: DataFrame, rules: Rules, fixes: Corrections | None = None) -> Da
         ruled = both.where("kind = 'dropped'").select("game_id", "kind", F.col("name_raw").alias("line"), F.lit("ruled-not-a-person").alias("reason"))
         rest, rows = rest.unionByName(ruled, allowMissingColumns=True), both.where("kind = 'row'").drop("kind")
     if fixes.studios is not None:
-        corrections.check_unique(fixes.studios, ["name_raw", "game_id"])
-        rows = corrections.conditional_update(rows, fixes.studios, ["name_raw", "game_id"], "studio", "wrong_studio", "correct_studio").drop("changed")
+        rows = corrections.conditional_update(rows, corrections.studio_fixes(fixes.studios), ["name_raw", "game_id"], "studio", "wrong_studio", "correct_studio").drop("changed")
     if fixes.curated is not None:
         rows = corrections.append_rows(rows, fixes.curated, "game_id", "credit_order", ["place"])
     if fixes.overrides is not None:

@@ -74,7 +74,7 @@ class Items:
 def register_items(spark: SparkSession, name: str = "html_elements") -> None:
     from pyspark.sql.functions import udtf
 
-    spark.udtf.register(name, udtf(Items, returnType="n int, item string"))
+    spark.udtf.register(name, udtf(Items, returnType="n int, item string", useArrow=True))
 
 
 # --- readers --------------------------------------------------------------------
@@ -140,6 +140,13 @@ def read_patterns(spark: SparkSession, path: str) -> list[str]:
     return [r.value for r in spark.read.text(path).coalesce(1).toLocalIterator() if r.value.strip() and not r.value.startswith("#")]
 
 
+def read_json(path: str) -> dict | list:
+    """Editorial texts of a report: a small file, read where the report is put together."""
+    from pathlib import Path
+
+    return json.loads(Path(path).read_text("utf-8"))
+
+
 def read_frozen(spark: SparkSession, root: str, sources: DataFrame, games: DataFrame) -> DataFrame:
     """docs(game_id, sequence, parser, options, text): each source's frozen file, whole. A source without its game or file raises."""
     files = spark.read.text(f"{root}/*/*", wholetext=True).select(F.col("value").alias("text"), F.array_join(F.slice(F.split(F.url_decode(F.input_file_name()), "/"), -2, 2), "/").alias("at"))

@@ -69,6 +69,9 @@ def test_corrections_reject_contradictions(spark):
         corrections.check_name_fixes(bad)
     with pytest.raises(corrections.CorrectionError):
         corrections.check_unique(bad.union(bad), ["name_raw"])
+    for wrong, right, times in (("", "x", 1), ("x", " ", 1), ("x", "y", 2)):
+        with pytest.raises(corrections.CorrectionError):
+            corrections.studio_fixes(spark.createDataFrame([("A", "g", wrong, right, "r")] * times, io.TABLES["studio_fixes"]))
 
 
 def test_whole_chain(spark, tmp_path):
@@ -81,8 +84,8 @@ def test_whole_chain(spark, tmp_path):
         "game_id string, parser string, options string, text string",
     )
     fixes = careers.Corrections(
-        names=spark.createDataFrame([("Two People", "fix", "Dee One|Dee Two", ""), ("Cy Dow (ACME)", "discard", "", "")], io.TABLES["name_fixes"]),
-        studios=spark.createDataFrame([("Dee Two", "g1", "", "Acme", "r"), ("Ann Bee", "g2", "other", "x", "r")], io.TABLES["studio_fixes"]),
+        names=spark.createDataFrame([("Two People", "fix", "Dee One|Dee Two", "-|Wrong"), ("Cy Dow (ACME)", "discard", "", "")], io.TABLES["name_fixes"]),
+        studios=spark.createDataFrame([("Dee Two", "g1", "Wrong", "Acme", "r"), ("", "g1", "", "", "a row without a name is left out"), ("Ann Bee", "g2", "other", "x", "r")], io.TABLES["studio_fixes"]),
         curated=spark.createDataFrame([("Gil Hay", "", "Art", "", "", "", "core", "c1", "g3", 0)], "name_raw string, name_canonical string, category string, role_raw string, character string, studio string, inclusion_class string, source_ref string, game_id string, place long"),
         overrides=spark.createDataFrame([("g3", "Gil Hay", "publishing", "why")], io.TABLES["inclusion_overrides"]),
     )

@@ -38,6 +38,8 @@ def test_command_line(spark, tmp_path):
     table("sources.csv", ["game_id", "parser", "url", "raw_path", "options"], ["a", "wikitext", "", "raw/w/a.txt", '{"inline_vendor":true}'], ["b", "wikitext", "", "raw/w/b.txt", ""])
     table("categories.csv", ["pattern", "label", "note"], ["(?i)engineer", "Engineering", ""])
     table("studio_classes.csv", ["studio", "class"], ["maker", "first-party"])
+    table("role_headings.csv", ["pattern", "label", "note"], ["(?i)stitch", "art", ""])
+    table("name_fixes.csv", ["name_raw", "action", "names", "studio"], ["Bo Ray (Stitching)", "fix", "Bo Ray", ""])
     (tmp_path / "config/not-people.txt").write_text("# none\n\n^nobody$\n")
     (tmp_path / "config/plan.json").write_text(json.dumps({"eras": {"a": "X", "b": "Y"}}))
     assert cli.main(["all", "--root", str(tmp_path)], spark) == 0
@@ -46,5 +48,7 @@ def test_command_line(spark, tmp_path):
     assert [r["name"] for r in read("uncertain")] == ["Ann Bee"]
     assert {(r["from_grp"], r["to_grp"], r["count"]) for r in read("flows")} == {("a", "b", 1)}
     assert len(read("lineage")) == 4 and {r["person_id"] for r in read("people")} == {"ann-bee", "bo-ray"}
+    assert {(r["name"], r["game_id"], r["cls"], r["prov"]) for r in read("roles")} == {("Ann Bee", "a", "engineering", "stated"), ("Bo Ray", "a", "engineering", "stated"), ("Ann Bee", "b", "engineering", "stated")}
+    assert [r["tag"] for r in read("indexes/name_tags")] == ["Stitching"] and {r["heading"] for r in read("indexes/headings")} == {"Engineers"}
     (tmp_path / "raw/w/b.txt").write_text("nothing here\n")
     assert cli.main(["parse", "--root", str(tmp_path)], spark) == 1
