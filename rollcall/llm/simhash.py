@@ -217,8 +217,9 @@ def grouped(fps: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = labels.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
     members = labels.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(roots)
-    lowest = members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    # checkpointed, so that both sides of the last join are plain exchanges and AQE can split a fingerprint of many copies
+    # checkpointed, so that both sides of the joins behind are plain exchanges, and AQE can split a component of
+    # many fingerprints and a fingerprint of many copies
+    lowest = checkpointed(members.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id")), thin=True)
     of_fp = distinct.join(members.join(lowest, "root").select("fp", "root", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     of_fp = checkpointed(of_fp, thin=True)
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -43,6 +43,9 @@ from .common import small_batches, table
 MARK = "▁"
 CACHED, LEFT, KEPT_BYTES = 1_000_000, 200_000, 64
 NODES, LONG = 600_000, 1_000
+#: Pieces of this length or more are looked for only behind their last characters; shorter ones always.
+ENDING = 4
+SHORT = tuple(range(2, ENDING))
 _SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -67,13 +70,26 @@ class Pieces:
 
     score: dict[str, float]
     byte: list[float]
-    reach: dict[str, int] = field(init=False)
+    sizes: dict[str, list[int]] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.score), default=1)
-        self.reach = {}  # the longest piece that ends in a character
+        ends: dict[str, set] = {}  # by their last ENDING characters: how long pieces are
         for p in self.score:
-            self.reach[p[-1]] = max(self.reach.get(p[-1], 0), len(p))
+            if len(p) >= ENDING:
+                ends.setdefault(p[-ENDING:], set()).add(len(p))
+        self.sizes = {k: sorted(v) for k, v in ends.items()}
+        #: Characters whose own piece is clearly likelier than their bytes.
+        self.one_wins = {c for c, s in self.score.items() if len(c) == 1 and s > self.bytes_of(c)[0] + 1e-6}
+
+    def single(self, ch: str, best: float, used: int) -> tuple[float, int]:
+        """A character behind a prefix: the better of its own piece, if there is one, and its bytes."""
+        s, size = self.bytes_of(ch)
+        spelt, own = (best + s, used + size), self.score.get(ch)
+        if own is None:
+            return spelt
+        whole = best + own, used + 1
+        return spelt if spelt[0] > whole[0] or spelt[0] == whole[0] and spelt[1] < whole[1] else whole
 
     def bytes_of(self, ch: str) -> tuple[float, int]:
         raw = ch.encode("utf-8", "replace")
@@ -125,40 +141,49 @@ def piece_counts(docs: DataFrame, model: str, text_col: str = "text") -> dict[in
 
 
 class Trie:
-    """Pre-tokens character by character; nodes hold their prefix's best score and its tokens."""
+    """Pre-tokens by their prefixes, each a node with its best score and that one's tokens."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.clear()
 
     def clear(self) -> None:
-        self.kids: dict[int, int] = {}  # (node, character) to node
-        self.best, self.used = [0.0], [0]
+        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
 
     def tokens(self, raw: str) -> int:
-        if len(raw) > LONG:
+        n, nodes = len(raw), self.nodes
+        if n > LONG:
             return self.apart(raw)
-        if len(self.best) > NODES:
+        if len(nodes) > NODES:
             self.clear()
-        kids, best, used, score, reach = self.kids, self.best, self.used, self.pieces.score.get, self.pieces.reach.get
-        node, path = 0, [0]
-        for end, ch in enumerate(raw, 1):
-            key = node << 21 | ord(ch)
-            node = kids.get(key)
-            if node is None:
-                s, size = self.pieces.bytes_of(ch)
-                top, fewest = best[path[-1]] + s, used[path[-1]] + size
-                for start in range(max(0, end - reach(ch, 0)), end):
-                    s = score(raw[start:end])
-                    if s is not None:
-                        at = path[start]
-                        s += best[at]
-                        if s > top or s == top and used[at] + 1 < fewest:
-                            top, fewest = s, used[at] + 1
-                node = kids[key] = len(best)
-                best.append(top), used.append(fewest)
-            path.append(node)
-        return used[node]
+            nodes = self.nodes
+        # a node's prefixes are nodes too, so the deepest one is found by halving
+        low, high = 0, n + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            if raw[:middle] in nodes:
+                low = middle
+            else:
+                high = middle
+        score, sizes, sure = self.pieces.score.get, self.pieces.sizes.get, self.pieces.one_wins
+        top, fewest = nodes[raw[:low]]
+        for end in range(low + 1, n + 1):
+            ch = raw[end - 1]
+            if ch in sure:
+                top, fewest = top + score(ch), fewest + 1
+            else:
+                top, fewest = self.pieces.single(ch, top, fewest)
+            for size in (*SHORT, *sizes(raw[end - ENDING : end], ())) if end >= ENDING else SHORT:
+                if size > end:
+                    break
+                s = score(raw[end - size : end])
+                if s is not None:
+                    at, used = nodes[raw[: end - size]]
+                    s += at
+                    if s > top or s == top and used + 1 < fewest:
+                        top, fewest = s, used + 1
+            nodes[raw[:end]] = top, fewest
+        return fewest
 
     def apart(self, raw: str) -> int:
         """The same without nodes, for words that no other begins with."""
@@ -167,7 +192,7 @@ class Trie:
         for end, ch in enumerate(raw, 1):
             s, size = pieces.bytes_of(ch)
             top, fewest = best[-1] + s, used[-1] + size
-            for start in range(max(0, end - pieces.reach.get(ch, 0)), end):
+            for start in range(max(0, end - pieces.longest), end):
                 s = pieces.score.get(raw[start:end])
                 if s is not None:
                     s += best[start - first]
@@ -231,8 +256,8 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(*shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
                 got = list(counter(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], ["id", "n_words", "n_tokens"])
         counter.trim()
