@@ -16,9 +16,10 @@ above, are read whole by numpy; others bit by bit. Coefficients are then
 dequantised, inverse-transformed by one matrix product, chroma is upsampled and
 full-resolution RGB follows, one row of MCUs at a time.
 
-Defined results: a null text is an empty one, whose payload is 192 spaces;
-repeated rows are all returned and equal texts give equal values; empty tables
-give no rows; extra columns are ignored.
+Defined results: a null text is an empty one, whose payload is 192 spaces; texts
+of any length are stored whole in one picture (4,095 units of 384 bytes each way,
+beyond what a value holds); repeated rows are all returned and equal texts give
+equal values; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
