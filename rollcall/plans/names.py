@@ -47,8 +47,10 @@ SQL["slug"] = r"SELECT c_custkey, regexp_replace(regexp_replace(lower(regexp_rep
 def spellings(spark, d):
     """Credits made of suppliers: three releases, with spellings that vary by release."""
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_name").alias("n"))
-    rel = F.explode(F.array(*(F.lit(x) for x in ("r1", "r2", "r3"))))
-    s = s.select("*", rel.alias("game_id")).where("(s_suppkey + ascii(substring(game_id, 2, 1))) % 3 <> 0 or s_suppkey % 4 = 0")
+    # all of the releases, or all but the one that their number says
+    own = F.filter(F.array(*(F.lit(x) for x in ("r1", "r2", "r3"))), lambda g: ((F.col("s_suppkey") + F.ascii(F.substring(g, 2, 1))) % 3 != 0) | (F.col("s_suppkey") % 4 == 0))
+    rel = F.explode(own)
+    s = s.select("*", rel.alias("game_id"))
     raw = F.when((F.col("game_id") == "r2") & (F.col("s_suppkey") % 5 == 0), F.upper("n")).when((F.col("game_id") == "r3") & (F.col("s_suppkey") % 7 == 0), F.concat("n", F.lit(" Sr."))).otherwise(F.col("n"))
     canonical = F.when((F.col("game_id") == "r3") & (F.col("s_suppkey") % 7 == 0) & (F.col("s_suppkey") % 2 == 0), F.col("n")).otherwise("")
     return s.select("s_suppkey", "game_id", raw.alias("name_raw"), canonical.alias("name_canonical"), F.struct(F.concat("game_id", F.lit(".csv")).alias("f"), F.col("s_suppkey").alias("i")).alias("ord"))

@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from ..sources import bundle
+from ..functions.text import normalise_name, slug
+from ..sources import bundle, indexes
 from ..sources.credits import Rules
 from ..sources.documents import parse_documents
+from . import careers
 from .continuity import read
 
 RULES = Rules(
@@ -313,3 +315,118 @@ register("bundle_tiers", Suite(
     ],
     len, "", _HEAD, _FOOT, len(_HEAD),
 ))
+
+# --- indexes generated from pages --------------------------------------------------
+
+_KEY = "lpad(CAST(c_custkey AS VARCHAR), 7, '0')"
+
+
+def pages_of(spark, d, block, start: str = "", stop: str = ""):
+    """docs(game_id, text): a nation's customers in turn, by a column made of key (7 characters) and custkey."""
+    c = read(spark, d, "customer").select("c_nationkey", "c_custkey", F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("k"))
+    each = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id"), F.struct("c_custkey", block(F.col("k"), F.col("c_custkey")).alias("t")).alias("b"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["t"]), "")
+    return each.groupBy("game_id").agg(F.concat(F.lit(start), body, F.lit(stop)).alias("text"))
+
+
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
+_PLACED = f"c AS (SELECT 'n' || c_nationkey AS g, c_custkey AS o, {_KEY} AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)"
+
+
+@query("wiki_heading_index", f"""WITH {_PLACED} SELECT g AS game_id, 'L' || (5 * i + x.off + 1) AS source_ref, replace(x.h, '@', k) AS heading
+FROM c, (VALUES (1, 'Page @'), (3, 'Page @ / Part A & B'), (4, 'Page @ / Part A & B')) x(off, h)""")
+def wiki_heading_index(spark, d):
+    """The open headings at each line, links as where they lead to."""
+    text = lambda k, _: F.concat(F.lit("== [[Page "), k, F.lit("|shown]] ==\nplain\n==='''Part''' <b>A</b> &amp; B===\n* x\ny\n"))
+    # the last line feed begins one more line, which has a heading too
+    return indexes.wiki_heading_index(pages_of(spark, d, text, "", "")).where("source_ref <> ''").join(_last_lines(spark, d), ["game_id", "source_ref"], "left_anti")
+
+
+def _last_lines(spark, d):
+    n = read(spark, d, "customer").groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id")).agg(F.count("*").alias("n"))
+    return n.select("game_id", F.concat(F.lit("L"), (F.col("n") * 5 + 1).cast("string")).alias("source_ref"))
+
+
+@query("table_heading_index", f"""WITH {_PLACED} SELECT g AS game_id, 'tr' || (3 * i + x.off) AS source_ref, replace(x.h, '@', k) AS heading
+FROM c, (VALUES (0, 'One & two @'), (1, 'One & two @'), (2, 'Deep')) x(off, h)""")
+def table_heading_index(spark, d):
+    """For each table row of a page the last heading before it."""
+    text = lambda k, _: F.concat(F.lit("<h2 class='x'>One &amp; <i>two</i>\n"), k, F.lit("</h2><tr><td>a</td></tr><TR id=1></TR><h4>Deep</h4><tr></tr>"))
+    return indexes.table_heading_index(pages_of(spark, d, text))
+
+
+@query("page_roles", f"""WITH {_PLACED} SELECT g AS game_id, 'Ann ' || k AS name, CASE WHEN o % 2 = 0 THEN 'Lead | Art & more' ELSE 'Lead' END AS roles FROM c
+UNION ALL SELECT g, 'Every One', 'Lead' FROM c GROUP BY 1""")
+def page_roles(spark, d):
+    """Each linked person's roles on a page, in order, without repeats."""
+    person = lambda n: F.concat(F.lit('<a href="/person/12/x">'), n, F.lit("</a>"))
+    line = lambda role, *who: F.concat(F.lit(f'<tr><td class="text-right">{role}</td><td>'), *who, F.lit("</td></tr>"))
+
+    def text(k, o):
+        ann = person(F.concat(F.lit("Ann "), k))
+        return F.concat(line("Lead", ann, person(F.lit("Every One"))), F.when(o % 2 == 0, line("Art &amp; <b>more</b>", ann)).otherwise(""), line("Lead", ann), line("", person(F.lit("No Role"))))
+
+    return indexes.explicit_roles(pages_of(spark, d, text))
+
+
+@query("name_tag_recovery", """SELECT 'Ann ' || c_custkey AS name, CASE c_custkey % 6 WHEN 0 THEN 'Tech Art' WHEN 1 THEN 'Co-op Design' WHEN 2 THEN 'Engineering' ELSE 'QA' END AS tag
+FROM customer WHERE c_custkey % 6 < 4""")
+def name_tag_recovery(spark, d):
+    """The work that credits print behind names: no company, nickname or number, and no line of several people."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Ann "), k.cast("string"))
+    tags = F.when(k % 6 == 0, " (VOLT) (Tech Art)").when(k % 6 == 1, " ( Co-op Design )").when(k % 6 == 2, " (12) (Big Staffing) (Engineering) (QA)").when(k % 6 == 3, " (Nick) (QA)").when(k % 6 == 4, " (Acme Inc.)").otherwise(" (Art)")
+    names = F.when(k % 6 == 5, F.concat(name, F.lit("|Bo"))).otherwise(F.concat(F.lit(" "), name, F.lit("|")))
+    fixes = read(spark, d, "customer").select(F.concat(name, tags).alias("name_raw"), names.alias("names"), k.alias("place"))
+    later = fixes.select(F.concat("name_raw", F.lit(" (Later)")).alias("name_raw"), "names", (F.col("place") + 10**9).alias("place"))  # the first of a name wins
+    return indexes.name_tags(fixes.where("name_raw not like '%Acme%'").unionByName(fixes.where("name_raw like '%Acme%'")).unionByName(later.where("name_raw not like '%Acme%'")), ["volt", "nick"])
+
+
+@query("marked_people", """WITH r AS (SELECT c_custkey AS o, 'y' || x.y AS game, CASE WHEN x.y = 2 AND c_custkey % 3 = 0 THEN 'Annabel ' ELSE 'Ann ' END || c_custkey AS name, CASE WHEN c_custkey % 5 = 0 THEN 'same-' || (c_custkey // 10) ELSE 'ann-' || c_custkey END AS ident FROM customer, (VALUES (1), (2)) x(y)),
+s AS (SELECT CASE WHEN name LIKE 'Annabel%' AND o % 5 <> 0 THEN 'annabel-' || o ELSE ident END AS ident, name, game, o FROM r)
+SELECT ident, arg_max(name, (length(name), -o)) AS name, string_agg(DISTINCT right(game, 1), '|' ORDER BY right(game, 1)) AS cols FROM s GROUP BY 1""")
+def marked_people(spark, d):
+    """Credits of one standing by alias or slug: the longest spelling and the columns."""
+    k = F.col("c_custkey")
+    y = F.explode(F.array(F.lit(1), F.lit(2))).alias("y")
+    c = read(spark, d, "customer").select("c_custkey", y)
+    raw = F.concat(F.when((F.col("y") == 2) & (k % 3 == 0), "Annabel ").otherwise("Ann "), k.cast("string"))
+    rows = c.select(F.concat(F.lit("y"), F.col("y").cast("string")).alias("game_id"), raw.alias("name_raw"), k.alias("ord"))
+    alias = F.when(k % 5 == 0, F.concat(F.lit("same-"), F.floor(k / 10).cast("string")))
+    aliases = c.select(raw.alias("name_variant"), alias.alias("person_id")).dropna().distinct()
+    cols = spark.createDataFrame([("y1", 1), ("y2", 2)], "game_id string, col int")
+    out = indexes.marked_people(rows, aliases, cols, slug(normalise_name("name_raw")))
+    return out.select("ident", "name", F.array_join(F.transform("cols", lambda x: x.cast("string")), "|").alias("cols"))
+
+
+# --- a parse and all its corrections -------------------------------------------------
+
+
+@query("corrected_parse", f"""WITH {_PLACED},
+r AS (SELECT g, o, i, 'Ann K' || k AS n, k, o % 10 AS m FROM c),
+f AS (SELECT g, i, 'A ' || k AS name, '' AS studio, m FROM r WHERE m = 0 UNION ALL SELECT g, i, 'B ' || k, '', m FROM r WHERE m = 0
+ UNION ALL SELECT g, i, n, CASE WHEN m = 2 THEN 'Acme' ELSE 'VOLT' END, m FROM r WHERE m > 1),
+top AS (SELECT g, max(i) + 1 AS o FROM f GROUP BY 1)
+SELECT g AS game_id, 'row' AS kind, CAST(i AS INTEGER) AS credit_order, name AS name_raw, studio, CASE WHEN m = 3 THEN 'publishing' ELSE 'core' END AS inclusion_class, '' AS reason FROM f
+UNION ALL SELECT g, 'dropped', -1, '', '', '', 'ruled-not-a-person' FROM r WHERE m = 1 UNION ALL SELECT g, 'row', CAST(o AS INTEGER), 'Late Comer', '', 'special-thanks', '' FROM top""")
+def corrected_parse(spark, d):
+    """Pages parsed, then names fixed or discarded, companies fixed, rows added, standing overridden."""
+    text = lambda k, _: F.concat(F.lit("* Ann K"), k, F.lit(" (VOLT)\n"))
+    docs = pages_of(spark, d, text).withColumns({"parser": F.lit("wikitext"), "options": F.lit('{"inline_vendor": true}')})
+    k, m = F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.col("c_custkey") % 10
+    c = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id"), F.concat(F.lit("Ann K"), k).alias("name_raw"), k.alias("k"), m.alias("m"))
+    fixes = careers.Corrections(
+        names=c.where("m < 2").select("name_raw", F.when(F.col("m") == 0, "fix").otherwise("discard").alias("action"), F.when(F.col("m") == 0, F.concat(F.lit("A "), "k", F.lit("| B "), "k")).otherwise("").alias("names"), F.when(F.col("m") == 0, "-").otherwise("").alias("studio")),
+        studios=c.select("name_raw", "game_id", F.when(F.col("m") == 2, "VOLT").otherwise("Other").alias("wrong_studio"), F.lit("Acme").alias("correct_studio"), F.lit("r").alias("reason")),
+        curated=c.select("game_id").distinct().select("game_id", F.lit("Late Comer").alias("name_raw"), *(F.lit("").alias(x) for x in ("name_canonical", "category", "role_raw", "character", "studio")), F.lit("core").alias("inclusion_class"), F.lit("c1").alias("source_ref"), F.lit(0).alias("place")),
+        overrides=c.where("m = 3").select("game_id", "name_raw", F.lit("publishing").alias("inclusion_class"), F.lit("r").alias("reason")).union(c.select("game_id").distinct().select("game_id", F.lit("Late Comer"), F.lit("special-thanks"), F.lit("r"))),
+    )
+    out = careers.parse(docs, RULES, fixes)
+    return out.select("game_id", "kind", *(F.coalesce(x, F.lit(-1 if x == "credit_order" else "")).alias(x) for x in ("credit_order", "name_raw", "studio", "inclusion_class", "reason")))
