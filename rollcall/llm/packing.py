@@ -13,8 +13,11 @@ number and by place in the task, so that a class with a third of all pieces is
 still ranked in many tasks, and the rank gives the sequence; offsets are running
 sums of true lengths in each sequence.
 
-Defined results: null or empty texts have the end id alone; repeated rows are
-packed each; an empty table gives no rows; extra columns are ignored.
+Defined results: null or empty texts have the end id alone; texts of any length are
+cut into pieces, none is left out; pieces tied on their class are ranked by task and
+place, so repeated rows are packed each; an empty table gives no rows; extra columns
+are ignored. The linear program ends at its optimum or after ``ROUNDS`` columns,
+which costs padding and no ids.
 """
 
 from __future__ import annotations

@@ -9,13 +9,14 @@ without a literal token is filed under the empty token, which each URL has.
 
 Everything is DataFrame work: distinct URLs are exploded into tokens, joined
 with the rule index, tested, and reduced to the best rule by ``max``. A URL that
-makes up a third of all rows is judged once; the join back to the rows is a
-plain equi-join whose hot partitions AQE can split.
+makes up a third of all rows is judged once; the verdicts are checkpointed, so that
+the join back to the rows is one of plain exchanges whose hot partitions AQE can split.
 
 Defined results: null, empty or ``://``-less URLs have empty host and path and
-get the default verdict; repeated rows are all returned; among rules of equal
-length that fit, block wins, then the greater rule string; extra columns of the
-input are ignored.
+get the default verdict; URLs of any length are judged whole; repeated rows are all
+returned; among rules of equal length that fit, block wins, then the greater rule
+string; rules tied on their rarest token are filed under the least; extra columns
+are kept, but for those named as the four that are added.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, checkpointed, table
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 TOKEN = WORD + "+"
@@ -118,6 +119,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
         .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "block").alias("b"), "rule", "action")).alias("best"))
         .select("url", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
     )
+    best = checkpointed(best, thin=True)
     out = parsed(pages.select(*keep)).join(best, "url", "left")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).select(*keep, "host", "path", "rule", "verdict")
 
