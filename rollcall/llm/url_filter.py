@@ -57,7 +57,8 @@ class Rule:
     def regex(self) -> str:
         quote = lambda s: re.sub(f"({BREAK})", r"\\\1", s)
         if self.pattern:
-            return "(?s)" + ".*".join(map(quote, self.pattern.split("*")))
+            # the first place of each part behind the one before is as good as any: no way back, so a long URL takes one pass
+            return "(?s)^" + "".join(f"(?>.*?{quote(part)})" for part in self.pattern.split("*") if part)
         return rf"(?s)^(?:[^/]*\.)?{quote(self.host)}" + (quote(self.path) or r"(?=/|\z)")
 
     @property
