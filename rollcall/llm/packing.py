@@ -215,32 +215,56 @@ def start(weight: np.ndarray, need: np.ndarray, room: int) -> np.ndarray:
     return basis
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots, in plain array steps.
+
+    This and :func:`times` run on the driver, where a threaded LAPACK may wait for its
+    own threads for ever beside those of the Java gateway.
+    """
+    m = len(a)
+    both = np.concatenate((a.astype(float), np.eye(m)), axis=1)
+    for k in range(m):
+        p = k + int(abs(both[k:, k]).argmax())
+        if p != k:
+            both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        column = both[:, k].copy()
+        column[k] = 0
+        some = np.flatnonzero(column)
+        both[some] -= column[some, None] * both[k]
+    return both[:, m:]
+
+
+def times(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, v)
+
+
 def patterns(demand: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
     """Column generation: (pattern over the sorted classes, how often), the linear optimum or near it after ``rounds``."""
     weight = np.array(sorted(demand))
     need = np.array([demand[w] for w in weight], float)
     m = len(weight)
     basis = start(weight, need, room)
-    inverse = np.linalg.inv(basis)
-    amount = inverse @ need
+    inverse = inverted(basis)
+    amount = times(inverse, need)
     for k in range(rounds):
-        price = np.ones(m) @ inverse
+        price = inverse.sum(axis=0)
         column = knapsack(np.maximum(price, 0), weight, room)
-        if price @ column <= 1 + 1e-9:
+        if (price * column).sum() <= 1 + 1e-9:
             break
-        step = inverse @ column
+        step = times(inverse, column.astype(float))
         ratio = np.where(step > 1e-7, amount / np.where(step > 1e-7, step, 1), np.inf)
         if not np.isfinite(ratio.min()):
             break
         out = int(np.where(ratio <= ratio.min() + 1e-9, step, 0).argmax())  # of tied rows the largest pivot
         basis[:, out] = column
         if k % 40 == 39:
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
         else:  # the new column replaces one: a rank-one change of the inverse
             pivot = inverse[out] / step[out]
             inverse = inverse - np.outer(step, pivot)
             inverse[out] = pivot
-        amount = np.maximum(inverse @ need, 0)
+        amount = np.maximum(times(inverse, need), 0)
     return [(basis[:, j].astype(int), float(amount[j])) for j in range(m)]
 
 

@@ -62,6 +62,14 @@ def test_padding_is_small():
         assert sum(sizes) / 4096 / sum(t for _, t in plan) > least
 
 
+def test_inverse():
+    rnd = np.random.default_rng(3)
+    for m in (1, 2, 40, 256):
+        a = rnd.integers(0, 4, (m, m)) + np.diag(np.full(m, 9.0)) * rnd.choice([-1, 1], m)
+        a = a[rnd.permutation(m)]
+        assert abs(a @ packing.inverted(a) - np.eye(m)).max() < 1e-8
+
+
 def test_small_cache_changes_nothing(monkeypatch):
     ids = packing.Ids(packing.tokenizer_path())
     texts = [f"word{i} the of {i % 7}" for i in range(300)]
