@@ -1,6 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
+# numpy's threads may wait for ever beside those of the Java gateway; workers have one each anyway
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
