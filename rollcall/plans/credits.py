@@ -258,7 +258,9 @@ rc AS (SELECT name_raw AS name, col, min_by(cls, {_RANK}) AS cls FROM cn GROUP B
 sg AS (SELECT ec.name, list(coalesce(list_position([{", ".join(f"'{c}'" for c in layout.ROLE_ORDER)}], rc.cls) - 1, 13) ORDER BY ec.col) AS sig FROM ec LEFT JOIN rc ON ec.name = rc.name AND ec.col = rc.col GROUP BY 1),
 gp AS (SELECT ev.name, ev.cols, ev.cols[1] AS a, ev.cols[-1] AS z, len(ev.cols) AS n, CASE WHEN publisher THEN 1 WHEN community THEN 2 ELSE 0 END AS mark, sg.sig, CASE WHEN ev.cols[1] < 2 THEN 0 ELSE 1 END AS sec FROM ev JOIN sg ON ev.name = sg.name)"""
 _SHAPE = "z DESC, a, list_transform(list_reverse(cols), lambda x: -x), mark, sig, name"
-_FIRST_ERA = F.when(F.get("cols", F.lit(0)) < 2, 0).otherwise(1)
+def first_era():
+    return F.when(F.get("cols", F.lit(0)) < 2, 0).otherwise(1)
+
 
 
 @query
@@ -284,7 +286,7 @@ SQL["career_sort_plain"] = f"WITH {_SHOWN} SELECT name, CAST(row_number() OVER (
 @query
 def slot_packing(spark, d):
     """Grid cells by section and, with row -1, people who found no cell."""
-    placed, over = layout.slot_packing(grid_people(spark, d), len(COLUMNS), section=_FIRST_ERA)
+    placed, over = layout.slot_packing(grid_people(spark, d), len(COLUMNS), section=first_era())
     return placed.unionByName(over.withColumn("row", F.lit(-1))).select(F.col("row").cast("int").alias("row"), "col", "name")
 
 
@@ -296,7 +298,7 @@ SELECT CAST(m.row AS INTEGER) AS row, CAST(ec.col AS INTEGER) AS col, m.name FRO
 
 @query
 def grid_sections(spark, d):
-    out = layout.sections(grid_people(spark, d), _FIRST_ERA)
+    out = layout.sections(grid_people(spark, d), first_era())
     return out.select("section", F.col("row").cast("int").alias("row"))
 
 
