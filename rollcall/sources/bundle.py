@@ -2,7 +2,8 @@
 
 The frozen text is the page, a marker and the script. Options: release, functions
 (blocks that aren't companies), publishing (blocks), publishing_areas, vague
-(headings that say nothing about the work).
+(headings that say nothing about the work), helper (a pattern of blocks that name
+the company behind the work, with the company as its group).
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 
 
+#: An agency behind a name, and blocks that say who helped with what.
+_AGENCY = re.compile(r"\s*\(\s*([^()]{1,60}?)\s*\)\s*$")
+_HELPER = r"(?i)(?:test|art|audio|localization|additional \w+)\s+by\s+(.+)$"
+
+
 def unescape(literal: str) -> str:
     code = lambda m: next((chr(int(h, 16)) for h in m.groups()[:3] if h), None) or _SIMPLE.get(m[4], m[4])
     return _ESCAPE.sub(code, literal[1:-1])
@@ -144,12 +150,12 @@ class _Bundle:
             self.person(text, ref)
 
     def person(self, text: str, ref: str) -> None:
-        m = re.search(r"\s*\(\s*([^()]{1,60}?)\s*\)\s*$", text)
+        m = _AGENCY.search(text)
         name, studio = (clean(text[: m.start()]), clean(m[1])) if m else (text, "")
         if not name:
             return self.out.drop(text, "vendor-tag-without-name")
         if not studio and self.block.lower() not in self.low["functions"]:
-            m = re.match(r"(?i)(?:test|art|audio|localization|additional \w+)\s+by\s+(.+)$", self.block)
+            m = re.match(self.opt.get("helper", _HELPER), self.block)
             studio = clean(m[1]) if m else self.block
         role = self.role or self.area or self.block
         category = self.out.rules.category(role)
