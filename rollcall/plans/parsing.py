@@ -116,8 +116,10 @@ def lines(text: str) -> int:
 # --- wiki markup -------------------------------------------------------------
 
 register("wikitext_credits", Suite(
-    "wikitext", {"inline_vendor": True, "dash_style": "name-first"},
+    "wikitext", {"inline_vendor": True, "dash_style": "name-first", "article_prefixes": ["Sister"], "babies_headings": [r"(?i)\btiny ones\b"]},
     [
+        ("===Crew===\n* [[:sister: @N@|Shown @K@]]\n* [[Other: @N@|Long @K@]]\n", [row(2, "Shown @K@", "Crew", canonical=NAME), row(3, "Long @K@", "Crew", canonical="Other: @N@")]),
+        ("===The Tiny Ones===\n* @N@\n", [row(2, NAME, "The Tiny Ones", cls="babies")]),
         ("===Programming===\n'''Engineers'''\n* [[Known @N@|@N@]]\n", [row(3, NAME, "Engineers", "Engineering", canonical="Known @N@")]),
         ("===Programming===\n* [[Wikipedia:@N@|@N@]]\n", [row(2, NAME, "Programming", "Engineering", canonical=NAME)]),
         ("===Texts===\n* Writer: [[@N@]]\n", [row(2, NAME, "Writer")]),
