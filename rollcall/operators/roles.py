@@ -1,6 +1,7 @@
 """One role class for each person and release, with provenance.
 
-The cascade is one ``coalesce`` of struct(cls, prov) stages; nothing is shuffled
+The cascade is one ``coalesce`` of numbers that code class and provenance, so each
+pattern is tried once and a vote is one integer minimum; nothing is shuffled
 until the votes. Word lists are fixed values of the domain; patterns are data.
 """
 
@@ -37,49 +38,56 @@ def mapped(c: Column, table: dict[str, str]) -> Column:
     return out
 
 
-def _said(c: Column, prov: str) -> Column:
-    return F.when(c.isNotNull(), F.struct(c.alias("cls"), F.lit(prov).alias("prov")))
+def code_of(cls: str, prov: str) -> int:
+    """A class and its provenance as one number: twice the rank, plus one if inferred. The least number wins a vote and says whether it was ever stated."""
+    return 2 * (PRIORITY.index(cls) + 1) + (prov != STATED)
 
 
-def text_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]], **cols: Column) -> Column:
-    """struct(cls, prov) of what a credit's texts say, or null: the patterns of the cascade, apart from standing.
+def decoded(code: Column) -> Column:
+    """struct(cls, prov) of a code; null of null."""
+    cls = F.element_at(F.array(*map(F.lit, PRIORITY)), F.floor(code / 2).cast("int"))
+    return F.when(code.isNotNull(), F.struct(cls.alias("cls"), F.when(code % 2 == 0, STATED).otherwise(INFERRED).alias("prov")))
+
+
+def _by_table(c: Column, table: dict[str, str], prov: str) -> Column:
+    return F.coalesce(*(F.when(c == k, F.lit(code_of(v, prov))) for k, v in table.items()))
+
+
+def _by_rules(c: Column, rules: list[tuple[str, str]], prov: str) -> Column:
+    return F.when(c != "", first_match(c, [(p, code_of(label, prov)) for p, label in rules], None))
+
+
+def text_code(headings: list[tuple[str, str]], categories: list[tuple[str, str]], **cols: Column) -> Column:
+    """The code of what a credit's texts say, or null: the patterns of the cascade, apart from standing, each tried once.
 
     ``headings`` and ``categories`` are ordered (pattern, label). Columns: category,
     role_raw, tag, explicit, heading, vendor_type; absent ones are ''. Order:
     category, role text, name tag, explicit role (category rules, then heading
-    rules), then inferred from heading and employer. Many credits share their texts:
-    apply it to distinct ones and join.
+    rules), then inferred from heading and employer.
     """
     get = lambda name: F.coalesce(cols[name], F.lit("")) if name in cols else F.lit("")
-    by_heading = lambda c: F.when(c != "", first_match(c, headings, None))
-    explicit = get("explicit")
     # the first category rule that maps to a class, not merely the first that matches
     usable = [(p, CATEGORY_CLASS[label]) for p, label in categories if label in CATEGORY_CLASS]
     return F.coalesce(
-        _said(mapped(F.trim(get("category")), CATEGORY_CLASS), STATED),
-        _said(by_heading(get("role_raw")), STATED),
-        _said(by_heading(get("tag")), STATED),
-        _said(F.when(explicit != "", first_match(explicit, usable, None)), STATED),
-        _said(by_heading(explicit), STATED),
-        _said(by_heading(get("heading")), INFERRED),
-        _said(mapped(get("vendor_type"), VENDOR_TYPE_CLASS), INFERRED),
-    )
-
-
-def standing_class(text: Column, inclusion: Column) -> Column:
-    """struct(cls, prov): standing that always holds, else what the texts say, else standing as a fallback, else unspecified."""
+        _by_table(F.trim(get("category")), CATEGORY_CLASS, STATED),
+        _by_rules(get("role_raw"), headings, STATED),
+        _by_rules(get("tag"), headings, STATED),
+        _by_rules(get("explicit"), usable, STATED),
+        _by_rules(get("explicit"), headings, STATED),
+        _by_rules(get("heading"), headings, INFERRED),
+        _by_table(get("vendor_type"), VENDOR_TYPE_CLASS, INFERRED),
+    ).cast("int")
+
+
+def standing_code(text: Column, inclusion: Column) -> Column:
+    """The code of standing that always holds, else of what the texts say, else of standing as a fallback, else unspecified."""
     inclusion = F.trim(F.coalesce(inclusion, F.lit("")))
-    return F.coalesce(
-        _said(mapped(inclusion, STANDING_ALWAYS), STATED),
-        text,
-        _said(mapped(inclusion, STANDING_FALLBACK), STATED),
-        F.struct(F.lit(UNSPECIFIED).alias("cls"), F.lit(STATED).alias("prov")),
-    )
+    return F.coalesce(_by_table(inclusion, STANDING_ALWAYS, STATED), text, _by_table(inclusion, STANDING_FALLBACK, STATED), F.lit(code_of(UNSPECIFIED, STATED)))
 
 
 def row_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]], inclusion: Column | None = None, **cols: Column) -> Column:
-    """struct(cls, prov) of one credit, by :func:`text_class` and :func:`standing_class`."""
-    return standing_class(text_class(headings, categories, **cols), F.lit("") if inclusion is None else inclusion)
+    """struct(cls, prov) of one credit, by :func:`text_code` and :func:`standing_code`."""
+    return decoded(standing_code(text_code(headings, categories, **cols), F.lit("") if inclusion is None else inclusion))
 
 
 def with_context(credits: DataFrame, tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
@@ -102,22 +110,24 @@ def classify(credits: DataFrame, headings: list[tuple[str, str]], categories: li
     """(keys, cls, prov): one role class for each name and release, from credit rows and what other tables know of them."""
     texts = ["category", "role_raw", "tag", "explicit", "heading", "vendor_type"]
     full = with_context(credits, tags, explicit, vendor_types, index)
-    cls = text_class(headings, categories, **{c: F.col(c) for c in texts})
-    rows = full.select(*keys, standing_class(cls, F.col("inclusion_class")).alias("c"))
-    return votes(rows.select(*keys, "c.cls", "c.prov"), list(keys))
+    said = text_code(headings, categories, **{c: F.col(c) for c in texts})
+    return code_votes(full.select(*keys, standing_code(said, F.col("inclusion_class")).alias("code")), list(keys))
 
 
 def rank(cls: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, PRIORITY)), cls)
 
 
+def code_votes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys, code): the class of highest priority, unspecified only if nothing else; a class stated once is stated."""
+    best = rows.groupBy(*keys).agg(F.min("code").alias("__c"))
+    return best.select(*keys, decoded(F.col("__c")).alias("__d")).select(*keys, "__d.cls", "__d.prov")
+
+
 def votes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows(keys, cls, prov): the class of highest priority, unspecified only if nothing else; a class stated once is stated."""
-    # twice the rank, plus one if inferred: the least number is the winner and says whether it was ever stated
+    """:func:`code_votes` of rows(keys, cls, prov)."""
     code = rank(F.col("cls")) * 2 + (F.col("prov") != STATED).cast("int")
-    best = rows.groupBy(*keys).agg(F.min(code).alias("__c"))
-    cls = F.element_at(F.array(*map(F.lit, PRIORITY)), F.floor(F.col("__c") / 2).cast("int"))
-    return best.select(*keys, cls.alias("cls"), F.when(F.col("__c") % 2 == 0, STATED).otherwise(INFERRED).alias("prov"))
+    return code_votes(rows.select(*keys, code.cast("int").alias("code")), keys)
 
 
 def column_fold(per_release: DataFrame, columns: DataFrame, key: str, release: str) -> DataFrame:

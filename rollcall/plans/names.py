@@ -220,7 +220,7 @@ def classified(spark, d):
     """Each order line as a credit: the part says category, text and employer, the line its standing. Texts are read once a part."""
     li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate")
     p = read(spark, d, "part").select("p_partkey", part_text().alias("t"), "p_brand", "p_size")
-    said = roles.text_class(
+    said = roles.text_code(
         HEADINGS, RULES,
         category=F.when(F.col("p_size") > 20, rules.first_match(F.col("t"), RULES)).otherwise(F.lit("")),
         role_raw=F.when(F.col("p_size") % 2 == 0, F.col("t")).otherwise(F.lit("")),
@@ -229,7 +229,7 @@ def classified(spark, d):
     )
     j = li.join(p.select("p_partkey", said.alias("said")), F.col("l_partkey") == F.col("p_partkey"))
     standing = F.when(F.col("l_linenumber") == 7, "babies").when(F.col("l_returnflag") == "R", "publishing").otherwise("core")
-    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.year("l_shipdate").alias("y"), roles.standing_class(F.col("said"), standing).alias("c"))
+    return j.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", F.year("l_shipdate").alias("y"), roles.standing_code(F.col("said"), standing).alias("code"))
 
 
 def _head(t: str) -> str:
@@ -244,7 +244,8 @@ cl AS (SELECT *, coalesce(s1, s2, s3, s4, s5, s6, 'unspecified') AS cls, CASE WH
 
 @query
 def role_cascade_provenance(spark, d):
-    return classified(spark, d).groupBy("c.cls", "c.prov").agg(F.count("*").alias("n"))
+    n = classified(spark, d).groupBy("code").agg(F.count("*").alias("n"))
+    return n.select(roles.decoded(F.col("code")).alias("c"), "n").select("c.cls", "c.prov", "n")
 
 
 SQL["role_cascade_provenance"] = f"WITH {_CL} SELECT cls, prov, count(*) AS n FROM cl GROUP BY 1, 2"
@@ -252,7 +253,7 @@ SQL["role_cascade_provenance"] = f"WITH {_CL} SELECT cls, prov, count(*) AS n FR
 
 @query
 def role_votes(spark, d):
-    return roles.votes(classified(spark, d).select("l_orderkey", "c.cls", "c.prov"), ["l_orderkey"])
+    return roles.code_votes(classified(spark, d).select("l_orderkey", "code"), ["l_orderkey"])
 
 
 _RANK = "list_position([" + ", ".join(f"'{c}'" for c in roles.PRIORITY) + "], cls)"
@@ -261,7 +262,7 @@ SQL["role_votes"] = f"WITH {_CL}, v AS (SELECT l_orderkey, cls, bool_or(prov = '
 
 @query
 def column_fold(spark, d):
-    per = classified(spark, d).select("l_partkey", "y", "c.cls")
+    per = classified(spark, d).select("l_partkey", "y", roles.decoded(F.col("code"))["cls"].alias("cls"))
     cols = spark.createDataFrame([(y, (y - 1995) // 3) for y in range(1995, 2003)], "y int, col int")
     return roles.column_fold(per, cols, "l_partkey", "y")
 
