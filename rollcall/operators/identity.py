@@ -78,10 +78,10 @@ def resolve(credits: DataFrame, games: DataFrame, aliases: DataFrame, reviews: D
 def compound_facts(own: DataFrame, shown: DataFrame) -> DataFrame:
     """Whole known names inside credits of several people: each such person gets the release and the spelling.
 
-    They meet by the first word of the name, which any text that holds the name has
-    (names without a word character meet all texts); a containment test runs before
-    the pattern, whose word ends are those of a name as it stands (a name that ends
-    in a stop isn't found before a space).
+    They meet by the first two words of the name, or its only one, which any text that
+    holds the name has in a row (names without a word character meet all texts); a
+    containment test runs before the pattern, whose word ends are those of a name as
+    it stands (a name that ends in a stop isn't found before a space).
     """
     whole = own.where(is_compound(F.col("variant"))).select(F.col("variant").alias("text"), "game_id", F.col("person_id").alias("own_id"), F.col("ord").alias("at"))
     plain = shown.where("not is_split")
@@ -89,8 +89,10 @@ def compound_facts(own: DataFrame, shown: DataFrame) -> DataFrame:
     names = names.where((F.col("name") != "") & ~is_compound(F.col("name"))).distinct()
     inside = F.expr(r"contains(text, name) and own_id <> person_id and regexp_like(text, concat('(?U)\\b\\Q', name, '\\E\\b'))")
     word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-    left = names.withColumn("__w", F.coalesce(F.get(word(F.col("name")), F.lit(0)), F.lit("")))
-    right = whole.withColumn("__w", F.explode(F.array_distinct(F.array_append(word(F.col("text")), F.lit("")))))
+    left = names.withColumn("__w", F.array_join(F.slice(word(F.col("name")), 1, 2), " "))
+    right = whole.withColumn("__s", word(F.col("text")))
+    twos = F.array_compact(F.zip_with("__s", F.slice("__s", 2, F.size("__s")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    right = right.withColumn("__w", F.explode(F.array_distinct(F.concat("__s", twos, F.array(F.lit("")))))).drop("__s")
     hit = left.join(right, "__w").where(inside)
     return hit.select("person_id", "game_id", F.col("text").alias("variant"), F.col("at").alias("ord"))
 
