@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lm, media, packing, pii, quality, simhash, token_counts, url_filter
+from . import chat, decontaminate, fim, lm, media, packing, pii, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_lm": lm.op9_lm,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_fim": fim.op11_fim,
 }
 
 ORACLE = {
     "op1_url_filter": url_filter.OP1_SQL,
     "op3_chat": chat.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op11_fim": fim.OP11_SQL,
 }
