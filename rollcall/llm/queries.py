@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fim, lm, media, packing, pii, quality, simhash, token_counts, url_filter
+from . import chat, decontaminate, fim, licenses, lm, media, packing, pii, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm": lm.op9_lm,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_fim": fim.op11_fim,
+    "op12_licenses": licenses.op12_licenses,
 }
 
 ORACLE = {
