@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fim, licenses, lm, media, packing, pii, quality, simhash, token_counts, url_filter
+from . import chat, collocations, decontaminate, fim, licenses, lm, media, packing, pii, quality, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_fim": fim.op11_fim,
     "op12_licenses": licenses.op12_licenses,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op3_chat": chat.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op11_fim": fim.OP11_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
