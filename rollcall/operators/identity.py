@@ -75,26 +75,49 @@ def resolve(credits: DataFrame, games: DataFrame, aliases: DataFrame, reviews: D
     return people_table(facts, shown, games, reviews), facts.select("person_id", "game_id", "variant")
 
 
+#: Stands at each word end of a marked text; a noncharacter of Unicode.
+_END = "\uffff"
+
+
+def word_ends_marked(c):
+    """``c`` with a mark at each word end: between a word character and another or none."""
+    return F.regexp_replace(c, r"(?U)\b", _END)
+
+
+def whole_name(c):
+    """What a marked text holds just where the name stands in it between word ends: the name with its inner word ends, and one on each side."""
+    return F.concat(F.lit(_END), F.btrim(word_ends_marked(c), F.lit(_END)), F.lit(_END))
+
+
+def names_inside(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text, name) for distinct texts(text) and names(name): each name that stands whole in a text.
+
+    They meet by the first two words of the name, or its only one, which any text that
+    holds the name has in a row (names without a word character meet all texts). The
+    test is one containment of marked strings, so no pattern is built from a row; word
+    ends are those of a name as it stands (one that ends in a stop isn't found before a
+    space).
+    """
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
+    left = names.select("name", whole_name(F.col("name")).alias("__n"), F.array_join(F.slice(word(F.col("name")), 1, 2), " ").alias("__w"))
+    right = texts.select("text", word_ends_marked(F.col("text")).alias("__t"), word(F.col("text")).alias("__s"))
+    twos = F.array_compact(F.zip_with("__s", F.slice("__s", 2, F.size("__s")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    right = right.withColumn("__w", F.explode(F.array_distinct(F.concat("__s", twos, F.array(F.lit("")))))).drop("__s")
+    return left.join(right, "__w").where(F.contains("__t", "__n")).select("text", "name")
+
+
 def compound_facts(own: DataFrame, shown: DataFrame) -> DataFrame:
     """Whole known names inside credits of several people: each such person gets the release and the spelling.
 
-    They meet by the first two words of the name, or its only one, which any text that
-    holds the name has in a row (names without a word character meet all texts); a
-    containment test runs before the pattern, whose word ends are those of a name as
-    it stands (a name that ends in a stop isn't found before a space).
+    Texts and names are compared once each, however many rows and owners they have.
     """
     whole = own.where(is_compound(F.col("variant"))).select(F.col("variant").alias("text"), "game_id", F.col("person_id").alias("own_id"), F.col("ord").alias("at"))
     plain = shown.where("not is_split")
     names = plain.select("person_id", F.col("display_name").alias("name")).union(own.join(plain.select("person_id"), "person_id", "left_semi").select("person_id", F.col("variant").alias("name")))
     names = names.where((F.col("name") != "") & ~is_compound(F.col("name"))).distinct()
-    inside = F.expr(r"contains(text, name) and own_id <> person_id and regexp_like(text, concat('(?U)\\b\\Q', name, '\\E\\b'))")
-    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), 1)
-    left = names.withColumn("__w", F.array_join(F.slice(word(F.col("name")), 1, 2), " "))
-    right = whole.withColumn("__s", word(F.col("text")))
-    twos = F.array_compact(F.zip_with("__s", F.slice("__s", 2, F.size("__s")), lambda a, b: F.concat(a, F.lit(" "), b)))
-    right = right.withColumn("__w", F.explode(F.array_distinct(F.concat("__s", twos, F.array(F.lit("")))))).drop("__s")
-    hit = left.join(right, "__w").where(inside)
-    return hit.select("person_id", "game_id", F.col("text").alias("variant"), F.col("at").alias("ord"))
+    hit = names_inside(whole.select("text").distinct(), names.select("name").distinct())
+    each = hit.join(names, "name").join(whole, "text").where("own_id <> person_id")
+    return each.select("person_id", "game_id", F.col("text").alias("variant"), F.col("at").alias("ord"))
 
 
 def people_table(facts: DataFrame, shown: DataFrame, games: DataFrame, reviews: DataFrame) -> DataFrame:

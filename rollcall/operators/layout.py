@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 
 #: Role classes in the order of the grid's legend, by which bands are laid.
 ROLE_ORDER = ["management", "production", "design", "engineering", "art", "audio", "writing", "qa", "live", "publishing", "community", "thanks", "unspecified"]
@@ -37,21 +38,6 @@ def ranked(people: DataFrame) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, name: str, groups: list, within: list, by: list[str] = ()) -> DataFrame:
-    """``name``: each row's place from 0 in the order of ``groups`` and then ``within``, from 0 again for each ``by``.
-
-    Groups are few whatever the rows (shapes of careers over a grid's columns), so
-    only their counts meet; rows are ordered within their group, each in a task of its own.
-    """
-    keys = [f"__g{i}" for i in range(len(groups))]
-    rows = rows.select("*", *(g.alias(k) for g, k in zip(groups, keys, strict=True)))
-    counts = rows.groupBy(*by, *keys).agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*by).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select(*by, *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    local = F.row_number().over(W.partitionBy(*by, *keys).orderBy(*within)) - 1
-    return rows.withColumn("__l", local).join(first, [*by, *keys]).withColumn(name, F.col("__first") + F.col("__l")).drop(*keys, "__first", "__l")
-
-
 def career_rows(people: DataFrame, group_by_shape: bool = True, sink_marked: bool = True, section: Column | None = None, name: str = "row") -> DataFrame:
     """:func:`ranked` people with ``name``: their place among all careers, from 0.
 
@@ -59,10 +45,12 @@ def career_rows(people: DataFrame, group_by_shape: bool = True, sink_marked: boo
     one; then either the columns from the back (equal careers become neighbours),
     class and roles, or the number of columns; then the name.
     """
-    head = [section if section is not None else F.lit(0), -F.col("__z"), F.col("__a")]
+    order = [*([] if section is None else [section]), -F.col("__z"), F.col("__a")]
     if group_by_shape:
-        return numbered(ranked(people), name, [*head, F.col("__shape")], [*(["__class"] if sink_marked else []), "__roles", "name"])
-    return numbered(ranked(people), name, [*head, -F.size("cols")], ["name"])
+        order += ["__shape", *(["__class"] if sink_marked else []), "__roles", "name"]
+    else:
+        order += [-F.size("cols"), "name"]
+    return numbered(ranked(people), name, order)
 
 
 def slot_packing(people: DataFrame, width: int, group_by_shape: bool = True, sink_marked: bool = True, section: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,11 +68,10 @@ def slot_packing(people: DataFrame, width: int, group_by_shape: bool = True, sin
     owned = rows.select("row", "name", F.explode("cols").alias("col"))
     taken = F.sequence(F.array_min("__points"), F.array_max("__points"))
     cells = rows.select("row", *(F.col(c) for c in ("__z", "__a")), F.explode(F.array_except(F.sequence(F.lit(0), F.lit(width - 1)), taken)).alias("col"))
-    # rows of one first and last column stand together, so free cells are counted by them
-    free = numbered(cells, "k", [F.floor(F.col("row") / CELLS)], ["row"], ["col"]).select("row", "col", "k")
+    free = free_cells(cells)
     single = ranked(people.where("size(cols) = 1")).withColumn("col", F.get("cols", F.lit(0)))
-    order = [F.col("__class"), F.get("__roles", F.lit(0))] if sink_marked else [F.lit(0)]
-    single = numbered(single, "k", order, ["name"], ["col"]).select("name", "col", "k")
+    order = ["__class", F.get("__roles", F.lit(0)), "name"] if sink_marked else ["name"]
+    single = numbered(single.select("name", "col", "__class", "__roles"), "k", order, ["col"]).select("name", "col", "k")
     put = single.join(free, ["col", "k"], "left")
     placed = owned.select("row", "col", "name").unionByName(put.where("row is not null").select("row", "col", "name"))
     return placed, put.where("row is null").select("col", "name")
@@ -94,6 +81,16 @@ def slot_packing(people: DataFrame, width: int, group_by_shape: bool = True, sin
 CELLS = 100_000
 
 
+def free_cells(cells: DataFrame) -> DataFrame:
+    """cells(row, col) with ``k``, their place in the column from 0: counted within blocks of ``CELLS`` rows, behind the counts of the blocks before."""
+    block = F.floor(F.col("row") / CELLS).alias("__block")
+    counts = cells.groupBy("col", block).agg(F.count("*").alias("__n"))
+    before = W.partitionBy("col").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("col", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(W.partitionBy("col", "__block").orderBy("row")) - 1
+    return cells.select("*", block).withColumn("__l", within).join(starts, ["col", "__block"]).select("row", "col", (F.col("__start") + F.col("__l")).alias("k"))
+
+
 def sections(people: DataFrame, first_era: Column) -> DataFrame:
     """(section, row): where the section of each era of a first column begins, for people of several columns."""
     n = people.where("size(cols) > 1").groupBy(first_era.alias("section")).agg(F.count("*").alias("n"))
@@ -103,8 +100,8 @@ def sections(people: DataFrame, first_era: Column) -> DataFrame:
 
 def bins(rows: DataFrame, width: int, by: str, *order) -> DataFrame:
     """Rows numbered in order within each ``by`` into lines of ``width``: line and place."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("line", F.floor(n / width).cast("int")).withColumn("place", F.pmod(n, F.lit(width)).cast("int"))
+    out = numbered(rows, "__n", list(order), [by])
+    return out.withColumn("line", F.floor(F.col("__n") / width).cast("int")).withColumn("place", F.pmod("__n", F.lit(width)).cast("int")).drop("__n")
 
 
 def reprint_columns(people: DataFrame, reprints: DataFrame) -> DataFrame:

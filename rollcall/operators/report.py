@@ -9,19 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_studio, percent
+from ..shared import materialised
 from . import marts, roles
 
 
+def credit_facts(credits: DataFrame, columns: DataFrame) -> DataFrame:
+    """(name_raw, game_id, inclusion_class, studio, col, n, and code where credits have one): what grid and page read of credits, in one pass, written once.
+
+    ``n`` counts the credits of a fact, ``code`` is the least of their role codes
+    (see :mod:`.roles`); ``col`` is null where no column covers the release. The
+    functions below read facts wherever they take credits.
+    """
+    code = [F.min("code").alias("code")] if "code" in credits.columns else []
+    each = credits.groupBy("name_raw", "game_id", "inclusion_class", "studio").agg(F.count("*").alias("n"), *code)
+    return materialised(each.join(columns, "game_id", "left"))
+
+
+def at_columns(credits: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows in a column of the grid, with ``col``."""
+    return credits.where("col is not null") if "col" in credits.columns else credits.join(columns, "game_id")
+
+
 def people_columns(people: DataFrame, columns: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """(ident, name, cols) of people with at least one column."""
     each = people.where(~F.col("display_name").isin(*exclude)) if exclude else people
-    at = each.select("person_id", "display_name", F.explode("games").alias("game_id")).join(F.broadcast(columns), "game_id")
+    at = each.select("person_id", "display_name", F.explode("games").alias("game_id")).join(columns, "game_id")
     return at.groupBy(F.col("person_id").alias("ident"), F.col("display_name").alias("name")).agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
 def community_people(credits: DataFrame, columns: DataFrame) -> DataFrame:
     """Distinct names of the community class, under their own spelling."""
-    rows = credits.where("inclusion_class = 'community'").join(F.broadcast(columns), "game_id")
+    rows = at_columns(credits.where("inclusion_class = 'community'"), columns)
     return rows.groupBy(F.col("name_raw").alias("ident"), F.col("name_raw").alias("name")).agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
@@ -36,23 +54,24 @@ def drawn(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def employed(credits: DataFrame, people: DataFrame, everyone: DataFrame, columns: DataFrame, classes: DataFrame, types: DataFrame) -> DataFrame:
-    """(col, name, key, studio, type): people drawn in a column with a vendor that a row of theirs there names.
+    """(col, name, key, studio, type, n): people drawn in a column with a vendor that a row of theirs there names, and in how many credits.
 
     Spellings go to display names (of several owners the greatest id's); community
     rows keep their own spelling. ``everyone`` holds name and cols.
     """
     owner = people.select("person_id", "display_name", F.explode("variants").alias("name_raw")).groupBy("name_raw").agg(F.max_by("display_name", "person_id").alias("shown"))
-    rows = credits.join(F.broadcast(columns), "game_id").join(owner, "name_raw", "left")
+    n = F.col("n") if "n" in credits.columns else F.lit(1)
+    rows = at_columns(credits.withColumn("n", n.cast("long")), columns).join(owner, "name_raw", "left")
     rows = rows.withColumn("name", F.coalesce("shown", F.when(F.col("inclusion_class") == "community", F.col("name_raw")))).where("name is not null")
     key = lambda t, value: t.select(normalise_studio(F.col("studio")).alias("key"), F.trim(value).alias(value))
     rows = rows.withColumn("key", normalise_studio(F.col("studio"))).where("key <> ''").join(key(classes, "class"), "key", "left").where("class is null or class = 'vendor'")
     rows = rows.join(everyone.select("name", "cols"), "name").where("array_contains(cols, col)")
-    return rows.join(key(types, "type"), "key", "left").select("col", "name", "key", "studio", F.coalesce("type", F.lit("development")).alias("type"))
+    return rows.join(key(types, "type"), "key", "left").select("col", "name", "key", "studio", F.coalesce("type", F.lit("development")).alias("type"), "n")
 
 
 def studio_spellings(work: DataFrame) -> DataFrame:
     """(key, studio): the most frequent spelling; of equals the least."""
-    n = work.groupBy("key", "studio").agg(F.count("*").alias("n"))
+    n = work.groupBy("key", "studio").agg(F.sum("n").alias("n"))
     return n.groupBy("key").agg(F.min_by("studio", F.struct(-F.col("n"), "studio")).alias("studio"))
 
 
@@ -62,7 +81,7 @@ def chips(work: DataFrame, named: list[str], studio_only: DataFrame, columns: Da
 
     n = work.select("col", "key", "name").distinct().groupBy("col", "key").agg(F.count("*").alias("people")).join(studio_spellings(work), "key")
     n = n.withColumn("part", F.when(F.col("key").isin(*named), 0).otherwise(1) if named else F.lit(1))
-    only = studio_only.join(F.broadcast(columns), "game_id").select("col", "studio", F.lit(None).cast("long").alias("people"), F.lit(2).alias("part"))
+    only = studio_only.join(columns, "game_id").select("col", "studio", F.lit(None).cast("long").alias("people"), F.lit(2).alias("part"))
     both = n.select("col", "studio", "people", "part").unionByName(only)
     return both.select("col", F.row_number().over(W.partitionBy("col").orderBy("part", F.desc("people"), "studio")).alias("place"), "studio", "people")
 
@@ -95,13 +114,17 @@ def composition(everyone: DataFrame, work: DataFrame, publishing: DataFrame, nam
 def role_tables(per_release: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (name, game_id, cls): (by person and column, totals, by column)."""
     totals = per_release.groupBy("cls").agg(F.count("*").alias("n"))
-    by_col = per_release.join(F.broadcast(columns), "game_id").groupBy("col", "cls").agg(F.count("*").alias("n"))
+    by_col = per_release.join(columns, "game_id").groupBy("col", "cls").agg(F.count("*").alias("n"))
     return roles.column_fold(per_release, columns, "name", "game_id"), totals, by_col
 
 
 def roles_of(per_release: DataFrame, columns: DataFrame) -> DataFrame:
     """(name, roles): each person's class by column, as a map, from (name, game_id, cls)."""
-    own = roles.column_fold(per_release, columns, "name", "game_id")
+    return roles_in(roles.column_fold(per_release, columns, "name", "game_id"))
+
+
+def roles_in(own: DataFrame) -> DataFrame:
+    """(name, roles) from (name, col, cls)."""
     return own.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("col", "cls"))).alias("roles"))
 
 
@@ -124,7 +147,7 @@ def hero_numbers(everyone: DataFrame, work: DataFrame, columns: DataFrame, eras:
     staff of a column are its developers without a vendor there.
     """
     first, later, _ = eras
-    at = everyone.select("name", (~F.col("community") & ~F.col("publisher")).alias("dev"), F.explode("cols").alias("col")).join(F.broadcast(columns), "col")
+    at = everyone.select("name", (~F.col("community") & ~F.col("publisher")).alias("dev"), F.explode("cols").alias("col")).join(columns, "col")
     vendor = work.select("name", "col").distinct().withColumn("v", F.lit(True))
     at = at.join(vendor, ["name", "col"], "left").withColumn("v", F.coalesce("v", F.lit(False)))
     spot = F.struct("col", "era", label_year(F.col("year")).alias("year"), "v")

@@ -106,12 +106,17 @@ def with_context(credits: DataFrame, tags: DataFrame, explicit: DataFrame, vendo
     return out.join(tag, "__name", "left").join(said, ["game_id", "__name"], "left").join(kind, "__studio", "left").drop("__name", "__studio")
 
 
-def classify(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None, keys: list[str] = ("name_raw", "game_id")) -> DataFrame:
-    """(keys, cls, prov): one role class for each name and release, from credit rows and what other tables know of them."""
+def coded(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Credits with ``code``: what each says of a role, from its row and what other tables know of it."""
     texts = ["category", "role_raw", "tag", "explicit", "heading", "vendor_type"]
     full = with_context(credits, tags, explicit, vendor_types, index)
     said = text_code(headings, categories, **{c: F.col(c) for c in texts})
-    return code_votes(full.select(*keys, standing_code(said, F.col("inclusion_class")).alias("code")), list(keys))
+    return full.select(*credits.columns, standing_code(said, F.col("inclusion_class")).alias("code"))
+
+
+def classify(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None, keys: list[str] = ("name_raw", "game_id")) -> DataFrame:
+    """(keys, cls, prov): one role class for each name and release, from credit rows and what other tables know of them."""
+    return code_votes(coded(credits, headings, categories, tags, explicit, vendor_types, index), list(keys))
 
 
 def rank(cls: Column) -> Column:
@@ -132,7 +137,13 @@ def votes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def column_fold(per_release: DataFrame, columns: DataFrame, key: str, release: str) -> DataFrame:
     """Best class of a person over the releases that one report column covers; columns(release, col) is small."""
-    return per_release.join(F.broadcast(columns), release).groupBy(key, "col").agg(F.min_by("cls", rank(F.col("cls"))).alias("cls"))
+    return per_release.join(columns, release).groupBy(key, "col").agg(F.min_by("cls", rank(F.col("cls"))).alias("cls"))
+
+
+def column_classes(coded: DataFrame, key: str) -> DataFrame:
+    """(key, col, cls) from rows(key, col, code): the fold of the votes of a column's releases, which is the vote of all their rows."""
+    best = coded.where("col is not null").groupBy(key, "col").agg(F.min("code").alias("__c"))
+    return best.select(key, "col", decoded(F.col("__c"))["cls"].alias("cls"))
 
 
 def with_heading(credits: DataFrame, index: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout, report, roles
 from ..operators.identity import uncertain_review as review
+from ..shared import materialised
 from . import careers
 from .continuity import person_metrics, read
 from .continuity import SQL as CONTINUITY
@@ -53,7 +54,7 @@ def credits(spark, d):
     ref = F.when(k % 3 == 0, F.concat(F.lit("Unit/"), F.col("p_type"), F.lit("#"), n.cast("string"))).otherwise(F.concat(F.lit("L"), k.cast("string")))
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, k == F.col("p_partkey"))
     return j.select(
-        "o_custkey", "game_id", name.alias("name_raw"), cls.alias("inclusion_class"), studio.alias("studio"), ref.alias("source_ref"),
+        "game_id", name.alias("name_raw"), cls.alias("inclusion_class"), studio.alias("studio"), ref.alias("source_ref"),
         F.when((size > 40) & (k % 2 == 0), "Design").when(size > 40, "Publishing").otherwise("").alias("category"), F.when(size % 5 == 0, F.col("p_type")).otherwise("").alias("role_raw"),
     )
 
@@ -136,21 +137,35 @@ SQL["role_totals"] = f"WITH {_CLASSES} SELECT -1 AS col, cls, count(*) AS n FROM
 # --- the report -------------------------------------------------------------------
 
 
-def people(spark, d):
+def facts(spark, d):
+    """What the report reads of credits, written once a query."""
+    return report.credit_facts(credits(spark, d), columns(spark))
+
+
+def coded_facts(spark, d):
+    """The same with role codes."""
+    tags, explicit, types, index = context(spark, d)
+    return report.credit_facts(roles.coded(credits(spark, d), HEADINGS, CATEGORIES, tags, explicit, types, index), columns(spark))
+
+
+def customer():
+    """The key of a customer's spelling."""
+    return F.substring("name_raw", 6, 20)
+
+
+def people(f):
     """Who has a core credit: spellings and releases."""
-    core = credits(spark, d).where("inclusion_class = 'core'")
-    key = F.col("o_custkey").cast("string")
-    return core.groupBy("o_custkey").agg(F.array_sort(F.collect_set("game_id")).alias("games")).select(
-        F.concat(F.lit("cust-"), key).alias("person_id"), F.concat(F.lit("Cust "), key).alias("display_name"),
-        F.array(F.concat(F.lit("Cust "), key), F.concat(F.lit("CUST "), key)).alias("variants"), "games",
+    core = f.where("inclusion_class = 'core'").groupBy(customer().alias("key")).agg(F.array_sort(F.collect_set("game_id")).alias("games"))
+    return core.select(
+        F.concat(F.lit("cust-"), "key").alias("person_id"), F.concat(F.lit("Cust "), "key").alias("display_name"),
+        F.array(F.concat(F.lit("Cust "), "key"), F.concat(F.lit("CUST "), "key")).alias("variants"), "games",
     )
 
 
-def everyone(spark, d):
-    c = credits(spark, d)
-    own = lambda cls: c.where(F.col("inclusion_class") == cls).select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("ident"), F.concat(F.lit("Cust "), F.col("o_custkey").cast("string")).alias("name"), "game_id")
-    cols = lambda df: df.join(F.broadcast(columns(spark)), "game_id").groupBy("ident", "name").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    return report.drawn({"staff": report.people_columns(people(spark, d), columns(spark), ["Cust 3"]), "publisher": cols(own("publishing")), "special_thanks": cols(own("special-thanks")), "community": report.community_people(c, columns(spark))})
+def everyone(spark, f):
+    own = lambda cls: f.where(F.col("inclusion_class") == cls).select(F.concat(F.lit("cust-"), customer()).alias("ident"), F.concat(F.lit("Cust "), customer()).alias("name"), "col")
+    cols = lambda df: df.where("col is not null").groupBy("ident", "name").agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    return report.drawn({"staff": report.people_columns(people(f), columns(spark), ["Cust 3"]), "publisher": cols(own("publishing")), "special_thanks": cols(own("special-thanks")), "community": report.community_people(f, columns(spark))})
 
 
 _EV = f"""{_CR},
@@ -162,16 +177,23 @@ ec AS (SELECT DISTINCT ev.*, p.col FROM ev JOIN parts p ON ev.ident = p.ident)""
 
 @query
 def drawn_people(spark, d):
-    return everyone(spark, d).withColumn("cols", F.array_join(F.transform("cols", lambda c: c.cast("string")), "|"))
+    return everyone(spark, facts(spark, d)).withColumn("cols", F.array_join(F.transform("cols", lambda c: c.cast("string")), "|"))
 
 
 SQL["drawn_people"] = f"WITH {_EV} SELECT ident, name, array_to_string(cols, '|') AS cols, staff, publisher, special_thanks, community FROM ev"
 
 
-def work(spark, d):
+def work(spark, f, drawn):
     makers = spark.createDataFrame([("Brand#11", "first-party"), (" BRAND#12, Inc. ", "independent")], "studio string, class string")
     types = spark.createDataFrame([("Brand#21 LLC", "testing"), ("brand#22", "publishing"), ("Brand#23", "cinematic-sound")], "studio string, type string")
-    return report.employed(credits(spark, d), people(spark, d), everyone(spark, d), columns(spark), makers, types)
+    return report.employed(f, people(f), drawn, columns(spark), makers, types)
+
+
+def page(spark, d):
+    """(facts, everyone drawn, their work), each written once for the marts that read them."""
+    f = facts(spark, d)
+    drawn = materialised(everyone(spark, f))
+    return f, drawn, materialised(work(spark, f, drawn))
 
 
 _WORK = f"""{_EV},
@@ -182,7 +204,8 @@ wk AS (SELECT cr.col, ec.name, cr.key, cr.studio, CASE cr.key WHEN 'brand#21' TH
 
 @query
 def employed_people(spark, d):
-    return work(spark, d).groupBy("col", "name", "key", "studio", "type").agg(F.count("*").alias("n"))
+    f = facts(spark, d)
+    return work(spark, f, everyone(spark, f)).groupBy("col", "name", "key", "studio", "type").agg(F.sum("n").alias("n"))
 
 
 SQL["employed_people"] = f"WITH {_WORK} SELECT CAST(col AS INTEGER) AS col, name, key, studio, type, count(*) AS n FROM wk GROUP BY ALL"
@@ -195,7 +218,7 @@ def alone(spark):
 @query
 def vendor_chips(spark, d):
     """Named vendors, the others by people, then companies credited without anyone (-1)."""
-    out = report.chips(work(spark, d), NAMED, alone(spark), columns(spark))
+    out = report.chips(page(spark, d)[2], NAMED, alone(spark), columns(spark))
     return out.withColumn("people", F.coalesce("people", F.lit(-1).cast("long")))
 
 
@@ -209,8 +232,9 @@ SELECT CAST(col AS INTEGER) AS col, CAST(row_number() OVER (PARTITION BY col ORD
 @query
 def page_composition(spark, d):
     """What each column is made of."""
-    published = credits(spark, d).where("inclusion_class = 'publishing'").join(F.broadcast(columns(spark)), "game_id").select("col", F.col("name_raw").alias("name"))
-    return report.composition(everyone(spark, d), work(spark, d), published, NAMED)
+    f, drawn, jobs = page(spark, d)
+    published = f.where("inclusion_class = 'publishing' and col is not null").select("col", F.col("name_raw").alias("name"))
+    return report.composition(drawn, jobs, published, NAMED)
 
 
 SQL["page_composition"] = f"""WITH {_WORK}, job AS (SELECT col, name, max(CASE WHEN key IN ({_NAMED}) THEN key END) AS named, min(type) AS type FROM wk GROUP BY 1, 2),
@@ -225,7 +249,8 @@ SELECT CAST(col AS INTEGER) AS col, * EXCLUDE (col), total - vendors - publisher
 @query
 def hero_numbers(spark, d):
     """All headline numbers."""
-    return report.hero_numbers(everyone(spark, d), work(spark, d), spark.createDataFrame(COLUMNS, "col int, year string, era string"), ["A", "B", "C"])
+    _, drawn, jobs = page(spark, d)
+    return report.hero_numbers(drawn, jobs, spark.createDataFrame(COLUMNS, "col int, year string, era string"), ["A", "B", "C"])
 
 
 _pct = lambda a, b: f"CAST(CASE WHEN {b} = 0 THEN 0 ELSE round_even(100.0::DOUBLE * {a} / {b}, 0) END AS INTEGER)"
@@ -249,8 +274,9 @@ SELECT h.*, vn.*, (SELECT count(*) FROM tr WHERE dd = 1) AS unbroken, (SELECT co
 
 def grid_people(spark, d):
     """Everyone drawn, with the class in each column."""
-    own = report.roles_of(classes(spark, d).withColumnRenamed("name_raw", "name"), columns(spark))
-    return everyone(spark, d).join(own, "name", "left")
+    f = coded_facts(spark, d)
+    own = report.roles_in(roles.column_classes(f.withColumnRenamed("name_raw", "name"), "name"))
+    return everyone(spark, f).join(own, "name", "left")
 
 
 _SHOWN = f"{_EV}, " + _CLASSES.removeprefix(_CR + ",").strip() + f""",
@@ -258,11 +284,12 @@ rc AS (SELECT name_raw AS name, col, min_by(cls, {_RANK}) AS cls FROM cn GROUP B
 sg AS (SELECT ec.name, list(coalesce(list_position([{", ".join(f"'{c}'" for c in layout.ROLE_ORDER)}], rc.cls) - 1, 13) ORDER BY ec.col) AS sig FROM ec LEFT JOIN rc ON ec.name = rc.name AND ec.col = rc.col GROUP BY 1),
 gp AS (SELECT ev.name, ev.cols, ev.cols[1] AS a, ev.cols[-1] AS z, len(ev.cols) AS n, CASE WHEN publisher THEN 1 WHEN community THEN 2 ELSE 0 END AS mark, sg.sig, CASE WHEN ev.cols[1] < 2 THEN 0 ELSE 1 END AS sec FROM ev JOIN sg ON ev.name = sg.name)"""
 _SHAPE = "z DESC, a, list_transform(list_reverse(cols), lambda x: -x), mark, sig, name"
+
+
 def first_era():
     return F.when(F.get("cols", F.lit(0)) < 2, 0).otherwise(1)
 
 
-
 @query
 def career_sort(spark, d):
     """Everyone by career: shape, class, roles, name."""
@@ -310,10 +337,10 @@ SQL["grid_sections"] = f"WITH {_SHOWN} SELECT sec AS section, CAST(sum(n) OVER (
 
 def seen(spark, d):
     """(person, release, is_vendor, first_party) by the careers chain."""
-    p = people(spark, d)
-    core = credits(spark, d).where("inclusion_class = 'core'")
-    facts = core.select(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("person_id"), "game_id", F.col("name_raw").alias("variant")).distinct()
-    return careers.appearances(core, p, facts, studio_classes(spark))
+    f = facts(spark, d)
+    core = f.where("inclusion_class = 'core'")
+    spelled = core.select(F.concat(F.lit("cust-"), customer()).alias("person_id"), "game_id", F.col("name_raw").alias("variant")).distinct()
+    return careers.appearances(core, people(f), spelled, studio_classes(spark))
 
 
 def studio_classes(spark):

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from rollcall.operators import identity
@@ -64,3 +67,17 @@ def test_first_read_order_is_of_files(spark):
 def test_empty(spark):
     p, _, facts = resolve(spark, [])
     assert not p and facts.count() == 0
+
+
+def test_names_inside_against_patterns(spark):
+    rnd = random.Random(4)
+    bits = ["Ann", "ann", "Bé", "O'Neil", "Jr.", "Li-Wu", "é", "a", "aa", "a a", "(X)", "-", "&", "and", "_x", "9", "..", "漢字"]
+    some = lambda most: " ".join(rnd.choice(bits) for _ in range(rnd.randrange(1, most))).replace(" - ", rnd.choice(["-", " - "]))
+    names = sorted({some(4) for _ in range(150)} | {"--", "a a", " Ann"})
+    texts = sorted({some(12) for _ in range(150)} | {"xa a a", "a--b and C", "Annabel and Ann", ""})
+    got = identity.names_inside(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string"))
+    # words as Java's Unicode patterns have them: letters, digits and underscores, as in Python
+    want = {(t, n) for t in texts for n in names if re.search(r"\b" + re.escape(n) + r"\b", t)}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_like" not in plan and "RLIKE" not in plan.upper()
