@@ -2,7 +2,7 @@ r"""Phrase collocation mining over compressed position bitmaps.
 
 Texts are cut to shards of bounded size, one language each. A shard keeps, for each
 of its words, a bitmap of the positions where it stands, compressed to the blocks of
-16 positions that hold it (block number and 16 bits), as one row of a table; one
+8 positions that hold it (block number and 8 bits), as one row of a table; one
 empty position parts two pieces, so no phrase is found across them. A phrase's
 bitmap, shifted by one and ANDed with the bitmaps of the words in the same blocks,
 gives the bitmaps of all phrases one word longer; their popcounts are the shard's
@@ -42,7 +42,7 @@ from .common import dropped, small_batches, table, written
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
 #: Words that a worker holds before it closes its largest shard.
-POSITIONS = 2_000_000
+POSITIONS = 4_000_000
 #: AND operations at a time.
 STEPS = 1_000_000
 #: Parts of a language that are ranked apart before their first rows meet.
@@ -50,7 +50,7 @@ PARTS = 256
 
 GAP = b"\xff"  # in no UTF-8 text
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else 0xFF if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
-_ENTRY = np.dtype([("block", "<u4"), ("mask", "<u2")])
+_ENTRY = np.dtype([("block", "<u4"), ("mask", "u1")])
 _ROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("bits", pa.binary())])
 
 
@@ -80,7 +80,7 @@ class Positions:
         word = at[place]
         order = np.argsort(word, kind="stable")
         word, place = word[order], place[order]
-        block, bit = (place >> 4).astype(np.uint32), (1 << (place & 15)).astype(np.uint16)
+        block, bit = (place >> 3).astype(np.uint32), (1 << (place & 7)).astype(np.uint8)
         first = np.ones(len(word), bool)
         first[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
         start = np.flatnonzero(first)
@@ -121,34 +121,41 @@ def position_bitmaps(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     return texts.mapInArrow(run, "shard long, lang string, word string, n long, bits binary")
 
 
+def _firsts(rising: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, rising[1:] != rising[:-1])) if len(rising) else np.empty(0, np.int64)
+
+
+def _spread(key: np.ndarray) -> np.ndarray:
+    """20 bits of a product hash."""
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 class Bitmaps:
     """A shard's compressed bitmaps by word and by block; words are numbered by rising id."""
 
     def __init__(self, rows: pa.Table) -> None:
-        ids, bits = rows["id"].to_numpy(), rows["bits"].combine_chunks()
-        bits = bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits
-        offsets = np.frombuffer(bits.buffers()[1], np.int32, len(bits) + 1, bits.offset * 4) if len(bits) else np.zeros(1, np.int32)
-        data = np.frombuffer(bits.buffers()[2], _ENTRY, (offsets[-1] - offsets[0]) // _ENTRY.itemsize, int(offsets[0])) if offsets[-1] > offsets[0] else np.empty(0, _ENTRY)
-        rank = np.empty(len(ids), np.int64)
-        rank[np.argsort(ids)] = np.arange(len(ids))
-        self.ids = np.sort(ids)
-        word = np.repeat(rank, np.diff(offsets) // _ENTRY.itemsize)
-        order = np.lexsort((data["block"], word))
-        self.word, self.block, self.mask = word[order], data["block"][order].astype(np.int64), data["mask"][order].astype(np.uint32)
-        by_block = np.argsort(self.block, kind="stable")
+        rows = rows.select(["id", "bits"]).sort_by("id").combine_chunks()
+        self.ids, bits = rows["id"].to_numpy(), pa.concat_arrays(rows["bits"].chunks or [pa.array([], pa.binary())])
+        offsets = np.frombuffer(bits.buffers()[1], np.int32, len(bits) + 1) if len(bits) else np.zeros(1, np.int32)
+        data = np.frombuffer(bits.buffers()[2] or b"", _ENTRY, int(offsets[-1]) // _ENTRY.itemsize)
+        self.word = np.repeat(np.arange(len(bits)), np.diff(offsets) // _ENTRY.itemsize)
+        self.block, self.mask = data["block"].astype(np.int64), np.ascontiguousarray(data["mask"])
+        by_block = np.argsort(self.block)
         self.in_word, self.in_mask = self.word[by_block], self.mask[by_block]
         blocks = int(self.block.max()) + 2 if len(self.block) else 1
         self.starts = np.searchsorted(self.block[by_block], np.arange(blocks + 1))
 
     def extended(self, node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(node, word, block, mask) of all one word longer, whole nodes at a time; ``node`` rises."""
-        moved = mask << 1
-        carry = np.flatnonzero(moved >> 16)
+        carry = np.flatnonzero(mask >> 7)
         node = np.concatenate([node, node[carry]])
-        order = np.argsort(node, kind="stable")
-        node, block, mask = node[order], np.concatenate([block, block[carry] + 1])[order], np.concatenate([moved & 0xFFFF, np.ones(len(carry), np.uint32)])[order]
-        reach = self.starts[block + 1] - self.starts[block]
+        order = np.argsort(node, kind="stable")  # two rising runs
+        node, block, mask = node[order], np.concatenate([block, block[carry] + 1])[order], np.concatenate([mask << 1, np.ones(len(carry), np.uint8)])[order]
+        begin = self.starts[block]
+        reach = self.starts[block + 1] - begin
         work = np.cumsum(reach)
+        shift = begin - (work - reach)
         ends = np.append(np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)) if len(node) else node
         low = 0
         while low < len(node):
@@ -156,44 +163,45 @@ class Bitmaps:
             done = work[low - 1] if low else 0
             high = ends[max(np.searchsorted(work[ends - 1], done + STEPS, "right") - 1, np.searchsorted(ends, low, "right"))]
             n = reach[low:high]
-            own = np.repeat(np.arange(low, high), n)
-            other = np.arange(len(own)) - np.repeat(work[low:high] - n - done, n) + self.starts[block[own]]
-            both = mask[own] & self.in_mask[other]
+            other = np.arange(done, work[high - 1]) + np.repeat(shift[low:high], n)
+            both = np.repeat(mask[low:high], n) & self.in_mask[other]
             hit = np.flatnonzero(both)
-            own, other = own[hit], other[hit]
-            yield node[own], self.in_word[other], block[own], both[hit]
+            own = np.repeat(np.arange(low, high), n)[hit]
+            yield node[own], self.in_word[other[hit]], block[own], both[hit]
             low = high
 
-    def popcounts(self, node: np.ndarray, word: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(child number of each entry, its node, its word, its count) for the distinct (node, word)."""
-        keys, child = np.unique(node * len(self.ids) + word, return_inverse=True)
-        return child, keys // len(self.ids), keys % len(self.ids), np.bincount(child, np.bitwise_count(mask), len(keys)).astype(np.int64)
-
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of the words, counts) of all pairs."""
         for node, word, _, mask in self.extended(self.word, self.block, self.mask):
-            _, a, b, n = self.popcounts(node, word, mask)
-            yield self.ids[np.stack([a, b], 1)], n
+            key = np.sort(np.repeat(node * len(self.ids) + word, np.bitwise_count(mask)))
+            first = _firsts(key)
+            n = np.diff(np.append(first, len(key)))
+            yield self.ids[np.stack([key[first] // len(self.ids), key[first] % len(self.ids)], 1)], n
 
     def longer(self, steps: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of the words, counts) of all phrases of three words and more whose pairs are all among ``steps`` (a, b)."""
         local = np.searchsorted(self.ids, steps)
         allowed = np.unique(local[:, 0] * len(self.ids) + local[:, 1])
+        rough = np.zeros(1 << 20, bool)  # most steps that aren't allowed fail here
+        rough[_spread(allowed)] = True
 
         def walk(phrases: np.ndarray, node: np.ndarray, block: np.ndarray, mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for node, word, block, mask in self.extended(node, block, mask):
                 step = phrases[node, -1] * len(self.ids) + word
-                at = np.searchsorted(allowed, step)
-                may = np.flatnonzero(allowed[np.minimum(at, len(allowed) - 1)] == step)
+                may = np.flatnonzero(rough[_spread(step)])
+                at = np.searchsorted(allowed, step[may])
+                may = may[allowed[np.minimum(at, len(allowed) - 1)] == step[may]]
                 if not len(may):
                     continue
-                child, parent, last, n = self.popcounts(node[may], word[may], mask[may])
-                grown = np.column_stack([phrases[parent], last])
+                key = node[may] * len(self.ids) + word[may]
+                order = np.argsort(key)
+                key, may = key[order], may[order]
+                first = _firsts(key)
+                grown = np.column_stack([phrases[key[first] // len(self.ids)], key[first] % len(self.ids)])
                 if grown.shape[1] > 2:
-                    yield self.ids[grown], n
+                    yield self.ids[grown], np.add.reduceat(np.bitwise_count(mask[may]), first, dtype=np.int64)
                 if grown.shape[1] < longest:
-                    order = np.argsort(child, kind="stable")
-                    yield from walk(grown, child[order], block[may][order], mask[may][order])
+                    yield from walk(grown, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key)))), block[may], mask[may])
 
         if len(allowed):
             begins = np.isin(self.word, allowed // len(self.ids))
