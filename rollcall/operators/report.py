@@ -30,27 +30,32 @@ def at_columns(credits: DataFrame, columns: DataFrame) -> DataFrame:
     return credits.where("col is not null") if "col" in credits.columns else credits.join(columns, "game_id")
 
 
+def people_spots(people: DataFrame, columns: DataFrame, exclude: list[str] = ()) -> DataFrame:
+    """(ident, name, col) of people, for each column of theirs, maybe more than once."""
+    each = people.where(~F.col("display_name").isin(*exclude)) if exclude else people
+    return each.select(F.col("person_id").alias("ident"), F.col("display_name").alias("name"), F.explode("games").alias("game_id")).join(columns, "game_id").drop("game_id")
+
+
 def people_columns(people: DataFrame, columns: DataFrame, exclude: list[str] = ()) -> DataFrame:
     """(ident, name, cols) of people with at least one column."""
-    each = people.where(~F.col("display_name").isin(*exclude)) if exclude else people
-    at = each.select("person_id", "display_name", F.explode("games").alias("game_id")).join(columns, "game_id")
-    return at.groupBy(F.col("person_id").alias("ident"), F.col("display_name").alias("name")).agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    return people_spots(people, columns, exclude).groupBy("ident", "name").agg(F.array_sort(F.collect_set("col")).alias("cols"))
 
 
 def community_people(credits: DataFrame, columns: DataFrame) -> DataFrame:
-    """Distinct names of the community class, under their own spelling."""
+    """(ident, name, col) of the community class, under their own spelling, maybe more than once."""
     rows = at_columns(credits.where("inclusion_class = 'community'"), columns)
-    return rows.groupBy(F.col("name_raw").alias("ident"), F.col("name_raw").alias("name")).agg(F.array_sort(F.collect_set("col")).alias("cols"))
+    return rows.select(F.col("name_raw").alias("ident"), F.col("name_raw").alias("name"), "col")
 
 
 def drawn(parts: dict[str, DataFrame]) -> DataFrame:
-    """Union of (ident, name, cols) frames by flag name, one row for each ident: columns united, flags or-ed, the name of the first part."""
+    """Union by flag name of frames (ident, name, and col or cols), one row for each ident: columns united, flags or-ed, the name of the first part."""
     both = None
-    for k, (flag, df) in enumerate(parts.items()):
-        part = df.select("ident", "name", "cols", F.lit(k).alias("part"), F.lit(flag).alias("flag"))
+    for k, df in enumerate(parts.values()):
+        spots = df.select("ident", "name", "col") if "col" in df.columns else df.select("ident", "name", F.explode("cols").alias("col"))
+        part = spots.withColumn("part", F.lit(k))
         both = part if both is None else both.unionByName(part)
-    flags = [F.bool_or(F.col("flag") == f).alias(f) for f in parts]
-    return both.groupBy("ident").agg(F.min_by("name", F.struct("part", "name")).alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cols")))).alias("cols"), *flags)
+    flags = [F.bool_or(F.col("part") == k).alias(f) for k, f in enumerate(parts)]
+    return both.groupBy("ident").agg(F.min(F.struct("part", "name")).alias("first"), F.array_sort(F.collect_set("col")).alias("cols"), *flags).select("ident", "first.name", "cols", *parts)
 
 
 def employed(credits: DataFrame, people: DataFrame, everyone: DataFrame, columns: DataFrame, classes: DataFrame, types: DataFrame) -> DataFrame:

@@ -90,28 +90,27 @@ def row_class(headings: list[tuple[str, str]], categories: list[tuple[str, str]]
     return decoded(standing_code(text_code(headings, categories, **cols), F.lit("") if inclusion is None else inclusion))
 
 
-def with_context(credits: DataFrame, tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Adds what other tables know of a credit: tag (by name), explicit (by release and name), vendor_type (by the company as written), heading.
+def coded(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Credits with ``code``: what each says of a role, by the order of :func:`text_code`, from its row and what other tables know of it.
 
-    tags(name, tag), explicit(game_id, name, roles), vendor_types(studio, type); a
-    company's key is its text in lower case without outer space, corporate suffix
-    and all; of rows with one key the one with the greatest value counts.
+    tags(name, tag), explicit(game_id, name, roles), vendor_types(studio, type),
+    index(game_id, source_ref, heading); a company's key is its text in lower case
+    without outer space, corporate suffix and all; of rows with one key the one with
+    the greatest value counts. Texts of these tables are read by the patterns there,
+    once each, and only their codes are joined; credits have their own texts read.
     """
     name, studio = F.trim("name_raw"), F.lower(F.trim(F.coalesce("studio", F.lit(""))))
-    one = lambda t, keys, value, out: t.groupBy(*keys).agg(F.max(value).alias(out))
-    tag = one(tags.where("tag <> ''"), [F.trim("name").alias("__name")], F.col("tag"), "tag")
-    said = one(explicit.where("roles <> ''"), [F.col("game_id"), F.trim("name").alias("__name")], F.col("roles"), "explicit")
-    kind = one(vendor_types.where("trim(studio) <> '' and trim(type) <> ''"), [F.lower(F.trim("studio")).alias("__studio")], F.lower(F.trim("type")), "vendor_type")
-    out = with_heading(credits, index).withColumn("__name", name).withColumn("__studio", studio)
-    return out.join(tag, "__name", "left").join(said, ["game_id", "__name"], "left").join(kind, "__studio", "left").drop("__name", "__studio")
-
-
-def coded(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Credits with ``code``: what each says of a role, from its row and what other tables know of it."""
-    texts = ["category", "role_raw", "tag", "explicit", "heading", "vendor_type"]
-    full = with_context(credits, tags, explicit, vendor_types, index)
-    said = text_code(headings, categories, **{c: F.col(c) for c in texts})
-    return full.select(*credits.columns, standing_code(said, F.col("inclusion_class")).alias("code"))
+    one = lambda t, keys, value, code, out: t.groupBy(*keys).agg(F.max(value).alias("__v")).withColumn(out, code(F.col("__v"))).drop("__v")
+    usable = [(p, CATEGORY_CLASS[label]) for p, label in categories if label in CATEGORY_CLASS]
+    stated, inferred = (lambda c: _by_rules(c, headings, STATED)), (lambda c: _by_rules(c, headings, INFERRED))
+    tag = one(tags.where("tag <> ''"), [F.trim("name").alias("__name")], F.col("tag"), stated, "__tag")
+    said = one(explicit.where("roles <> ''"), [F.col("game_id"), F.trim("name").alias("__name")], F.col("roles"), lambda c: F.coalesce(_by_rules(c, usable, STATED), stated(c)), "__said")
+    kind = one(vendor_types.where("trim(studio) <> '' and trim(type) <> ''"), [F.lower(F.trim("studio")).alias("__studio")], F.lower(F.trim("type")), lambda c: _by_table(c, VENDOR_TYPE_CLASS, INFERRED), "__kind")
+    out = with_heading_code(credits, index, inferred).withColumn("__name", name).withColumn("__studio", studio)
+    out = out.join(tag, "__name", "left").join(said, ["game_id", "__name"], "left").join(kind, "__studio", "left")
+    own = F.coalesce(_by_table(F.trim(F.coalesce("category", F.lit(""))), CATEGORY_CLASS, STATED), stated(F.coalesce("role_raw", F.lit(""))))
+    code = F.coalesce(own, "__tag", "__said", "__heading", "__kind").cast("int")
+    return out.select(*credits.columns, standing_code(code, F.col("inclusion_class")).alias("code"))
 
 
 def classify(credits: DataFrame, headings: list[tuple[str, str]], categories: list[tuple[str, str]], tags: DataFrame, explicit: DataFrame, vendor_types: DataFrame, index: DataFrame | None = None, keys: list[str] = ("name_raw", "game_id")) -> DataFrame:
@@ -146,13 +145,16 @@ def column_classes(coded: DataFrame, key: str) -> DataFrame:
     return best.select(key, "col", decoded(F.col("__c"))["cls"].alias("cls"))
 
 
-def with_heading(credits: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """Adds ``heading``: from the index by (game_id, source_ref), then by the reference before '#', then from the reference itself."""
-    own = heading_from_ref(F.col("source_ref"))
+def with_heading_code(credits: DataFrame, index: DataFrame | None, code) -> DataFrame:
+    """Adds ``__heading``, the code of the heading: from the index by (game_id, source_ref), then by the reference before '#', then from the reference itself."""
+    own = code(heading_from_ref(F.col("source_ref")))
     if index is None:
-        return credits.withColumn("heading", own)
-    full = index.select("game_id", "source_ref", F.col("heading").alias("__h1"))
-    part = index.select("game_id", F.col("source_ref").alias("__ref"), F.col("heading").alias("__h2"))
+        return credits.withColumn("__heading", own)
+    given = index.where("heading <> ''").groupBy("game_id", "source_ref").agg(F.max("heading").alias("__h"))
+    given = given.select("game_id", "source_ref", F.struct(code(F.col("__h")).alias("code")).alias("__h"))
+    full = given.withColumnRenamed("__h", "__h1")
+    part = given.select("game_id", F.col("source_ref").alias("__ref"), F.col("__h").alias("__h2"))
     out = credits.withColumn("__ref", F.substring_index("source_ref", "#", 1)).join(full, ["game_id", "source_ref"], "left").join(part, ["game_id", "__ref"], "left")
-    given = F.coalesce(F.nullif("__h1", F.lit("")), F.nullif("__h2", F.lit("")))
-    return out.withColumn("heading", F.coalesce(given, own)).drop("__ref", "__h1", "__h2")
+    # a heading of the index counts even where it says nothing of a role
+    found = F.coalesce("__h1", "__h2")
+    return out.withColumn("__heading", F.when(found.isNotNull(), found["code"]).otherwise(own)).drop("__ref", "__h1", "__h2")

@@ -163,9 +163,9 @@ def people(f):
 
 
 def everyone(spark, f):
-    own = lambda cls: f.where(F.col("inclusion_class") == cls).select(F.concat(F.lit("cust-"), customer()).alias("ident"), F.concat(F.lit("Cust "), customer()).alias("name"), "col")
-    cols = lambda df: df.where("col is not null").groupBy("ident", "name").agg(F.array_sort(F.collect_set("col")).alias("cols"))
-    return report.drawn({"staff": report.people_columns(people(f), columns(spark), ["Cust 3"]), "publisher": cols(own("publishing")), "special_thanks": cols(own("special-thanks")), "community": report.community_people(f, columns(spark))})
+    ident, name = F.concat(F.lit("cust-"), customer()).alias("ident"), F.concat(F.lit("Cust "), customer()).alias("name")
+    own = lambda cls: f.where((F.col("inclusion_class") == cls) & F.col("col").isNotNull()).select(ident, name, "col")
+    return report.drawn({"staff": report.people_spots(people(f), columns(spark), ["Cust 3"]), "publisher": own("publishing"), "special_thanks": own("special-thanks"), "community": report.community_people(f, columns(spark))})
 
 
 _EV = f"""{_CR},
@@ -273,10 +273,10 @@ SELECT h.*, vn.*, (SELECT count(*) FROM tr WHERE dd = 1) AS unbroken, (SELECT co
 
 
 def grid_people(spark, d):
-    """Everyone drawn, with the class in each column."""
+    """Everyone drawn, with the class in each column; written once, as packing reads them twice."""
     f = coded_facts(spark, d)
     own = report.roles_in(roles.column_classes(f.withColumnRenamed("name_raw", "name"), "name"))
-    return everyone(spark, f).join(own, "name", "left")
+    return materialised(everyone(spark, f).join(own, "name", "left"))
 
 
 _SHOWN = f"{_EV}, " + _CLASSES.removeprefix(_CR + ",").strip() + f""",
