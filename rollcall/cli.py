@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corrections, identity, roles
+from .operators import checks, corrections, identity, roles
 from .plans import careers
 from .sources import documents as io
 from .sources import indexes
@@ -48,23 +48,31 @@ class Project:
         config = f"{self.root}/config"
         return Rules(io.read_rules(self.spark, f"{config}/categories.csv"), io.read_patterns(self.spark, f"{config}/not-people.txt"))
 
+    def docs(self) -> DataFrame:
+        """Frozen pages: the table ``landed`` if there is one, else the files of ``raw``."""
+        sources, games = self.table("sources"), self.table("games")
+        if Path(self.root, "landed").exists():
+            return io.read_landed(self.spark, f"{self.root}/landed", sources, games)
+        return io.read_frozen(self.spark, f"{self.root}/raw", sources, games)
+
     def parse(self, threshold: float) -> int:
-        docs = io.read_frozen(self.spark, f"{self.root}/raw", self.table("sources"), self.table("games"))
+        """Pages are parsed once, into ``out/parsed``; credits, logs and the report are read from it."""
         curated = Path(self.root, "config", "curated")
-        fixes = careers.Corrections(self.table("name_fixes"), self.table("studio_fixes"), io.read_curated(self.spark, str(curated)) if curated.exists() else None, self.table("inclusion_overrides"))
-        tagged = careers.parse(docs, self.rules(), fixes).persist()
-        io.write_credits(tagged.where("kind = 'row'"), f"{self.out}/credits")
-        io.write_audit(tagged, f"{self.out}/audit")
-        report = corrections.parse_report(tagged, "game_id", threshold)
+        overrides = self.table("inclusion_overrides").withColumn("place", F.monotonically_increasing_id())
+        fixes = careers.Corrections(self.table("name_fixes"), self.table("studio_fixes"), io.read_curated(self.spark, str(curated)) if curated.exists() else None, overrides)
+        tagged = careers.parse_changes(self.docs(), self.rules(), fixes)
+        print(io.write_parse(tagged, f"{self.out}/parsed"))
+        parsed = self.spark.read.schema(tagged.schema).parquet(f"{self.out}/parsed")
+        io.write_credits(parsed.where("kind = 'row'"), f"{self.out}/credits")
+        io.write_audit(parsed, f"{self.out}/audit")
+        report = corrections.parse_report(parsed, "game_id", threshold)
         io.write_mart(report, f"{self.out}/report", "game_id")
         report.orderBy("game_id").show(1000, False)
-        failed = report.where("failed").count()
-        tagged.unpersist()
-        return int(failed > 0)
+        return int(report.where("failed").count() > 0)
 
     def indexes(self) -> int:
         """What frozen pages say beside the credits: headings by reference, roles by person, and tags behind names."""
-        docs = io.read_frozen(self.spark, f"{self.root}/raw", self.table("sources"), self.table("games"))
+        docs = self.docs()
         wiki, tables = (docs.where(F.col("parser") == p) for p in ("wikitext", "credit_table"))
         headings = indexes.wiki_heading_index(wiki).unionByName(indexes.table_heading_index(tables))
         io.write_mart(headings, f"{self.out}/indexes/headings", "game_id", "source_ref")
@@ -120,8 +128,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("rollcall").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     project, code = Project(spark, a.root), 0
-    for stage in STAGES if a.stage == "all" else [a.stage]:
-        code = code or (project.parse(a.threshold) if stage == "parse" else getattr(project, stage)())
+    with checks.named(corrections.CorrectionError, identity.PersonIdCollision, identity.RulingError):
+        for stage in STAGES if a.stage == "all" else [a.stage]:
+            code = code or (project.parse(a.threshold) if stage == "parse" else getattr(project, stage)())
     return code
 
 

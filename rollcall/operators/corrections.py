@@ -11,34 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .checks import asserted, unique
+
 
 class CorrectionError(ValueError):
     """A correction table that contradicts itself."""
 
 
-def check_unique(fixes: DataFrame, keys: list[str]) -> None:
-    bad = [tuple(r[k] for k in keys) for r in fixes.groupBy(*keys).count().where("count > 1").limit(20).collect()]
-    if bad:
-        raise CorrectionError(f"ruled on more than once: {bad}")
-
-
-def check_name_fixes(fixes: DataFrame) -> None:
-    """Actions are known, a fix has names, studios are none, one, or one a name."""
-    check_unique(fixes, ["name_raw"])
+def name_fixes(fixes: DataFrame) -> DataFrame:
+    """The fixes: one for each name, actions known, names for a fix, studios none, one, or one a name; else they raise when read."""
     names, studios = F.size(F.filter(F.split("names", "[|]"), lambda x: x != "")), F.size(F.split("studio", "[|]"))
-    bad = fixes.where(~F.col("action").isin("discard", "fix") | ((F.col("action") == "fix") & ((names == 0) | ((F.col("studio") != "") & (studios > 1) & (studios != names))))).limit(20).collect()
-    if bad:
-        raise CorrectionError(f"name fixes that can't be applied: {[r.name_raw for r in bad]}")
+    bad = ~F.col("action").isin("discard", "fix") | ((F.col("action") == "fix") & ((names == 0) | ((F.col("studio") != "") & (studios > 1) & (studios != names))))
+    return asserted(unique(fixes, ["name_raw"], CorrectionError, "ruled on more than once"), bad, CorrectionError, "a name fix that can't be applied", "name_raw")
 
 
 def studio_fixes(fixes: DataFrame) -> DataFrame:
-    """The fixes that name a credit and its release: one for each, with both the wrong and the right company, or it raises."""
+    """The fixes that name a credit and its release: one for each, with both the wrong and the right company, or they raise when read."""
     named = fixes.select(*(F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("name_raw", "game_id", "wrong_studio", "correct_studio"))).where("name_raw <> '' and game_id <> ''")
-    check_unique(named, ["name_raw", "game_id"])
-    bad = named.where("wrong_studio = '' or correct_studio = ''").limit(20).collect()
-    if bad:
-        raise CorrectionError(f"company fixes need both companies: {[(r.game_id, r.name_raw) for r in bad]}")
-    return named
+    one = unique(named, ["name_raw", "game_id"], CorrectionError, "ruled on more than once")
+    return asserted(one, F.expr("wrong_studio = '' or correct_studio = ''"), CorrectionError, "company fixes need both companies", "game_id", "name_raw")
+
+
+def inclusion_overrides(fixes: DataFrame, classes: list[str]) -> DataFrame:
+    """One class for each release and name: of several the last by ``place``, where the table has one, else the greatest. A row without a known class or a reason raises when read."""
+    good = asserted(fixes, ~F.col("inclusion_class").isin(*classes) | (F.trim("reason") == ""), CorrectionError, "overrides need a known class and a reason", "game_id", "name_raw")
+    last = F.max_by("inclusion_class", "place") if "place" in fixes.columns else F.max("inclusion_class")
+    return good.groupBy("game_id", "name_raw").agg(last.alias("inclusion_class"))
 
 
 def apply_name_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -30,28 +30,32 @@ class Corrections:
     overrides: DataFrame | None = None
 
 
-def parse(docs: DataFrame, rules: Rules, fixes: Corrections | None = None) -> DataFrame:
-    """The tagged frame after all corrections: kind row, dropped (with reason) or unparsed."""
-    fixes = fixes or Corrections()
+#: Columns that tell which correction changed a row.
+CHANGES = ["name_changed", "studio_changed", "class_changed"]
+
+
+def parse_changes(docs: DataFrame, rules: Rules, fixes: Corrections | None = None) -> DataFrame:
+    """The tagged frame after all corrections, with ``CHANGES``: kind row, dropped (with reason) or unparsed. Contradicting corrections raise when it is read."""
+    fixes, no = fixes or Corrections(), F.lit(False)
     tagged = parse_documents(docs, rules)
-    rows = tagged.where("kind = 'row'").drop("kind", "line", "reason")
+    rows = tagged.where("kind = 'row'").drop("kind", "line", "reason").withColumns({c: no for c in CHANGES})
     rest = tagged.where("kind <> 'row'")
     if fixes.names is not None:
-        corrections.check_name_fixes(fixes.names)
-        both = corrections.apply_name_fixes(rows, fixes.names).drop("changed")
+        both = corrections.apply_name_fixes(rows, corrections.name_fixes(fixes.names)).drop("name_changed").withColumnRenamed("changed", "name_changed")
         ruled = both.where("kind = 'dropped'").select("game_id", "kind", F.col("name_raw").alias("line"), F.lit("ruled-not-a-person").alias("reason"))
         rest, rows = rest.unionByName(ruled, allowMissingColumns=True), both.where("kind = 'row'").drop("kind")
     if fixes.studios is not None:
-        rows = corrections.conditional_update(rows, corrections.studio_fixes(fixes.studios), ["name_raw", "game_id"], "studio", "wrong_studio", "correct_studio").drop("changed")
+        rows = corrections.conditional_update(rows, corrections.studio_fixes(fixes.studios), ["name_raw", "game_id"], "studio", "wrong_studio", "correct_studio").drop("studio_changed").withColumnRenamed("changed", "studio_changed")
     if fixes.curated is not None:
-        rows = corrections.append_rows(rows, fixes.curated, "game_id", "credit_order", ["place"])
+        rows = corrections.append_rows(rows, fixes.curated.withColumns({c: no for c in CHANGES}), "game_id", "credit_order", ["place"])
     if fixes.overrides is not None:
-        bad = fixes.overrides.where(~F.col("inclusion_class").isin(*CLASSES) | (F.trim("reason") == "")).limit(20).collect()
-        if bad:
-            raise corrections.CorrectionError(f"overrides need a known class and a reason: {[(r.game_id, r.name_raw) for r in bad]}")
-        last = fixes.overrides.groupBy("game_id", "name_raw").agg(F.last("inclusion_class").alias("inclusion_class"))
-        rows = corrections.override(rows, last, ["game_id", "name_raw"], "inclusion_class").drop("changed")
-    return rows.withColumn("kind", F.lit("row")).unionByName(rest, allowMissingColumns=True)
+        rows = corrections.override(rows, corrections.inclusion_overrides(fixes.overrides, CLASSES), ["game_id", "name_raw"], "inclusion_class").drop("class_changed").withColumnRenamed("changed", "class_changed")
+    return rows.withColumn("kind", F.lit("row")).unionByName(rest, allowMissingColumns=True).na.fill(False, CHANGES)
+
+
+def parse(docs: DataFrame, rules: Rules, fixes: Corrections | None = None) -> DataFrame:
+    """:func:`parse_changes` without ``CHANGES``."""
+    return parse_changes(docs, rules, fixes).drop(*CHANGES)
 
 
 def studio_class(credits: DataFrame, classes: DataFrame) -> DataFrame:

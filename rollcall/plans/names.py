@@ -319,8 +319,7 @@ _FIX = """f AS (SELECT n_nationkey AS k, n_name AS n, CAST(n_regionkey AS VARCHA
 
 @query
 def name_fix_expand(spark, d):
-    fixes = name_fixes(spark, d)
-    corrections.check_name_fixes(fixes)
+    fixes = corrections.name_fixes(name_fixes(spark, d))
     out = corrections.apply_name_fixes(nations(spark, d), fixes).where("kind = 'row'")
     return out.select("credit_order", "name_raw", "name_canonical", "studio")
 

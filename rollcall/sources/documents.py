@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import bundle, pages, wikitext
@@ -149,9 +149,24 @@ def read_json(path: str) -> dict | list:
 
 def read_frozen(spark: SparkSession, root: str, sources: DataFrame, games: DataFrame) -> DataFrame:
     """docs(game_id, sequence, parser, options, text): each source's frozen file, whole. A source without its game or file raises."""
-    files = spark.read.text(f"{root}/*/*", wholetext=True).select(F.col("value").alias("text"), F.array_join(F.slice(F.split(F.url_decode(F.input_file_name()), "/"), -2, 2), "/").alias("at"))
-    at = F.array_join(F.slice(F.split("raw_path", "/"), -2, 2), "/")
-    out = sources.withColumn("at", at).join(F.broadcast(games.select("game_id", "sequence")), "game_id", "left").join(files, "at", "left")
+    files = spark.read.text(f"{root}/*/*", wholetext=True)
+    return with_texts(sources, games, files.select(F.url_decode(F.input_file_name()).alias("raw_path"), F.col("value").alias("text")))
+
+
+def land(pages: DataFrame, path: str) -> None:
+    """pages(raw_path, text) as a table: the landing zone of sources too many for a file each."""
+    pages.select("raw_path", "text").write.mode("overwrite").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str, sources: DataFrame, games: DataFrame) -> DataFrame:
+    """:func:`read_frozen` from the table of :func:`land`."""
+    return with_texts(sources, games, spark.read.schema("raw_path string, text string").parquet(path))
+
+
+def with_texts(sources: DataFrame, games: DataFrame, files: DataFrame) -> DataFrame:
+    """Sources with their game's sequence and their text, by the last two parts of ``raw_path``; what lacks either raises."""
+    at = F.array_join(F.slice(F.split("raw_path", "/"), -2, 2), "/").alias("at")
+    out = sources.withColumn("at", at).join(games.select("game_id", "sequence"), "game_id", "left").join(files.select(at, "text"), "at", "left")
     lacks = F.raise_error(F.concat(F.lit("no game or no frozen file for "), F.col("game_id")))
     return out.select("game_id", "sequence", "parser", "options", F.when(F.col("sequence").isNull() | F.col("text").isNull(), lacks).otherwise(F.col("text")).alias("text"))
 
@@ -163,6 +178,24 @@ def wikitext_of(payload: str) -> Column:
     return F.when(F.get_json_object(payload, "$.error").isNotNull(), bad).otherwise(F.get_json_object(payload, "$.parse.wikitext"))
 
 
+def script_address(page: Column, pattern: str) -> Column:
+    """The address of a page's script, which ``pattern`` finds as its group; a page that names none raises."""
+    found = F.regexp_extract(page, pattern, 1)
+    return F.when(found != "", found).otherwise(F.raise_error(F.lit("the page names no credits script")))
+
+
+def two_parts(page: Column, script: Column) -> Column:
+    """Page, marker and script as one text."""
+    return F.concat_ws("\n", page, F.lit(bundle.MARKER), script)
+
+
+def parts_of(text: Column) -> tuple[Column, Column]:
+    """(page, script) of :func:`two_parts`."""
+    cut = F.lit(f"\n{bundle.MARKER}\n")
+    place = F.instr(text, cut)
+    return F.substring(text, F.lit(1), place - 1), F.substring(text, place + F.length(cut), F.length(text))
+
+
 # --- freezing: on the driver, before Spark starts -----------------------------------
 
 
@@ -217,6 +250,37 @@ def write_credits(rows: DataFrame, path: str) -> None:
     rows.select(*[c.split()[0] for c in CREDITS.split(", ")]).repartition("game_id").sortWithinPartitions("game_id", "credit_order").write.mode("overwrite").partitionBy("game_id").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
+def write_facts(rows: DataFrame, path: str) -> None:
+    """Parquet by class and release, in credit order; releases that ``rows`` hold are replaced and others stay.
+
+    Rows are dealt by ranges of the order, so a large release is several tasks, whose
+    files stand in order by name.
+    """
+    cols = [c.split()[0] for c in CREDITS.split(", ")]
+    keys = ["inclusion_class", "game_id", "credit_order"]
+    rows.select(*cols).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("inclusion_class", "game_id").parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str, inclusion: list[str] | None = ("core",), games: list[str] | None = None) -> DataFrame:
+    """Facts of :func:`write_facts` with ``ord`` (file of the release, part, row), in which they were written; only wanted classes and releases are opened."""
+    df = spark.read.schema(CREDITS).parquet(path)
+    if inclusion is not None:
+        df = df.where(F.col("inclusion_class").isin(*inclusion))
+    if games is not None:
+        df = df.where(F.col("game_id").isin(*games))
+    return df.withColumn("ord", F.struct(F.concat("game_id", F.lit(".csv")).alias("file"), F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("row")))
+
+
+def write_parse(tagged: DataFrame, path: str) -> dict[str, int]:
+    """The tagged frame as Parquet by kind and release; the counts of that one pass: rows, dropped, unparsed, and what corrections changed."""
+    seen = Observation()
+    n = lambda c, name: F.count_if(c).alias(name)
+    kinds = [n(F.col("kind") == k, name) for k, name in (("row", "rows"), ("dropped", "dropped"), ("unparsed", "unparsed"))]
+    changes = [n(F.col(c), c) for c in tagged.columns if c.endswith("_changed")]
+    tagged.observe(seen, *kinds, *changes).write.mode("overwrite").partitionBy("kind", "game_id").parquet(path)
+    return seen.get
+
+
 def write_people(people: DataFrame, path: str) -> None:
     """One CSV by person id; lists joined by '|'."""
     flat = people.withColumn("variants", F.concat_ws("|", "variants")).withColumn("games", F.concat_ws("|", "games"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.functions import text as T
-from rollcall.operators import continuity, corrections, identity, roles, rules
+from rollcall.operators import checks, continuity, corrections, identity, roles, rules
 from rollcall.plans import careers
 from rollcall.sources.credits import Rules
 from rollcall.sources import documents as io
@@ -65,13 +65,16 @@ def test_role_cascade_and_votes(spark):
 
 def test_corrections_reject_contradictions(spark):
     bad = spark.createDataFrame([("a", "fix", "b|c", "x|y|z")], "name_raw string, action string, names string, studio string")
-    with pytest.raises(corrections.CorrectionError):
-        corrections.check_name_fixes(bad)
-    with pytest.raises(corrections.CorrectionError):
-        corrections.check_unique(bad.union(bad), ["name_raw"])
-    for wrong, right, times in (("", "x", 1), ("x", " ", 1), ("x", "y", 2)):
-        with pytest.raises(corrections.CorrectionError):
-            corrections.studio_fixes(spark.createDataFrame([("A", "g", wrong, right, "r")] * times, io.TABLES["studio_fixes"]))
+    good = spark.createDataFrame([("a", "fix", "b|c", "x|y"), ("b", "discard", "", "")], bad.schema)
+    assert sorted(map(tuple, corrections.name_fixes(good).collect())) == sorted(map(tuple, good.collect()))
+    tables = [corrections.name_fixes(bad), corrections.name_fixes(good.union(good))]
+    tables += [corrections.studio_fixes(spark.createDataFrame([("A", "g", wrong, right, "r")] * times, io.TABLES["studio_fixes"])) for wrong, right, times in (("", "x", 1), ("x", " ", 1), ("x", "y", 2))]
+    tables += [corrections.inclusion_overrides(spark.createDataFrame([("g", "A", cls, why)], io.TABLES["inclusion_overrides"]), ["core"]) for cls, why in (("cor", "r"), ("core", " "))]
+    for t in tables:
+        with pytest.raises(corrections.CorrectionError), checks.named(corrections.CorrectionError):
+            t.collect()
+    twice = spark.createDataFrame([("g", "A", "core", "r", 1), ("g", "A", "babies", "r", 0)], io.TABLES["inclusion_overrides"] + ", place int")
+    assert corrections.inclusion_overrides(twice, ["core", "babies"]).first().inclusion_class == "core"
 
 
 def test_whole_chain(spark, tmp_path):

@@ -3,13 +3,16 @@ import re
 
 import pytest
 
-from rollcall.operators import identity
+from rollcall.operators import checks, identity
 
 GAMES = [("r1", 1, 2001), ("r2", 2, 2004), ("r3", 3, 2007), ("r7", 7, 2012), ("r14", 14, 2026)]
 
 
+CREDITS = "game_id string, name_raw string, name_canonical string, ord struct<file:string,row:int>"
+
+
 def resolve(spark, rows, aliases=(), reviews=(), games=GAMES):
-    credits = spark.createDataFrame([(g, raw, can, (f"{g}.csv", i)) for i, (g, raw, can) in enumerate(rows)], "game_id string, name_raw string, name_canonical string, ord struct<file:string,row:int>")
+    credits = spark.createDataFrame([(g, raw, can, (f"{g}.csv", i)) for i, (g, raw, can) in enumerate(rows)], CREDITS)
     al = spark.createDataFrame(list(aliases), "name_variant string, person_id string")
     rv = spark.createDataFrame(list(reviews), "person_id string, ruling string")
     people, facts = identity.resolve(credits, spark.createDataFrame(games, "game_id string, sequence int, year int"), al, rv)
@@ -25,10 +28,22 @@ def test_exact_canonical_alias_order(spark):
 
 
 def test_collision_and_bad_ruling_raise(spark):
-    with pytest.raises(identity.PersonIdCollision, match="ann-b"):
-        resolve(spark, [("r1", "Ann B", ""), ("r7", "Other C", "")], aliases=[("Other C", "ann-b")])
-    with pytest.raises(identity.RulingError, match="maybe"):
-        resolve(spark, [("r1", "Ann B", "")], reviews=[("ann-b", "maybe"), ("x", " ")])
+    """Nothing runs before a result is read; reading either result raises."""
+    tracker, group = spark.sparkContext.statusTracker(), "resolve"
+    for rows, more, error, said in (
+        ([("r1", "Ann B", ""), ("r7", "Other C", "")], {"aliases": [("Other C", "ann-b")]}, identity.PersonIdCollision, "ann-b"),
+        ([("r1", "Ann B", "")], {"reviews": [("ann-b", "maybe"), ("x", " ")]}, identity.RulingError, "maybe"),
+    ):
+        credits = spark.createDataFrame([(g, raw, can, (f"{g}.csv", i)) for i, (g, raw, can) in enumerate(rows)], CREDITS)
+        al = spark.createDataFrame(list(more.get("aliases", ())), "name_variant string, person_id string")
+        rv = spark.createDataFrame(list(more.get("reviews", ())), "person_id string, ruling string")
+        spark.sparkContext.setJobGroup(group, group)
+        people, facts = identity.resolve(credits, spark.createDataFrame(GAMES, "game_id string, sequence int, year int"), al, rv)
+        assert not tracker.getJobIdsForGroup(group)
+        spark.sparkContext.setJobGroup("other", "other")
+        for result in (people, facts):
+            with pytest.raises(error, match=said), checks.named(identity.RulingError, identity.PersonIdCollision):
+                result.collect()
 
 
 def test_gaps_and_rulings(spark):
