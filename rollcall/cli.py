@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .operators import checks, corrections, identity, roles
 from .plans import careers
+from .shared import materialised
 from .sources import documents as io
 from .sources import indexes
 from .sources.credits import Rules
@@ -100,7 +101,7 @@ class Project:
     def resolved(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         credits = self.credits()
         people, facts = identity.resolve(credits, self.table("games"), self.table("aliases"), self.table("reviews"))
-        return credits, people, facts
+        return credits, materialised(people), materialised(facts)
 
     def people(self) -> int:
         _, people, _ = self.resolved()
@@ -111,12 +112,11 @@ class Project:
     def stats(self) -> int:
         credits, people, facts = self.resolved()
         games, plan = self.table("games"), self.plan()
-        seen = careers.appearances(credits, people, facts, self.table("studio_classes")).persist()
+        seen = materialised(careers.appearances(credits, people, facts, self.table("studio_classes")))
         io.write_mart(careers.per_game(games, seen, plan.get("groups", {})), f"{self.out}/per_game", "sequence")
         io.write_mart(careers.flow_edges(games, seen, plan.get("groups", {})), f"{self.out}/flows", "from_grp", "to_grp")
         if eras := plan.get("eras"):
             io.write_mart(careers.lineages(games, seen, eras), f"{self.out}/lineage", "first_party_only", "release")
-        seen.unpersist()
         return 0
 
 
