@@ -27,7 +27,7 @@ def active_spine(releases: DataFrame, appearances: DataFrame) -> DataFrame:
 
 def person_positions(appearances: DataFrame, spine: DataFrame) -> DataFrame:
     """Distinct (person, position) with the positions before and after."""
-    at = appearances.join(F.broadcast(spine.where("position is not null").select("release", "position")), "release")
+    at = appearances.join(spine.where("position is not null").select("release", "position"), "release")
     own = W.partitionBy("person").orderBy("position")
     return at.select("person", "position").distinct().withColumn("before", F.lag("position").over(own)).withColumn("after", F.lead("position").over(own))
 
@@ -38,7 +38,7 @@ def release_stats(appearances: DataFrame, spine: DataFrame) -> DataFrame:
     ``appearances`` holds (person, release, is_vendor), any number of rows each; a
     person is a contractor of a release with any vendor row. Releases without people stay, with zeros.
     """
-    at = appearances.select("person", "release", "is_vendor").join(F.broadcast(spine.where("position is not null").select("release", "position")), "release")
+    at = appearances.select("person", "release", "is_vendor").join(spine.where("position is not null").select("release", "position"), "release")
     crew = at.repartition("person").groupBy("person", "release", "position").agg(F.max("is_vendor").alias("is_vendor"))
     # releases may share a position, which is neither before nor after itself
     own = W.partitionBy("person").orderBy("position")
@@ -58,7 +58,7 @@ def release_stats(appearances: DataFrame, spine: DataFrame) -> DataFrame:
 
 def flows(appearances: DataFrame, spine: DataFrame) -> DataFrame:
     """(from_grp, to_grp, count) between consecutive appearances."""
-    names = F.broadcast(spine.where("position is not null").select("position", "grp").distinct())
+    names = spine.where("position is not null").select("position", "grp").distinct()
     edges = person_positions(appearances, spine).where("after is not null").groupBy("position", "after").count()
     start = edges.join(names, "position").withColumnRenamed("grp", "from_grp").drop("position")
     return start.join(names.withColumnRenamed("position", "after"), "after").select("from_grp", F.col("grp").alias("to_grp"), "count")
@@ -78,17 +78,28 @@ def person_metrics(appearances: DataFrame, uncertain_over: int) -> DataFrame:
     return out.withColumn("uncertain", F.col("largest_gap") > uncertain_over)
 
 
+#: Eras that one mask holds, beside the bit that says there was an earlier release at all.
+_ERAS = 62
+
+
 def lineage(appearances: DataFrame, releases: DataFrame, eras: list[str]) -> DataFrame:
     """Per release: roster and how many were in each era in an earlier release (by sequence), or in none.
 
-    ``releases`` holds (release, sequence, era); a person may count in several eras.
-    One running window a person replaces the join of each appearance with all earlier ones.
+    ``releases`` holds (release, sequence, era); a person may count in several eras. A
+    release's era is a bit, and one running OR of a person's earlier bits (one a mask of
+    62 eras) replaces the join of each appearance with all earlier ones.
     """
-    seq = appearances.select("person", "release").distinct().join(F.broadcast(releases), "release")
+    masks = [eras[i : i + _ERAS] for i in range(0, len(eras), _ERAS)] or [[]]
+    bits = []
+    for m in masks:
+        own = F.lit(1 << _ERAS)
+        for k, e in enumerate(m):
+            own = F.when(F.col("era") == e, F.lit((1 << _ERAS) | (1 << k))).otherwise(own)
+        bits.append(own.cast("long"))
+    seq = appearances.select("person", "release").distinct().join(releases, "release")
     prior = W.partitionBy("person").orderBy("sequence").rangeBetween(W.unboundedPreceding, -1)
-    flagged = seq
-    for e in eras:
-        flagged = flagged.withColumn(f"from_{e}", F.coalesce(F.max(F.col("era") == e).over(prior), F.lit(False)))
-    flagged = flagged.withColumn("none", F.count("*").over(prior) == 0)
-    per = flagged.groupBy("release").agg(F.count("*").alias("roster"), *(F.count_if(F.col(f"from_{e}")).alias(f"from_{e}") for e in eras), F.count_if("none").alias("no_prior"))
+    flagged = seq.select("*", *(b.alias(f"__b{i}") for i, b in enumerate(bits)))
+    flagged = flagged.select("release", *(F.coalesce(F.bit_or(f"__b{i}").over(prior), F.lit(0)).alias(f"__m{i}") for i in range(len(masks))))
+    counts = [F.count_if(F.col(f"__m{i}").bitwiseAND(F.lit(1 << k)) != 0).alias(f"from_{e}") for i, m in enumerate(masks) for k, e in enumerate(m)]
+    per = flagged.groupBy("release").agg(F.count("*").alias("roster"), *counts, F.count_if(F.col("__m0") == 0).alias("no_prior"))
     return releases.select("release", "era").join(per, "release", "left").na.fill(0)

@@ -109,7 +109,7 @@ def reprint_columns(people: DataFrame, reprints: DataFrame) -> DataFrame:
 
     ``reprints`` (col, again) is a small fixed map.
     """
-    each = people.select("name", F.explode("cols").alias("col")).join(F.broadcast(reprints), "col")
+    each = people.select("name", F.explode("cols").alias("col")).join(reprints, "col")
     more = each.groupBy("name").agg(F.collect_set("again").alias("__r"))
     out = people.join(more, "name", "left")
     return out.withColumn("reprints", F.array_sort(F.array_except(F.coalesce("__r", F.array().cast("array<int>")), "cols"))).drop("__r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_studio, percent
 from ..shared import materialised
-from . import marts, roles
+from . import layout, marts, roles
 
 
 def credit_facts(credits: DataFrame, columns: DataFrame) -> DataFrame:
@@ -123,6 +123,35 @@ def role_tables(per_release: DataFrame, columns: DataFrame) -> tuple[DataFrame,
     return roles.column_fold(per_release, columns, "name", "game_id"), totals, by_col
 
 
+def role_cards(per_release: DataFrame, columns: DataFrame) -> DataFrame:
+    """(col, total, and a count for each class of the legend) of (name, game_id, cls): all releases of a column together, so a person of two counts twice."""
+    n = per_release.join(columns, "game_id").groupBy("col").pivot("cls", layout.ROLE_ORDER).count().na.fill(0)
+    total = sum((F.col(c) for c in layout.ROLE_ORDER), F.lit(0))
+    return n.select("col", total.cast("long").alias("total"), *layout.ROLE_ORDER)
+
+
+def role_rows(cards: DataFrame) -> DataFrame:
+    """(col, cls, n, pct, start, stop, place, by_share) of cards, one row for each class that a column has.
+
+    ``pct`` is the whole per cent; ``start`` and ``stop`` are the ends of the class's
+    segment in a bar of 10,000, which they fill; ``place`` counts in the legend's order,
+    ``by_share`` from the largest class, legend's order on ties. A card is one row, so
+    its running sums are array work and nothing is shuffled.
+    """
+    each = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(c).alias("cls"), F.col(c).alias("n")) for i, c in enumerate(layout.ROLE_ORDER))), lambda x: x["n"] > 0)
+    before = lambda x, test: F.aggregate(F.filter("c", test), F.lit(0).cast("long"), lambda a, y: a + y["n"])
+    placed = F.transform("c", lambda x, k: F.struct(x["cls"].alias("cls"), x["n"].alias("n"), k.alias("place"), before(x, lambda y: y["i"] < x["i"]).alias("from"), F.size(F.filter("c", lambda y: (y["n"] > x["n"]) | ((y["n"] == x["n"]) & (y["i"] < x["i"])))).alias("by_share")))
+    out = cards.withColumn("c", each).select("col", "total", F.inline(placed))
+    at = lambda c: F.round(10000.0 * c / F.col("total"), 0).cast("int")
+    return out.select("col", "cls", "n", percent(F.col("n"), F.col("total")).alias("pct"), at(F.col("from")).alias("start"), at(F.col("from") + F.col("n")).alias("stop"), "place", "by_share")
+
+
+def era_years(columns: DataFrame) -> DataFrame:
+    """(era, years) of columns(col, year, era): the label of its first column, or of its first and last."""
+    ends = columns.groupBy("era").agg(F.min_by("year", "col").alias("a"), F.max_by("year", "col").alias("z"))
+    return ends.select("era", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.concat_ws("–", "a", "z")).alias("years"))
+
+
 def roles_of(per_release: DataFrame, columns: DataFrame) -> DataFrame:
     """(name, roles): each person's class by column, as a map, from (name, game_id, cls)."""
     return roles_in(roles.column_fold(per_release, columns, "name", "game_id"))
@@ -168,7 +197,7 @@ def hero_numbers(everyone: DataFrame, work: DataFrame, columns: DataFrame, eras:
     n = F.count_if
     steps_of = lambda test: F.coalesce(F.sum(F.size(F.filter("s", test))), F.lit(0)).cast("long")
     longest = p.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("longest"))
-    of_people = p.crossJoin(F.broadcast(longest)).agg(  # one row
+    of_people = p.crossJoin(longest).agg(  # one row
         F.count("*").alias("people"),
         n(some(lambda x: x["v"])).alias("with_vendor"),
         n(size > 1).alias("several"),

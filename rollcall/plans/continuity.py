@@ -22,8 +22,18 @@ def releases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RELEASES, "release int, sequence int, grp string, era string")
 
 
+#: An order's status stands for its inclusion class; measures read these, as the reader of credits does by default.
+CORE = ["F", "O"]
+
+
+def core_orders(spark: SparkSession, d: str, inclusion: list[str] | None = CORE) -> DataFrame:
+    """Orders of the given classes; of all with None."""
+    o = read(spark, d, "orders")
+    return o if inclusion is None else o.where(F.col("o_orderstatus").isin(*inclusion))
+
+
 def appearances(spark: SparkSession, d: str) -> DataFrame:
-    o = read(spark, d, "orders").where("o_orderstatus <> 'P'")
+    o = core_orders(spark, d)
     return o.select(F.col("o_custkey").alias("person"), F.year("o_orderdate").alias("release"), (F.col("o_orderpriority") == "1-URGENT").alias("is_vendor"), (F.col("o_orderpriority") == "5-LOW").alias("first_party"))
 
 
@@ -67,13 +77,14 @@ SQL["flows"] = f"WITH {PG} SELECT s.grp AS from_grp, t.grp AS to_grp, count(*) A
 
 
 def flows_never_backwards(spark, d):
-    """How many flow edges lead backwards: none, whatever the data."""
+    """Flow edges and the people on them by direction along the spine: all lead forwards."""
     first = releases(spark).groupBy("grp").agg(F.min("sequence").alias("s"))
-    f = flows(spark, d).join(F.broadcast(first.withColumnRenamed("grp", "from_grp")), "from_grp")
-    return f.join(F.broadcast(first.select(F.col("grp").alias("to_grp"), F.col("s").alias("t"))), "to_grp").agg(F.count_if(F.col("s") >= F.col("t")).alias("backwards"))
+    f = flows(spark, d).join(first.withColumnRenamed("grp", "from_grp"), "from_grp")
+    ahead = f.join(first.select(F.col("grp").alias("to_grp"), F.col("s").alias("t")), "to_grp").withColumn("ahead", F.col("s") < F.col("t"))
+    return ahead.groupBy("ahead").agg(F.count("*").alias("edges"), F.sum("count").alias("people"))
 
 
-SQL["flows_never_backwards"] = f"WITH {PG} SELECT count(*) FILTER (a <= position) AS backwards FROM pp"
+SQL["flows_never_backwards"] = f"WITH {PG} SELECT a > position AS ahead, count(DISTINCT (position, a)) AS edges, count(*) AS people FROM pp WHERE a IS NOT NULL GROUP BY 1"
 
 
 def lineage_all(spark, d):
@@ -105,10 +116,13 @@ SQL["lineage_union"] = f"WITH {PG} " + _lineage_with("true", ", false AS first_p
 
 
 def spine_positions(spark, d):
-    return op.spine_positions(releases(spark)).select("release", "grp", "position")
+    """The years of all orders as releases; 1998 and 1999 are one group."""
+    years = core_orders(spark, d, None).select(F.year("o_orderdate").alias("release")).distinct()
+    grp = F.when(F.col("release").isin(1998, 1999), "1998-99").otherwise(F.col("release").cast("string"))
+    return op.spine_positions(years.select("release", (F.col("release") - 1900).alias("sequence"), grp.alias("grp"))).select("release", "grp", "position")
 
 
-SQL["spine_positions"] = f"WITH {PG} SELECT release, grp, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS position FROM (SELECT release, grp, min(sequence) OVER (PARTITION BY grp) AS f FROM rel) x"
+SQL["spine_positions"] = "WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS release FROM orders), g AS (SELECT release, CASE WHEN release IN (1998, 1999) THEN '1998-99' ELSE CAST(release AS VARCHAR) END AS grp FROM y) SELECT release, grp, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS position FROM (SELECT release, grp, min(release) OVER (PARTITION BY grp) AS f FROM g) x"
 
 
 def active_spine(spark, d):
@@ -134,7 +148,7 @@ SQL["longest_gap_holders"] = f"WITH m AS ({SQL['person_metrics']}) SELECT larges
 
 
 def all_eras_people(spark, d):
-    eras = appearances(spark, d).join(F.broadcast(releases(spark)), "release").select("person", "era").distinct()
+    eras = appearances(spark, d).join(releases(spark), "release").select("person", "era").distinct()
     return eras.groupBy("person").agg(F.count("*").alias("n")).where(F.col("n") == len(ERAS)).select("person")
 
 

@@ -12,7 +12,7 @@ from ..operators import layout, report, roles
 from ..operators.identity import uncertain_review as review
 from ..shared import materialised
 from . import careers
-from .continuity import person_metrics, read
+from .continuity import core_orders, person_metrics, read
 from .continuity import SQL as CONTINUITY
 
 SQL: dict[str, str] = {}
@@ -134,6 +134,37 @@ def role_totals(spark, d):
 SQL["role_totals"] = f"WITH {_CLASSES} SELECT -1 AS col, cls, count(*) AS n FROM cn GROUP BY 2 UNION ALL SELECT CAST(col AS INTEGER), cls, count(*) FROM cn GROUP BY 1, 2"
 
 
+def role_cards(spark, d):
+    return report.role_cards(classes(spark, d).withColumnRenamed("name_raw", "name"), columns(spark))
+
+
+@query
+def role_rows(spark, d):
+    """Each column's classes with shares, bar segments and both orders."""
+    return report.role_rows(role_cards(spark, d))
+
+
+_LEGEND = "list_position([" + ", ".join(f"'{c}'" for c in layout.ROLE_ORDER) + "], cls)"
+SQL["role_rows"] = f"""WITH {_CLASSES}, nn AS (SELECT col, cls, {_LEGEND} AS i, count(*) AS n FROM cn GROUP BY 1, 2),
+sh AS (SELECT *, sum(n) OVER (PARTITION BY col) AS total, sum(n) OVER (PARTITION BY col ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM nn)
+SELECT CAST(col AS INTEGER) AS col, cls, n, CAST(round_even(100.0::DOUBLE * n / total, 0) AS INTEGER) AS pct, CAST(round(10000.0::DOUBLE * (upto - n) / total) AS INTEGER) AS start, CAST(round(10000.0::DOUBLE * upto / total) AS INTEGER) AS stop,
+ CAST(row_number() OVER (PARTITION BY col ORDER BY i) - 1 AS INTEGER) AS place, CAST(row_number() OVER (PARTITION BY col ORDER BY n DESC, i) - 1 AS INTEGER) AS by_share FROM sh"""
+
+
+@query
+def game_cards(spark, d):
+    """A column's card: its years and its era's, its roster by class, and the classes from the largest."""
+    cards = role_cards(spark, d)
+    cols = spark.createDataFrame(COLUMNS, "col int, year string, era string")
+    first = report.role_rows(cards).groupBy("col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("by_share", "cls", "n"))), lambda x: F.concat_ws(" ", x["cls"], report.fmt(x["n"]))), ", ").alias("largest"))
+    return cols.join(report.era_years(cols), "era").join(cards, "col").join(first, "col").select("col", "year", "era", "years", "total", *layout.ROLE_ORDER, "largest")
+
+
+SQL["game_cards"] = f"""WITH {_CLASSES}, nn AS (SELECT col, cls, {_LEGEND} AS i, count(*) AS n FROM cn GROUP BY 1, 2), ci(col, year, era) AS (VALUES {", ".join(f"({c}, '{y}', '{e}')" for c, y, e in COLUMNS)}),
+er AS (SELECT era, CASE WHEN min_by(year, col) = max_by(year, col) THEN min_by(year, col) ELSE min_by(year, col) || '–' || max_by(year, col) END AS years FROM ci GROUP BY 1)
+SELECT ci.col, ci.year, ci.era, years, CAST(sum(n) AS BIGINT) AS total, {", ".join(f"CAST(coalesce(sum(n) FILTER (cls = '{c}'), 0) AS BIGINT) AS {c}" for c in layout.ROLE_ORDER)},
+ string_agg(cls || ' ' || format('{{:,}}', n), ', ' ORDER BY n DESC, i) AS largest FROM ci JOIN er ON ci.era = er.era JOIN nn ON ci.col = nn.col GROUP BY 1, 2, 3, 4"""
+
 # --- the report -------------------------------------------------------------------
 
 
@@ -405,7 +436,7 @@ SQL["career_lineage"] = f"WITH {_SEEN}, {_SPINE}, er(game_id, era) AS (VALUES {'
 @query
 def uncertain_review(spark, d):
     """The review list of people with long gaps."""
-    games_of = read(spark, d, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("person")).agg(F.array_sort(F.collect_set(F.year("o_orderdate").cast("string"))).alias("games"))
+    games_of = core_orders(spark, d).groupBy(F.col("o_custkey").alias("person")).agg(F.array_sort(F.collect_set(F.year("o_orderdate").cast("string"))).alias("games"))
     p = person_metrics(spark, d).join(games_of, "person")
     return review(p.select(F.col("person").cast("string").alias("person_id"), F.col("person").cast("string").alias("display_name"), "games", "span_years", F.col("largest_gap").alias("largest_gap_years"), "uncertain"))
 

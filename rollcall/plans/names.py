@@ -446,19 +446,19 @@ SQL["html_udtf"] = r"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?s)
 
 @query
 def roster_split(spark, d):
-    """All customers of a nation on one line: three or more people become rows, a line with a company or another spelling stays."""
+    """A nation's customers, 500 keys on a line: three or more people become rows, a line with a company or another spelling stays."""
     from ..sources.wikitext import roster
 
     first = F.when((F.col("c_nationkey") % 3 == 1) & (F.col("c_custkey") % 3 == 0), "cy").when((F.col("c_nationkey") % 3 == 2) & (F.col("c_custkey") % 7 == 0), "Bo Media").otherwise("Ann")
     c = read(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat(first, F.lit(" K"), F.col("c_custkey").cast("string")).alias("n"))
-    lines = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "n"))), lambda x: x["n"]), ", ").alias("line"))
+    lines = c.groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "n"))), lambda x: x["n"]), ", ").alias("line"))
     names = F.pandas_udf(lambda t: t.map(roster), "array<string>")("line")
     return lines.withColumn("p", names).select("c_nationkey", F.explode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array("line"))).alias("name"))
 
 
 SQL["roster_split"] = r"""WITH n AS (SELECT c_nationkey, c_custkey, CASE WHEN c_nationkey % 3 = 1 AND c_custkey % 3 = 0 THEN 'cy' WHEN c_nationkey % 3 = 2 AND c_custkey % 7 = 0 THEN 'Bo Media' ELSE 'Ann' END || ' K' || c_custkey AS n FROM customer),
-g AS (SELECT c_nationkey, count(*) >= 3 AND bool_and(n LIKE 'Ann %') AS ok, string_agg(n, ', ' ORDER BY c_custkey) AS line FROM n GROUP BY 1)
-SELECT n.c_nationkey, n.n AS name FROM n JOIN g ON n.c_nationkey = g.c_nationkey WHERE g.ok UNION ALL SELECT c_nationkey, line FROM g WHERE NOT ok"""
+g AS (SELECT c_nationkey, c_custkey // 500 AS page, count(*) >= 3 AND bool_and(n LIKE 'Ann %') AS ok, string_agg(n, ', ' ORDER BY c_custkey) AS line FROM n GROUP BY 1, 2)
+SELECT n.c_nationkey, n.n AS name FROM n JOIN g ON n.c_nationkey = g.c_nationkey AND n.c_custkey // 500 = g.page WHERE g.ok UNION ALL SELECT c_nationkey, line FROM g WHERE NOT ok"""
 
 
 @query

@@ -45,6 +45,14 @@ def filled(text: str, name: str = "Ann K0000000", key: str = "0000000") -> str:
     return text.replace(NAME, name).replace(KEY, key)
 
 
+#: Pages hold a nation's customers, 500 keys each, whatever their number.
+PAGE_KEY = "c_nationkey || '-' || (c_custkey // 500)"
+
+
+def page_key():
+    return F.concat_ws("-", F.col("c_nationkey").cast("string"), F.floor(F.col("c_custkey") / 500).cast("string"))
+
+
 @dataclass
 class Suite:
     """``blocks``: (markup, events). ``units`` counts what references count; ``ref`` comes before the count unless an event has its own."""
@@ -66,7 +74,7 @@ class Suite:
         key = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
         block = F.element_at(texts, (F.col("c_custkey") % len(self.blocks) + 1).cast("int"))
         block = F.replace(F.replace(block, F.lit(NAME), F.concat(F.lit("Ann K"), key)), F.lit(KEY), key)
-        each = read(spark, d, "customer").select(F.concat(F.lit(self.name), F.col("c_nationkey").cast("string")).alias("game_id"), F.struct("c_custkey", block.alias("t")).alias("b"))
+        each = read(spark, d, "customer").select(F.concat(F.lit(self.name), page_key()).alias("game_id"), F.struct("c_custkey", block.alias("t")).alias("b"))
         body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["t"]), "")
         pages = each.groupBy("game_id").agg(F.concat(F.lit(self.head), body, F.lit(self.foot)).alias("text"))
         return pages.select("game_id", F.lit(self.parser).alias("parser"), F.lit(json.dumps(self.options)).alias("options"), "text")
@@ -84,7 +92,7 @@ class Suite:
         # character is a word of SQL's own
         cols = ", ".join(f'"{c}"' for c in COLUMNS)
         puts = ", ".join(put(f'"{c}"') for c in COLUMNS)
-        return f"""(WITH p AS (SELECT '{self.name}' || c_nationkey AS g, c_custkey AS o, lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS k, c_custkey % {len(self.blocks)} AS c FROM customer),
+        return f"""(WITH p AS (SELECT '{self.name}' || {PAGE_KEY} AS g, c_custkey AS o, lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS k, c_custkey % {len(self.blocks)} AS c FROM customer),
 u(c, units) AS (VALUES {units}), b AS (SELECT p.*, sum(units) OVER (PARTITION BY g ORDER BY o ROWS UNBOUNDED PRECEDING) - units AS base FROM p JOIN u ON p.c = u.c),
 e(c, j, off, kind, {cols}) AS (VALUES {", ".join(events)}),
 x AS (SELECT g, o, j, base + {self.before}, off, kind, k, {cols} FROM b JOIN e ON b.c = e.c{extra}),
@@ -246,7 +254,7 @@ def entry(name: str = "", title: str = "", agency: str = "") -> str:
 
 
 register("span_page_entries", Suite(
-    "span_page", {"departments": ["Art", "First Game"], "legacy": ["^First"], "other_language": [["Outside Co", "Actors"]], "characters": [["First Game", ""]]},
+    "span_page", {"departments": ["Art", "First Game"], "legacy": ["^First"], "community_headings": [r"(?i)\bsentinels\b"], "other_language": [["Outside Co", "Actors"]], "characters": [["First Game", ""]]},
     [
         (head("section", 2, "Art") + entry(NAME, "Anim Lead", "Acme"), [row(1, NAME, "Anim Lead", "Art", "Art/#", studio="Acme")]),
         (head("section", 2, "Art") + head("group", 3, "Voice Crew") + entry(NAME), [row(2, NAME, "Voice Crew", "Voice", "Art/Voice Crew#")]),
@@ -326,7 +334,7 @@ _KEY = "lpad(CAST(c_custkey AS VARCHAR), 7, '0')"
 def pages_of(spark, d, block, start: str = "", stop: str = ""):
     """docs(game_id, text): a nation's customers in turn, by a column made of key (7 characters) and custkey."""
     c = read(spark, d, "customer").select("c_nationkey", "c_custkey", F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("k"))
-    each = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id"), F.struct("c_custkey", block(F.col("k"), F.col("c_custkey")).alias("t")).alias("b"))
+    each = c.select(F.concat(F.lit("n"), page_key()).alias("game_id"), F.struct("c_custkey", block(F.col("k"), F.col("c_custkey")).alias("t")).alias("b"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["t"]), "")
     return each.groupBy("game_id").agg(F.concat(F.lit(start), body, F.lit(stop)).alias("text"))
 
@@ -339,21 +347,17 @@ def query(name: str, sql: str):
     return add
 
 
-_PLACED = f"c AS (SELECT 'n' || c_nationkey AS g, c_custkey AS o, {_KEY} AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)"
+_PLACED = f"c AS (SELECT 'n' || {PAGE_KEY} AS g, c_custkey AS o, {_KEY} AS k, row_number() OVER (PARTITION BY {PAGE_KEY} ORDER BY c_custkey) - 1 AS i FROM customer)"
 
 
 @query("wiki_heading_index", f"""WITH {_PLACED} SELECT g AS game_id, 'L' || (5 * i + x.off + 1) AS source_ref, replace(x.h, '@', k) AS heading
-FROM c, (VALUES (1, 'Page @'), (3, 'Page @ / Part A & B'), (4, 'Page @ / Part A & B')) x(off, h)""")
+FROM c, (VALUES (1, 'Page @'), (3, 'Page @ / Part A & B'), (4, 'Page @ / Part A & B')) x(off, h)
+UNION ALL SELECT g, 'L' || (5 * max(i) + 6), 'Page ' || arg_max(k, i) || ' / Part A & B' FROM c GROUP BY g""")
 def wiki_heading_index(spark, d):
     """The open headings at each line, links as where they lead to."""
     text = lambda k, _: F.concat(F.lit("== [[Page "), k, F.lit("|shown]] ==\nplain\n==='''Part''' <b>A</b> &amp; B===\n* x\ny\n"))
     # the last line feed begins one more line, which has a heading too
-    return indexes.wiki_heading_index(pages_of(spark, d, text, "", "")).where("source_ref <> ''").join(_last_lines(spark, d), ["game_id", "source_ref"], "left_anti")
-
-
-def _last_lines(spark, d):
-    n = read(spark, d, "customer").groupBy(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id")).agg(F.count("*").alias("n"))
-    return n.select("game_id", F.concat(F.lit("L"), (F.col("n") * 5 + 1).cast("string")).alias("source_ref"))
+    return indexes.wiki_heading_index(pages_of(spark, d, text, "", ""))
 
 
 @query("table_heading_index", f"""WITH {_PLACED} SELECT g AS game_id, 'tr' || (3 * i + x.off) AS source_ref, replace(x.h, '@', k) AS heading
@@ -423,7 +427,7 @@ def corrected_parse(spark, d):
     text = lambda k, _: F.concat(F.lit("* Ann K"), k, F.lit(" (VOLT)\n"))
     docs = pages_of(spark, d, text).withColumns({"parser": F.lit("wikitext"), "options": F.lit('{"inline_vendor": true}')})
     k, m = F.lpad(F.col("c_custkey").cast("string"), 7, "0"), F.col("c_custkey") % 10
-    c = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("game_id"), F.concat(F.lit("Ann K"), k).alias("name_raw"), k.alias("k"), m.alias("m"))
+    c = read(spark, d, "customer").select(F.concat(F.lit("n"), page_key()).alias("game_id"), F.concat(F.lit("Ann K"), k).alias("name_raw"), k.alias("k"), m.alias("m"))
     fixes = careers.Corrections(
         names=c.where("m < 2").select("name_raw", F.when(F.col("m") == 0, "fix").otherwise("discard").alias("action"), F.when(F.col("m") == 0, F.concat(F.lit("A "), "k", F.lit("| B "), "k")).otherwise("").alias("names"), F.when(F.col("m") == 0, "-").otherwise("").alias("studio")),
         studios=c.select("name_raw", "game_id", F.when(F.col("m") == 2, "VOLT").otherwise("Other").alias("wrong_studio"), F.lit("Acme").alias("correct_studio"), F.lit("r").alias("reason")),

@@ -96,5 +96,5 @@ THANKS = (r"(?i)special thanks", "special-thanks")
 WIKI_STANDING = [BABIES, THANKS, (r"(?i)\b(xbox|playstation|microsoft|localization|marketing|public relations)\b", "publishing")]
 TABLE_STANDING = [BABIES, (r"(?i)special thanks|^thanks$", "special-thanks"), (r"(?i)\b(xbox|microsoft|mgs|marketing|public relations|localization)\b", "publishing")]
 PANE_PUBLISHING = (r"(?i)\b(microsoft|marketing|public relations|localization|xbox)\b", "publishing")
-SPAN_STANDING = [(r"(?i)\b(community members|sentinels)\b", "community"), BABIES, THANKS, (r"(?i)^(xbox|playstation|microsoft|marketing|public relations)$", "publishing")]
+SPAN_STANDING = [(r"(?i)\bcommunity members\b", "community"), BABIES, THANKS, (r"(?i)^(xbox|playstation|microsoft|marketing|public relations)$", "publishing")]
 SHEET_STANDING = [BABIES, THANKS, (r"(?i)\b(xbox|marketing|public relations|publishing|localization)\b", "publishing")]

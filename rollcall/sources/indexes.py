@@ -68,5 +68,5 @@ def marked_people(rows: DataFrame, aliases: DataFrame, columns: DataFrame, slug)
 
     ident: Column = F.coalesce(F.col("person_id"), slug)
     al = aliases.withColumnRenamed("name_variant", "name_raw")
-    at = rows.join(al, "name_raw", "left").withColumn("ident", ident).join(F.broadcast(columns), "game_id")
+    at = rows.join(al, "name_raw", "left").withColumn("ident", ident).join(columns, "game_id")
     return at.groupBy("ident").agg(F.max_by("name_raw", F.struct(F.length("name_raw"), -F.col("ord"))).alias("name"), F.array_sort(F.collect_set("col")).alias("cols"))

@@ -144,7 +144,7 @@ def _voices(pane: Node, out: Output) -> None:
 
 
 def span_page(text: str, options: dict, rules: Rules) -> list[dict]:
-    """Options: departments (functions, not companies), legacy (patterns), other_language and characters ([department, group] pairs)."""
+    """Options: departments (functions, not companies), legacy and community_headings (patterns), other_language and characters ([department, group] pairs)."""
     out = Output(rules)
     functions = {clean(s) for s in options.get("departments", [])}
     other, cast = ({tuple(p) for p in options.get(k, [])} for k in ("other_language", "characters"))
@@ -181,7 +181,7 @@ def span_page(text: str, options: dict, rules: Rules) -> list[dict]:
             out.person(
                 name, ref, category=category, role_raw=role, character=title if voiced else "",
                 studio=part["agency"] or ("" if department in functions else department),
-                inclusion_class="legacy" if legacy else standing(SPAN_STANDING, department, group),
+                inclusion_class="legacy" if legacy else standing([*((p, "community") for p in options.get("community_headings", [])), *SPAN_STANDING], department, group),
             )
     return out.events
 
