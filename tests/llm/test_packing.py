@@ -45,21 +45,75 @@ def test_every_id_lies_in_one_piece(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.tokenizer_path()).count() == 0
 
 
+def billed(n):
+    return n if n <= 64 else -(-n // 4) * 4 if n <= 512 else -(-n // 16) * 16
+
+
+def held(plan, room):
+    out = {}
+    for items, times in plan:
+        assert sum(k * c for k, c in items.items()) <= room
+        for k, c in items.items():
+            out[k] = out.get(k, 0) + c * times
+    return out
+
+
 def test_padding_is_small():
     rnd = random.Random(2)
-    for n, least in ((500, 0.95), (100_000, 0.985)):
-        sizes = [min(4096, int(rnd.lognormvariate(6.8, 0.8)) + 1) for _ in range(n)]
+    for n, least, short in ((500, 0.95, 0), (100_000, 0.99, 0), (100_000, 0.99, 0.34), (50_000, 0.98, 1)):
+        sizes = [rnd.choice([1, 1, 5, 70]) if rnd.random() < short else min(4096, int(rnd.lognormvariate(6.8, 0.8)) + 1) for _ in range(n)]
         demand = {}
         for s in sizes:
-            demand[-(-s // 16)] = demand.get(-(-s // 16), 0) + 1
-        plan = packing.plan(demand, 256)
-        held = {}
-        for items, times in plan:
-            assert sum(k * c for k, c in items.items()) <= 256
-            for k, c in items.items():
-                held[k] = held.get(k, 0) + c * times
-        assert held == demand
-        assert sum(sizes) / 4096 / sum(t for _, t in plan) > least
+            demand[billed(s)] = demand.get(billed(s), 0) + 1
+        plan = packing.plan(demand, 4096)
+        assert held(plan, 4096) == demand
+        # but for the last few sequences
+        assert sum(sizes) / 4096 / (sum(t for _, t in plan) - 3) > least
+
+
+def test_against_the_least_number_of_sequences():
+    def least(sizes, room):
+        """Exact: the best over all subsets that a first sequence may hold, by bit masks."""
+        n = len(sizes)
+        fits = [m for m in range(1, 1 << n) if sum(s for i, s in enumerate(sizes) if m >> i & 1) <= room]
+        best = [0] + [n] * ((1 << n) - 1)
+        for m in range(1, 1 << n):
+            best[m] = min(best[m & ~f] + 1 for f in fits if f & m == f and f & (m & -m))
+        return best[-1]
+
+    rnd = random.Random(6)
+    over = 0
+    for _ in range(60):
+        room = rnd.choice([7, 10, 16])
+        sizes = [rnd.randrange(1, room + 1) for _ in range(rnd.randrange(1, 9))]
+        demand = {s: sizes.count(s) for s in sizes}
+        plan = packing.plan(demand, room)
+        assert held(plan, room) == demand
+        over += (got := sum(t for _, t in plan)) - (want := least(sizes, room))
+        assert want <= got <= want + 1
+    assert over <= 6
+
+
+def test_linear_optimum_against_all_patterns():
+    """At the prices of the last basis no pattern at all is worth more than a sequence, which proves the optimum."""
+    rnd = random.Random(7)
+    for _ in range(30):
+        demand = {w: rnd.randrange(1, 50) for w in rnd.sample(range(2, 16), 6)}
+        weight, found = sorted(demand), packing.patterns(demand, 16)
+        basis = np.array([column for column, _ in found], float)
+        price = np.linalg.solve(basis, np.ones(len(found)))
+        every = [[]]
+        for w in weight:
+            every = [[*e, n] for e in every for n in range(16 // w + 1) if sum(x * y for x, y in zip(e, weight)) + n * w <= 16]
+        assert max((price * e).sum() for e in every) <= 1 + 1e-5
+        assert abs(basis.T @ [a for _, a in found] - [demand[w] for w in weight]).max() < 1e-2 and min(a for _, a in found) >= 0
+
+
+def test_short_texts_share_sequences(spark):
+    sequences, ids = check(spark, [""] * 2000)
+    assert (sequences, ids) == (1, 2000)
+    sequences, ids = check(spark, [None] * 3000 + ["one two three"] * 1500)
+    assert sequences <= -(-ids // 4096) + 1
 
 
 def test_inverse():
