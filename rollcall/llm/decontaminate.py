@@ -104,13 +104,14 @@ class Automaton:
         for i, w in enumerate(ws):
             s = self.next[s][w]
             if i + 1 >= width:
-                at = self._of_length(s, width)
+                at = s = self._of_length(s, width)
                 if width == self.width:
                     self.items.setdefault(at, set()).add(key)
                 elif (width, key) not in self.short.setdefault(at, []):
                     self.short[at].append((width, key))
 
     def _of_length(self, s: int, width: int) -> int:
+        """The state of the last ``width`` words. From a state that was itself of that length a word before, this is one link at most."""
         while self.len[self.link[s]] >= width:
             s = self.link[s]
         return s
@@ -140,7 +141,9 @@ class Automaton:
                 continue
             s, run = t, run + 1
             if run >= width:
-                found |= self.items[self._of_length(s, width)]
+                # only the last words are kept, so that a step costs the same however long the match
+                s, run = self._of_length(s, width), width
+                found |= self.items[s]
                 edge = np.zeros(len(ws) + 1, np.int64) if edge is None else edge
                 edge[i + 1 - run] += 1
                 edge[i + 1] -= 1

@@ -124,3 +124,14 @@ def test_digest(spark, tmp_path):
     r = d.op4_decontaminate(spark, str(tmp_path)).first()
     assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (11, 11, 2, True)
     assert r.items_sha256 == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_long_runs_of_one_word_take_linear_time():
+    """An item of 100,000 equal words, and texts that repeat it, are built and walked a constant step a word."""
+    import time
+
+    n, begin = 100_000, time.perf_counter()
+    auto = d.Automaton([("junk", [b"w"] * n), ("short", [b"a", b"w"])], 10)
+    hit, found = auto.walk([b"x", b"a"] + [b"w"] * n + [b"x"] + [b"w"] * 9)
+    assert time.perf_counter() - begin < 6
+    assert found == {"junk", "short"} and hit[1 : n + 2].all() and not hit[0] and not hit[n + 2 :].any()
