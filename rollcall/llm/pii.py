@@ -13,10 +13,11 @@ term discloses PMI(e; t) = log2(N c(e, t) / (c(e) c(t))) of the IC(e) =
 log2(N / c(e)) bits that e is worth. Where PMI / IC is at least ``DISCLOSURE``,
 the term reveals e: in the documents that hold e it gets a span of kind ``term``
 and :func:`sanitise` generalises it. Entities and pairs of any count are scored.
-Where only n < ``SUPPORT`` different texts hold both, PMI is shrunk: the share
+PMI is shrunk alike at every count: with n different texts that hold both, the share
 c(e, t) / c(t) of e among the documents of t counts as n texts against ``PRIOR``
 texts that hold e at its rate c(e) / N. So an entity of one text has for terms
-the words of no other text once a table has some 110 documents.
+the words of no other text once a table has some 110 documents: by co-occurrence
+alone such words tell the text that the entity is in, ordinary ones too.
 
 Texts are scanned once; what is kept is thin, with the text itself only where an
 entity is. Each task sums its texts' terms before it hands them on, so a term in
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, fresh, small_batches, table
 
-SUPPORT, DISCLOSURE, TERM_BYTES = 4, 0.9, 4
-#: Weight of the base rate, in texts, against pairs of fewer than SUPPORT texts.
+DISCLOSURE, TERM_BYTES = 0.9, 4
+#: Weight of the base rate, in texts.
 PRIOR = 0.6
 #: Terms, or pairs of entity and term, that a task holds before it hands its counts on.
 HELD = 250_000
@@ -173,7 +174,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("c_t"))
 
 
-def revealing(docs: DataFrame, base: DataFrame, text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def revealing(docs: DataFrame, base: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(h, terms): for texts that hold an entity, by hash, the hashes of the terms that reveal it. ``base`` comes from :func:`found`."""
     total = max(base.count(), 1)
     holding = base.where("text is not null").groupBy("h").agg(F.count("*").alias("w"), F.first("text").alias("text"), F.first("entities").alias("entities"))
@@ -209,7 +210,7 @@ def revealing(docs: DataFrame, base: DataFrame, text_col: str = "text", support:
     # no pair of a lesser share reveals: PMI >= d IC says share >= (c(e) / N)^(1 - d), and c(e) is 1 at least
     close = both.join(term_counts(docs, text_col), "term").where(share >= 0.999 * total ** (disclosure - 1))
     scored = close.join(known, "e")
-    shrunk = F.when(n >= support, share).otherwise((n * share + PRIOR * rate) / (n + PRIOR))
+    shrunk = (n * share + PRIOR * rate) / (n + PRIOR)
     pmi = F.log2(shrunk / rate)
     reveals = scored.where(pmi >= disclosure * F.log2(F.lit(float(total)) / F.col("c_e"))).where(F.col("c_e") < total).select("e", "term")
     return held.select("h", "e").join(reveals, "e").groupBy("h").agg(F.collect_set("term").alias("terms"))
@@ -226,7 +227,7 @@ def _joinable(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if rows <= BROADCAST_ROWS and n <= BROADCAST_TERMS else terms
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, base, spans): joined spans, a row for each row of ``docs``."""
     base = checkpointed(found(docs, id_col, text_col))
     kind = base.schema["id"].dataType.simpleString()
@@ -241,7 +242,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppo
                     out[i] = _joined(sorted(both, key=lambda s: (s[1], (*KINDS, "term").index(s[0]))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "base", "spans"])
 
-    full = base.join(_joinable(revealing(docs, base, text_col, support, disclosure)), "h", "left").select("id", "base", "text", "terms")
+    full = base.join(_joinable(revealing(docs, base, text_col, disclosure)), "h", "left").select("id", "base", "text", "terms")
     return full.mapInArrow(run, f"id {kind}, base string, spans string").withColumnRenamed("id", id_col)
 
 
@@ -249,12 +250,12 @@ def _split(joined: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in joined.split(",") if s)]
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with each span generalised to its kind in brackets; ``size_col``, if there, follows."""
     base = checkpointed(found(docs, id_col, text_col))
     names = docs.columns
     at, (key, terms) = names.index(text_col), fresh(names, "h", "terms")
-    revealed = revealing(docs, base, text_col, support, disclosure).select(F.col("h").alias(key), F.col("terms").alias(terms))
+    revealed = revealing(docs, base, text_col, disclosure).select(F.col("h").alias(key), F.col("terms").alias(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

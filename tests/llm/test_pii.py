@@ -57,7 +57,9 @@ def test_query(spark):
     reveal = set()
     for w in set().union(*sets):
         c_t, c_et = sum(w in s for s in sets), sum(w in s and e for s, e in zip(sets, with_e))
-        if len(w.encode()) >= 4 and c_et >= 4 and math.log2(n * c_et / (c_e * c_t)) >= 0.9 * math.log2(n / c_e):
+        texts_et = len({t for t, s, e in zip([*texts, texts[3]], sets, with_e) if w in s and e})
+        share = (texts_et * c_et / c_t + pii.PRIOR * c_e / n) / (texts_et + pii.PRIOR)
+        if len(w.encode()) >= 4 and c_et and math.log2(n * share / c_e) >= 0.9 * math.log2(n / c_e):
             reveal.add(w)
     assert "quixote" in reveal and "number" not in reveal
     for i, t in enumerate(texts):
