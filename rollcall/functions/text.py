@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -40,10 +41,48 @@ def fold(text: str | None) -> str:
     return " ".join(re.sub(r"[^\w ]", "", plain).lower().split())
 
 
-@F.pandas_udf(StringType())
-def normalise_name(names: pd.Series) -> pd.Series:
-    """:func:`fold` by Arrow batches; Spark has no compatibility decomposition. Apply it to distinct names."""
-    return names.map(fold)
+def _code_points(chars: list[str]) -> str:
+    """A character class of the given characters, as ranges."""
+    points, out = sorted(map(ord, chars)), []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in out) + "]"
+
+
+@lru_cache(1)
+def _foldings() -> tuple[str, str, str, list[tuple[str, str, str]]]:
+    """Compatibility decomposition without combining marks, as tables for ``translate``.
+
+    (characters that become one other, and marks, which go; what they become; the class
+    of characters that become several; for each place of those, (class, characters, theirs)).
+    """
+    one, gone, many = {}, [], {}
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) > 1:
+            many[c] = plain
+        elif plain != c:
+            (gone.append(c) if plain == "" else one.update({c: plain}))
+    places = []
+    for i in range(max(map(len, many.values()))):
+        at = {c: p[i] for c, p in many.items() if len(p) > i}
+        places.append((_code_points(list(at)), "".join(at), "".join(at.values())))
+    return "".join(one) + "".join(gone), "".join(one.values()), _code_points(list(many)), places
+
+
+def normalise_name(name: Column | str) -> Column:
+    """:func:`fold` as an expression: no Python runs. Texts with characters that decompose into several take a slower way, character by character."""
+    c = F.col(name) if isinstance(name, str) else name
+    before, after, several, places = _foldings()
+    longer = lambda x, i: F.when(x.rlike(places[i][0]), F.concat(F.translate(x, *places[i][1:]), longer(x, i + 1))).otherwise("") if i < len(places) else F.lit("")
+    each = lambda x: F.when(x.rlike(several), F.concat(F.translate(x, *places[0][1:]), longer(x, 1))).otherwise(x)
+    whole = F.coalesce(c, F.lit(""))
+    plain = F.when(whole.rlike(several), F.array_join(F.transform(F.split(whole, ""), each), "")).otherwise(whole)
+    plain = F.when(whole.rlike(r"[^\x00-\x7F]"), F.translate(plain, before, after)).otherwise(whole)
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(plain, r"[^\p{L}\p{N}_ ]", "")), " +", " "))
 
 
 def slug(key: Column) -> Column:
@@ -90,9 +129,17 @@ def link_targets(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def strip_markup(c: pd.Series) -> pd.Series:
-    """Tags out, entities resolved, white space collapsed."""
-    return c.map(lambda t: " ".join(html.unescape(re.sub(r"<[^>]+>", " ", t or "")).split()))
+def _entities(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: None if t is None else html.unescape(t))
+
+
+def strip_markup(text: Column | str) -> Column:
+    """Tags out, entities resolved, white space collapsed; only texts with an ampersand go to Python, for the entities."""
+    c = F.col(text) if isinstance(text, str) else text
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", " ")
+    whole = F.coalesce(_entities(F.when(F.contains(bare, F.lit("&")), bare)), bare)
+    # what Python's str.split takes for white space
+    return F.trim(F.regexp_replace(whole, r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
 def percent(part: Column, whole: Column) -> Column:

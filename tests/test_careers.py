@@ -28,6 +28,30 @@ def test_scalar_functions(spark):
     assert one(rules.first_match(F.lit("an artist"), [("(?i)xyz", "no"), ("(?i)ART", "Art")])) == "Art"
 
 
+def test_names_fold_without_python(spark):
+    """Every character of Unicode folds as Python does it; only letters that Java doesn't know yet may differ."""
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x30000))]
+    names = ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)]
+    names += ["Åsa  O’Neil-Réý ﬁ", "ΑΣ Σ", "İstanbul", "½ ①②", "한국 사람", "e\u0301\u0327x", " a\u00a0b\tc ", "_x_", "", "ﷺ", "नमस्ते", "𝒜𝓫", "ẞß"]
+    df = spark.createDataFrame([(n, T.fold(n)) for n in names], "n string, want string").withColumn("got", T.normalise_name("n"))
+    known = "[\\p{L}\\p{N}]"
+    bad = [r for r in df.where("got <> want").collect()]
+    left = {ch for r in bad for ch in r.n if T.fold(ch) and T.fold(ch) not in r.got}
+    unknown = {r.c for r in spark.createDataFrame([(ch, T.fold(ch)) for ch in left], "c string, f string").where(~F.col("f").rlike(known)).collect()} if left else set()
+    assert left == unknown and len(bad) < len(names) // 40
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert not df.where(F.col("n").rlike("^[\\x01-\\x7F]*$") & (F.col("got") != F.col("want"))).count()
+
+
+def test_markup_as_python_does_it(spark):
+    import html
+    import re
+
+    texts = ["<b>a</b> &amp; b", "a<br/>b\u00a0c\u2003d", "&lt;i&gt;&#233;&copy", "", "x\x1cy  z", "1 < 2 > 3", "&nbsp;x&nbsp;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip_markup("t").alias("x")).collect()
+    assert all(r.x == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", r.t)).split()) for r in got)
+
+
 def test_release_stats_invariants_and_empty_group(spark):
     seen = spark.createDataFrame([("a", "g1", False), ("a", "g1", True), ("a", "g3", False), ("b", "g3", False), ("c", "g1", False), ("c", "g4", True)], "person string, release string, is_vendor boolean")
     rel = spark.createDataFrame([("g1", 1, "g1"), ("g2", 2, "g2"), ("g3", 3, "x"), ("g4", 4, "x"), ("g5", 5, "g5")], "release string, sequence int, grp string")
