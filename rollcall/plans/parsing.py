@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise_name, slug
 from ..sources import bundle, indexes
 from ..sources.credits import Rules
-from ..sources.documents import parse_documents
+from ..sources.documents import parse_documents, register_line_parser
 from . import careers
 from .continuity import read
 
@@ -104,7 +104,7 @@ SELECT g AS game_id, kind, CASE WHEN kind = 'row' THEN CAST(row_number() OVER (P
 QUERIES, SQL = {}, {}
 
 
-def register(name: str, *suites: Suite) -> None:
+def register(name: str, *suites: Suite, lines_too: bool = True) -> None:
     def run(spark, d):
         pages = None
         for s in suites:
@@ -112,8 +112,20 @@ def register(name: str, *suites: Suite) -> None:
         out = parse_documents(pages, RULES)
         return out.select(*[F.coalesce(c, F.lit(-1 if c == "credit_order" else "")).alias(c) for c in out.columns])
 
+    def by_line(spark, d):
+        """The same from a table of lines, by the table function that is dealt them by page."""
+        pages = None
+        for s in suites:
+            pages = s.pages(spark, d) if pages is None else pages.unionByName(s.pages(spark, d))
+        lines = pages.select("game_id", "parser", "options", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        register_line_parser(spark, RULES, "rollcall_parse_lines")
+        out = spark.sql("SELECT * FROM rollcall_parse_lines(TABLE({lines}), 'tagged')", lines=lines)
+        return out.select(*[F.coalesce(c, F.lit(-1 if c == "credit_order" else "")).alias(c) for c in out.columns])
+
     for i, s in enumerate(suites):
         s.name = s.name or f"{name}-{i}-"
+    if lines_too:
+        QUERIES[f"{name}_by_line"], SQL[f"{name}_by_line"] = by_line, " UNION ALL ".join(f"SELECT * FROM {s.sql()}" for s in suites)
     QUERIES[name], SQL[name] = run, " UNION ALL ".join(f"SELECT * FROM {s.sql()}" for s in suites)
 
 

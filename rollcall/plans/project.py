@@ -177,3 +177,26 @@ def frozen_artefacts(spark, d):
     p = p.withColumn("payload", F.to_json(F.struct(F.struct(F.concat(F.lit("== "), "url", F.lit(" ==")).alias("wikitext")).alias("parse"))))
     one, two = io.parts_of(F.col("both"))
     return p.select("page_id", "address", one.alias("page"), two.alias("script"), io.wikitext_of("payload").alias("markup"))
+
+
+@query(r"""WITH j AS (SELECT page_id, json_object('props', json_object('pageProps', json_array(json_object('credits', json_object('page-title', coalesce(url, ''), 'deep', json_object('b', CAST(page_id AS VARCHAR), 'credits', json_object('again', 'x "y"')), 'list', json_array('x'), 'n', page_id)), json_object('credits', 's')))) AS js FROM pages),
+t AS (SELECT page_id, replace(e.fullkey, '"', '') AS k, e.atom->>'$' AS message FROM j, json_tree(j.js) e WHERE e.type = 'VARCHAR')
+SELECT page_id, 'credits' || regexp_extract(k, '^.*?\.credits(\..*)$', 1) AS path, message FROM t WHERE regexp_matches(k, '\.credits\.') AND NOT regexp_matches(k, '\.credits.*\[')""")
+def page_messages(spark, d):
+    """Texts in the data of each page, nested to any depth."""
+    p = read(spark, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    k = F.col("page_id").cast("string").alias("b")
+    deep = F.struct(k, F.struct(F.lit('x "y"').alias("again")).alias("credits"))
+    say = F.struct(F.col("url").alias("page-title"), deep.alias("deep"), F.array(F.lit("x")).alias("list"), F.col("page_id").alias("n"))
+    body = F.concat(F.lit('{"props": {"pageProps": ['), F.to_json(F.struct(say.alias("credits"))), F.lit(', {"credits": "s"}]}}'))
+    text = F.concat(F.lit('<p>a</p><script id="__NEXT_DATA__" type="application/json">'), body, F.lit("</script><script>x</script>"))
+    return io.message_rows(p.select("page_id", text.alias("text")), "page_id", "text")
+
+
+@query("""SELECT event_id, 'k' AS option, 'BIGINT' AS kind, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE event_id % 3 <> 0
+UNION ALL SELECT event_id, x.o, x.k, x.v FROM events, (VALUES ('name_style', 'STRING', '"plain"'), ('sections', 'ARRAY', '["a","b"]'), ('on', 'BOOLEAN', 'true')) x(o, k, v) WHERE event_id % 3 = 1""")
+def source_options(spark, d):
+    """Options of sources as they come: numbers, texts, lists, flags; none where the text is blank."""
+    more = F.lit(',"name_style":"plain","sections":["a","b"],"on":true}')
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, " ").when(F.col("event_id") % 3 == 1, F.concat(F.regexp_replace("props", r"\}\s*$", ""), more)).otherwise(F.col("props")).alias("options"))
+    return io.option_rows(e, "event_id")

@@ -38,6 +38,10 @@ _AGENCY = re.compile(r"\s*\(\s*([^()]{1,60}?)\s*\)\s*$")
 _HELPER = r"(?i)(?:test|art|audio|localization|additional \w+)\s+by\s+(.+)$"
 
 
+#: Where a page keeps its data.
+PAGE_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+
+
 def unescape(literal: str) -> str:
     code = lambda m: next((chr(int(h, 16)) for h in m.groups()[:3] if h), None) or _SIMPLE.get(m[4], m[4])
     return _ESCAPE.sub(code, literal[1:-1])
@@ -45,7 +49,7 @@ def unescape(literal: str) -> str:
 
 def messages(page: str) -> dict[str, str]:
     """All texts below any key ``credits`` of the page's data, by dotted path."""
-    m = re.search(r'<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', page, re.S)
+    m = re.search(PAGE_DATA, page)
     try:
         todo = [("", json.loads(m[1]))] if m else []
     except json.JSONDecodeError:

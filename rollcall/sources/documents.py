@@ -61,6 +61,48 @@ def register_udtf(spark: SparkSession, rules: Rules, name: str = "parse_credits"
     spark.udtf.register(name, udtf(ParseCredits, returnType=SCHEMA.removeprefix("game_id string, ")))
 
 
+def register_line_parser(spark: SparkSession, rules: Rules, name: str = "parse_lines") -> None:
+    """The same over a table of lines: ``SELECT * FROM parse_lines(TABLE(lines), 'tagged')``.
+
+    The table holds game_id, parser, options, line_no, line. Spark deals it by page and
+    sorts it by line, as the function asks for when the query is analysed, so callers
+    needn't build a string a page; the second argument says what comes out and so the
+    schema: 'tagged' (rows, drops and unparsed lines) or 'rows' (credits alone).
+    """
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
+
+    tagged = StructType.fromDDL(SCHEMA)
+    credits = StructType([f for f in tagged if f.name not in ("kind", "line", "reason")])
+
+    class ParseLines:
+        def __init__(self) -> None:
+            self.page, self.lines, self.output = None, [], "tagged"
+
+        @staticmethod
+        def analyze(lines: AnalyzeArgument, output: AnalyzeArgument) -> AnalyzeResult:
+            if output.value not in ("tagged", "rows"):
+                raise ValueError(f"parse_lines gives 'tagged' or 'rows', not {output.value!r}")
+            return AnalyzeResult(schema=tagged if output.value == "tagged" else credits, partitionBy=[PartitioningColumn("game_id")], orderBy=[OrderingColumn("line_no")])
+
+        def eval(self, row, output: str) -> None:
+            self.page, self.output = (row["game_id"], row["parser"], row["options"]), output
+            self.lines.append(row["line"] or "")
+
+        def terminate(self):
+            if self.page is None:
+                return
+            game, parser, options = self.page
+            for e in parse_one("\n".join(self.lines), parser, options, rules):
+                if self.output == "tagged":
+                    yield (game, *(e.get(c) for c in _COLUMNS))
+                elif e["kind"] == "row":
+                    yield (game, *(e.get(c) for c in FIELDS))
+
+    spark.udtf.register(name, udtf(ParseLines))
+
+
 class Items:
     """Table function body: the text of each element of one tag, in order, with end tags that pages leave out."""
 
@@ -178,6 +220,38 @@ def wikitext_of(payload: str) -> Column:
     return F.when(F.get_json_object(payload, "$.error").isNotNull(), bad).otherwise(F.get_json_object(payload, "$.parse.wikitext"))
 
 
+def message_rows(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, message): all texts below any object ``credits`` of the pages' data, by dotted path, as :func:`.bundle.messages` reads them page by page.
+
+    The data is a VARIANT, and a recursive query opens one level of all pages at a time:
+    as many steps as the deepest page has levels, whatever the number of pages. Spark
+    stops recursions at a number of rows that is meant for runaway ones; depth bounds
+    this one, so the session's limit is lifted.
+    """
+    spark = pages.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    data = pages.select(F.col(key).alias("page"), F.regexp_extract(text, bundle.PAGE_DATA, 1).alias("js"))
+    rows = spark.sql(
+        """WITH RECURSIVE t(page, path, v) MAX RECURSION LEVEL 500 AS (
+        SELECT page, '' AS path, try_parse_json(js) AS v FROM {data}
+        UNION ALL
+        SELECT t.page, CASE WHEN t.path <> '' THEN concat(t.path, '.', e.key) WHEN e.key = 'credits' AND startswith(schema_of_variant(e.value), 'OBJECT<') THEN 'credits' ELSE '' END, e.value
+        FROM t, LATERAL variant_explode(t.v) AS e WHERE t.path = '' OR e.key IS NOT NULL)
+        SELECT page, path, CAST(v AS STRING) AS message FROM t WHERE path <> '' AND schema_of_variant(v) = 'STRING'""",
+        data=data,
+    )
+    return rows.withColumnRenamed("page", key)
+
+
+def option_rows(sources: DataFrame, key: str = "game_id", options: str = "options") -> DataFrame:
+    """(key, option, kind, value): each option of each source, by its kind and as JSON; blank options are none, and text that isn't an object raises."""
+    held = F.when(F.coalesce(F.trim(options), F.lit("")) == "", F.lit("{}")).otherwise(F.col(options))
+    v = F.parse_json(held)
+    whole = F.when(F.schema_of_variant(v).startswith("OBJECT<"), v).otherwise(F.raise_error(F.concat(F.lit("options of a source aren't an object: "), held)).cast("variant"))
+    each = sources.sparkSession.sql("SELECT k, e.key AS option, e.value AS v FROM {src}, LATERAL variant_explode(o) AS e", src=sources.select(F.col(key).alias("k"), whole.alias("o"))).withColumnRenamed("k", key)
+    return each.select(key, "option", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("kind"), F.to_json("v").alias("value"))
+
+
 def script_address(page: Column, pattern: str) -> Column:
     """The address of a page's script, which ``pattern`` finds as its group; a page that names none raises."""
     found = F.regexp_extract(page, pattern, 1)
