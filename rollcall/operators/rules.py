@@ -7,9 +7,13 @@ Rule tables that live in data are read first (:func:`first_match_table`).
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialised
+
 
 def first_match(c: Column, rules: list[tuple[str, str]], default: str | None = "Other") -> Column:
     """Label of the first (pattern, label) found in ``c``."""
@@ -25,16 +29,24 @@ def any_match(c: Column, patterns: list[str]) -> Column:
     return out
 
 
-#: Rules up to which a table of them is compiled into one expression.
-MOST_RULES = 2_000
+#: Rules that are compiled into one expression.
+BLOCK_RULES = 500
 
 
 def first_match_table(rows: DataFrame, text: str, rules: DataFrame, default: str = "Other") -> DataFrame:
-    """Adds ``label`` by the table rules(priority, pattern, label), whose size is checked: rules are read and compiled as any others."""
-    found = rules.orderBy("priority").select("pattern", "label").limit(MOST_RULES + 1).collect()
-    if len(found) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules in one table")
-    return rows.withColumn("label", first_match(F.col(text), [(r.pattern, r.label) for r in found], default))
+    """Adds ``label`` by the table rules(priority, pattern, label): read in blocks and compiled as any others.
+
+    Of a table of any size one block is on the driver at a time; rows that a block left
+    without a label go on to the next, and what one block found is written before it.
+    """
+    ahead = rules.orderBy("priority").select("pattern", "label").toLocalIterator()
+    out, block = rows.withColumn("label", F.lit(None).cast("string")), list(islice(ahead, BLOCK_RULES))
+    while block:
+        after = list(islice(ahead, BLOCK_RULES))
+        found = first_match(F.col(text), [(r.pattern, r.label) for r in block], None)
+        out = out.withColumn("label", F.coalesce("label", found))
+        out, block = materialised(out) if after else out, after
+    return out.withColumn("label", F.coalesce("label", F.lit(default)))
 
 
 def split_audit(rows: DataFrame, bad: Column, reason: str) -> DataFrame:
