@@ -18,7 +18,9 @@ and is linked by the same neighbours in joins.
 Defined results: null, empty and blank texts have fingerprint 0 and link like
 any other; repeated rows are all returned; a null id counts for nothing in the
 component's least id and takes that id from the others (null if none has one);
-an empty table gives no rows; extra columns are ignored.
+texts of any length are hashed whole, shingle by shingle; a bit that just half of the
+shingles set is 0, and documents tied on their fingerprint are one point with one
+component; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,13 +7,16 @@ each piece's count over all words as that file's own tokenizer cuts them, plus o
 over the sum; a character without a piece falls back to its UTF-8 bytes, which are
 counted alike. Ties go to fewer tokens.
 
-Pre-tokens are words ``[^\x20\x09-\x0D]+`` behind the vocabulary's word mark. Each
-Python worker inserts the distinct ones that it meets in a trie whose nodes hold
-the forward score (log-probability and tokens) of their prefix, so a prefix that
-words share is scored once, and keeps each word's terminal count. A document's
-count is the sum over its words. Trie and counts start anew beyond ``NODES`` nodes
-and ``CACHED`` words; words over ``LONG`` characters are scored apart, in a window as
-long as the longest piece. None of this changes a result.
+Pre-tokens are words ``[^\x20\x09-\x0D]+`` behind the vocabulary's word mark. The
+distinct new ones of a batch are sorted, which is the order of a walk through their
+trie, depth first: the nodes on the path to a word hold the forward score
+(log-probability and tokens) of their prefix, the next word leaves the path where it
+parts and grows it from there, and the score at its end is its terminal count. So a
+prefix that words of a batch share is scored once, and a node costs two numbers. A
+worker keeps terminal counts, so a word it has met isn't walked to again; beyond
+``CACHED`` words it starts anew. A document's count is the sum over its words. Words
+over ``LONG`` characters are scored apart, in a window as long as the longest piece.
+None of this changes a result.
 
 Two passes over the documents: one for the model (a count a piece leaves each
 task), one for the counts. Nothing else is shuffled.
@@ -42,7 +45,7 @@ from .common import small_batches, table
 
 MARK = "▁"
 CACHED, LEFT, KEPT_BYTES = 1_000_000, 200_000, 64
-NODES, LONG = 600_000, 1_000
+LONG = 1_000
 #: Pieces of this length or more are looked for only behind their last characters; shorter ones always.
 ENDING = 4
 SHORT = tuple(range(2, ENDING))
@@ -145,28 +148,20 @@ class Trie:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.clear()
-
-    def clear(self) -> None:
-        self.nodes: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        self.path, self.top, self.fewest = "", [0.0], [0]
 
     def tokens(self, raw: str) -> int:
-        n, nodes = len(raw), self.nodes
+        """The word's terminal count; of words in rising order each shared prefix is scored once."""
+        n, path, best, used = len(raw), self.path, self.top, self.fewest
         if n > LONG:
             return self.apart(raw)
-        if len(nodes) > NODES:
-            self.clear()
-            nodes = self.nodes
-        # a node's prefixes are nodes too, so the deepest one is found by halving
-        low, high = 0, n + 1
-        while high - low > 1:
-            middle = (low + high) // 2
-            if raw[:middle] in nodes:
-                low = middle
-            else:
-                high = middle
+        low, most = 0, min(n, len(path))
+        while low < most and raw[low] == path[low]:
+            low += 1
+        del best[low + 1 :], used[low + 1 :]
+        self.path = raw
         score, sizes, sure = self.pieces.score.get, self.pieces.sizes.get, self.pieces.one_wins
-        top, fewest = nodes[raw[:low]]
+        top, fewest = best[low], used[low]
         for end in range(low + 1, n + 1):
             ch = raw[end - 1]
             if ch in sure:
@@ -178,11 +173,10 @@ class Trie:
                     break
                 s = score(raw[end - size : end])
                 if s is not None:
-                    at, used = nodes[raw[: end - size]]
-                    s += at
-                    if s > top or s == top and used + 1 < fewest:
-                        top, fewest = s, used + 1
-            nodes[raw[:end]] = top, fewest
+                    s += best[end - size]
+                    if s > top or s == top and used[end - size] + 1 < fewest:
+                        top, fewest = s, used[end - size] + 1
+            best.append(top), used.append(fewest)
         return fewest
 
     def apart(self, raw: str) -> int:
@@ -220,7 +214,7 @@ class Counter:
         if len(counts) + len(new) > CACHED:
             counts.clear()
             new = every
-        for w in new:
+        for w in sorted(new):
             counts[w] = tokens(MARK + w.decode("utf-8", "replace"))
         each = np.fromiter(chain(map(counts.__getitem__, every), (0,)), np.int64, len(every) + 1)  # -1 is the last
         sums = np.concatenate(([0], np.cumsum(each[at])))[ends]
@@ -232,7 +226,6 @@ class Counter:
 
     def trim(self) -> None:
         """Leaves what was learned first, which is what is frequent: idle Python workers hold little."""
-        self.trie.clear()
         if len(self.counts) > LEFT:
             self.counts = dict(islice(self.counts.items(), LEFT))
 

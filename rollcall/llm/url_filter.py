@@ -16,7 +16,8 @@ Defined results: null, empty or ``://``-less URLs have empty host and path and
 get the default verdict; URLs of any length are judged whole; repeated rows are all
 returned; among rules of equal length that fit, block wins, then the greater rule
 string; rules tied on their rarest token are filed under the least; extra columns
-are kept, but for those named as the four that are added.
+are kept, but for those named as the four that are added; an empty table gives no
+rows, and without rules every URL gets the default verdict.
 """
 
 from __future__ import annotations

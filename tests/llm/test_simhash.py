@@ -60,6 +60,18 @@ def test_query_against_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_ties(spark):
+    rnd = random.Random(11)
+    long = [" ".join(rnd.choice(["alpha", "Beta", "gamma", "delta", "é"]) for _ in range(60_000)) for _ in range(2)]
+    # two shingles set a bit in one of two at most: just half of them is no majority
+    texts = [*long, long[0].upper().replace("É", "é"), "one two three four", "one two three four", "w " * 200_000]
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = [brute_fp(t) for t in texts]
+    want = brute_components([9 - i for i in range(len(texts))], fps)
+    assert got == {9 - i: (f"{f:016x}", c) for i, (f, c) in enumerate(zip(fps, want))}
+
+
 def test_linear_linking_agrees_with_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**62, 12)

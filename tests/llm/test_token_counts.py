@@ -39,6 +39,31 @@ def brute(text, pieces):
     return total
 
 
+def test_a_walk_scores_shared_prefixes_once(monkeypatch):
+    pieces = token_counts.Pieces(*brute_model(["the theme then there other others otherwise"]))
+    grown, trie = [], token_counts.Trie(pieces)
+    single = pieces.single
+    monkeypatch.setattr(pieces, "one_wins", frozenset())
+    monkeypatch.setattr(pieces, "single", lambda ch, *a: grown.append(ch) or single(ch, *a))
+    words = sorted(token_counts.MARK + w for w in ("the", "theme", "then", "there", "other", "others", "otherwise", "t"))
+    for w in words:
+        trie.tokens(w)
+    assert len(grown) == len({w[:i] for w in words for i in range(1, len(w) + 1)})  # the nodes of their trie
+
+
+def test_very_long_texts_and_words(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice(["the", "thermal", "nation", "é" * 3, "9-9"]) for _ in range(150_000)), "nationthe" * 40_000, "x"]
+    pieces = token_counts.Pieces(*brute_model(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(docs, token_counts.model_path()).collect()}
+    each = {w: brute(w, pieces) for w in set(texts[0].split())}
+    assert got[0] == (150_000, sum(each[w] for w in texts[0].split())) and got[2] == (1, brute("x", pieces))
+    # a long word of a period: windows of it add a fixed number of tokens a period
+    some = [brute("nationthe" * k, pieces) for k in (40, 41, 42)]
+    assert some[2] - some[1] == some[1] - some[0] and got[1] == (1, some[0] + (40_000 - 40) * (some[1] - some[0]))
+
+
 def test_query_against_brute_force(spark, monkeypatch):
     rnd = random.Random(4)
     syl = ["the", "Of", "tion", "é", "ß", "12", "'ll", "|", "***", "漢", "and", "er"]
@@ -53,7 +78,6 @@ def test_query_against_brute_force(spark, monkeypatch):
     learned = token_counts.model_of(token_counts.model_path(), token_counts.piece_counts(docs, token_counts.model_path()))
     assert learned.score == pieces.score and learned.byte == pieces.byte
     monkeypatch.setattr(token_counts, "CACHED", 20)
-    monkeypatch.setattr(token_counts, "NODES", 30)
     few = token_counts.Counter(pieces)
     assert [n for t in texts for _, n in few([t])] == [brute(t, pieces) for t in texts]
     assert token_counts.token_counts(docs.limit(0), token_counts.model_path()).count() == 0
