@@ -30,12 +30,9 @@ STANDING_ALWAYS = {"community": "community", "babies": "thanks"}
 STANDING_FALLBACK = {"publishing": "publishing", "special-thanks": "thanks"}
 
 
-def mapped(c: Column, table: dict[str, str]) -> Column:
+def mapped(c: Column, table: dict) -> Column:
     """A small dictionary as an expression; null where it has no entry."""
-    out = F.lit(None).cast("string")
-    for k, v in table.items():
-        out = F.when(c == k, v).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), c) if table else F.lit(None).cast("string")
 
 
 def code_of(cls: str, prov: str) -> int:
@@ -50,7 +47,7 @@ def decoded(code: Column) -> Column:
 
 
 def _by_table(c: Column, table: dict[str, str], prov: str) -> Column:
-    return F.coalesce(*(F.when(c == k, F.lit(code_of(v, prov))) for k, v in table.items()))
+    return mapped(c, {k: code_of(v, prov) for k, v in table.items()})
 
 
 def _by_rules(c: Column, rules: list[tuple[str, str]], prov: str) -> Column:
