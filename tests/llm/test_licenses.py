@@ -56,7 +56,7 @@ def texts():
             said = mutated(rnd, notice, n)
             out.append(f"Ñandú {' '.join(rnd.choice(notice.split()) for _ in range(4))}: {said.upper() if n % 2 else said.replace(' ', ', ')}!\nlicense with or without {said[: len(said) // 2]}")
     out.append(". ".join(notice for _, notice in li.NOTICES) * 3)
-    out.append("lorem ipsum " * 40_000 + "Released under the MlT Licence. " + "dolor " * 20_000)
+    out.append("lorem ipsum " * 40_000 + "Released under the MlT Licence. " + "dolor " * 2_000)
     return out
 
 
@@ -69,7 +69,7 @@ def test_query_against_brute_force(spark, tmp_path):
     want = []
     for i, t, _ in given:
         if t and len(t) > 100_000:
-            n, *rest = brute(t[-250_000:][-130_000:])
+            n, *rest = brute(t[-13_000:])
             want.append((i, len(words(t)), *rest))
         else:
             want.append((i, *brute(t)))
