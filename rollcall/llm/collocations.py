@@ -292,6 +292,8 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least:
     two = pairs.select("a", "b", "f").distinct().select(F.array("a", "b").alias("ids"), "f")
     phrases = two.unionByName(longer_phrases(kept, pairs, longest, least)) if longest > 2 else two
     phrases = written(phrases)
+    for t in (kept, pairs):
+        dropped(spark, t)
     known = phrases.unionByName(words.select(F.array("id").alias("ids"), "f"))
     best = scored(uncovered(phrases, covered), known)
     each = best.select("*", F.posexplode("ids").alias("at", "id")).join(words.select("id", "lang", "word"), "id")
