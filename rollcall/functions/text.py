@@ -53,11 +53,13 @@ def _code_points(chars: list[str]) -> str:
 
 
 @lru_cache(1)
-def _foldings() -> tuple[str, str, str, list[tuple[str, str, str]]]:
+def _foldings() -> tuple[str, str, str, list[tuple[str, str]], str, dict[str, str]]:
     """Compatibility decomposition without combining marks, as tables for ``translate``.
 
     (characters that become one other, and marks, which go; what they become; the class
-    of characters that become several; for each place of those, (class, characters, theirs)).
+    of characters that become several; for the first, second and third place of those that
+become two or three, (characters, theirs); the class of those that become three; the
+few that become more).
     """
     one, gone, many = {}, [], {}
     for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
@@ -66,19 +68,19 @@ def _foldings() -> tuple[str, str, str, list[tuple[str, str, str]]]:
             many[c] = plain
         elif plain != c:
             (gone.append(c) if plain == "" else one.update({c: plain}))
-    places = []
-    for i in range(max(map(len, many.values()))):
-        at = {c: p[i] for c, p in many.items() if len(p) > i}
-        places.append((_code_points(list(at)), "".join(at), "".join(at.values())))
-    return "".join(one) + "".join(gone), "".join(one.values()), _code_points(list(many)), places
+    short = {c: p for c, p in many.items() if len(p) < 4}
+    places = [("".join(c for c, p in short.items() if len(p) > i), "".join(p[i] for p in short.values() if len(p) > i)) for i in range(3)]
+    longer = {c: p for c, p in many.items() if len(p) > 3}
+    return "".join(one) + "".join(gone), "".join(one.values()), _code_points(list(many)), places, _code_points([c for c, p in short.items() if len(p) == 3]), longer
 
 
 def normalise_name(name: Column | str) -> Column:
     """:func:`fold` as an expression: no Python runs. Texts with characters that decompose into several take a slower way, character by character."""
     c = F.col(name) if isinstance(name, str) else name
-    before, after, several, places = _foldings()
-    longer = lambda x, i: F.when(x.rlike(places[i][0]), F.concat(F.translate(x, *places[i][1:]), longer(x, i + 1))).otherwise("") if i < len(places) else F.lit("")
-    each = lambda x: F.when(x.rlike(several), F.concat(F.translate(x, *places[0][1:]), longer(x, 1))).otherwise(x)
+    before, after, several, (first, second, third), three, longer = _foldings()
+    table = F.create_map(*(F.lit(x) for pair in longer.items() for x in pair))
+    parts = lambda x: F.concat(F.translate(x, *first), F.translate(x, *second), F.when(x.rlike(three), F.translate(x, *third)).otherwise(""))
+    each = lambda x: F.when(x.rlike(several), F.coalesce(F.try_element_at(table, x), parts(x))).otherwise(x)
     whole = F.coalesce(c, F.lit(""))
     plain = F.when(whole.rlike(several), F.array_join(F.transform(F.split(whole, ""), each), "")).otherwise(whole)
     plain = F.when(whole.rlike(r"[^\x00-\x7F]"), F.translate(plain, before, after)).otherwise(whole)
