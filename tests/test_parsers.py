@@ -208,3 +208,22 @@ def test_documents_and_table_functions(spark):
     assert sorted((r.game_id, r.kind) for r in same) == sorted((r.game_id, r.kind) for r in got)
     register_items(spark)
     assert [r.item for r in spark.sql("SELECT * FROM html_elements('<ul><li>a<li>b</ul>', 'li')").collect()] == ["a", "b"]
+
+
+def test_headings_as_their_sql_reads_them(spark, tmp_path):
+    """Entities that are cut or not among the SQL's four stay, blanks inside too; only plain tags count."""
+    import duckdb
+
+    import __spark_entry__
+
+    heads = ["a &amp", "a &amp; b &lt", "&amp;lt; &quot;x&quot &#x27; &nbsp;", " a\n", "\u00a0\u3000a \t", "a<b>b</b> <i>c</i>", "a < b > c", "", "&copy; é 漢\U0001f600", "one<h1>two"]
+    pages = [f"<p>é\r\n😀<h1>{h}</h1>\n<p>x<h1>again</h1>" for h in heads]
+    pages += ["<H1>x</H1><h1 class=a>y</h1><h1>z", "<h1>a<p>b</h1><li><h1>c</h1>", "<h1></h1><h1>b</h1 >c</h1>", "", None]
+    docs = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = __spark_entry__.queries()["html_udtf"](spark, str(tmp_path))
+    assert got.columns == ["page_id", "n", "item"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["html_udtf"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 2 * len(heads) + 4
