@@ -109,17 +109,27 @@ def names_inside(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def compound_facts(own: DataFrame, shown: DataFrame) -> DataFrame:
-    """Whole known names inside credits of several people: each such person gets the release and the spelling.
+    """Whole known names inside credits of several people: each such person gets the release and the spelling, at its first place there that is another's.
 
-    Texts and names are compared once each, however many rows and owners they have.
+    ``own`` holds a row for each person, release and spelling. Texts and names are
+    compared once each, however many rows and owners they have, and
+    of a text's owners in a release only the first two remain: one of them isn't the
+    person whose name it holds, and has the first place that counts. So the result grows
+    with people and different texts, not with people times owners.
     """
-    whole = own.where(is_compound(F.col("variant"))).select(F.col("variant").alias("text"), "game_id", F.col("person_id").alias("own_id"), F.col("ord").alias("at"))
+    whole = own.where(is_compound(F.col("variant")) & F.col("person_id").isNotNull()).select(F.col("variant").alias("text"), "game_id", "person_id", F.col("ord").alias("at"))
+    # a rank that is at most two is taken in each task before rows are dealt, so a text of many owners is no large task
+    places = whole.withColumn("rank", F.row_number().over(W.partitionBy("text", "game_id").orderBy(F.asc_nulls_last("at"), "person_id"))).where("rank <= 2")
+    side = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    places = places.groupBy("text", "game_id").agg(side(1, "person_id").alias("own_id"), side(1, "at").alias("at"), side(2, "person_id").alias("next_id"), side(2, "at").alias("next_at"))
     plain = shown.where("not is_split")
-    names = plain.select("person_id", F.col("display_name").alias("name")).union(own.join(plain.select("person_id"), "person_id", "left_semi").select("person_id", F.col("variant").alias("name")))
+    # no semi-join: Spark takes its result to be as small as a file of names and would send all names to the task of the few hits
+    names = plain.select("person_id", F.col("display_name").alias("name")).union(own.join(plain.select("person_id"), "person_id").select("person_id", F.col("variant").alias("name")))
     names = names.where((F.col("name") != "") & ~is_compound(F.col("name"))).distinct()
     hit = names_inside(whole.select("text").distinct(), names.select("name").distinct())
-    each = hit.join(names, "name").join(whole, "text").where("own_id <> person_id")
-    return each.select("person_id", "game_id", F.col("text").alias("variant"), F.col("at").alias("ord"))
+    mine = F.col("own_id") == F.col("person_id")
+    each = hit.join(places, "text").join(names, "name").where(~mine | (mine & F.col("next_id").isNotNull()))
+    return each.select("person_id", "game_id", F.col("text").alias("variant"), F.when(mine, F.col("next_at")).otherwise(F.col("at")).alias("ord"))
 
 
 def people_table(facts: DataFrame, shown: DataFrame, games: DataFrame, reviews: DataFrame) -> DataFrame:
