@@ -30,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8 or more), that with the least id."""
+    """One document of each group of near copies (five words, similarity 0.8 or more; by covering tables of SimHashes and bands of MinHashes), that with the least id."""
     return simhash.one_of_each(docs, near=jaccard.near_duplicates, mark=jaccard.name)
 
 

@@ -1,13 +1,18 @@
-r"""Near-duplicates by similarity of shingle sets: MinHash bands, then the exact figure.
+r"""Near-duplicates by similarity of shingle sets: SimHash with covering tables, MinHash bands, then the exact figure.
 
 Words as for :mod:`simhash`; shingles of five words joined by spaces (fewer words:
 the whole sequence), XXH64 with seed 42 of each; a document is the set of these.
 Two sets are linked where Jaccard is at least 0.8, computed on the sets themselves.
 
-Pairs to compare share a band: ``BANDS`` bands of ``ROWS`` MinHash values each, so
-a pair at 0.8 meets with probability 1 - (1 - 0.8^4)^20 = 0.99997, and agree in
-``LEAST`` of the 80 values, which a pair at 0.8 fails to with probability 0.00001.
-Equal sets are one point. Points that share no band leave first; only the others'
+Pairs to compare share a bucket of one of two kinds, and agree in ``LEAST`` of 80
+MinHash values, which a pair at 0.8 fails to with probability 0.00001.
+
+* The covering tables of :mod:`simhash` over the SimHash of a set (the bits that over
+  half of its shingles set): every pair within three bits meets in one of them.
+* ``BANDS`` bands of ``ROWS`` MinHash values each, for similar pairs beyond three bits,
+  which most at 0.8 are: such a pair meets with probability 1 - (1 - 0.8^4)^20 = 0.99997.
+
+Equal sets are one point. Points that share no bucket leave first; only the others'
 sets are taken, by a second reading of the texts behind a bitmap of their hashes.
 
 1. In each bucket a point is compared with the one before that agrees most, among
@@ -35,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, dropped, small_batches, words, written
 from .graph import components
+from .simhash import masks
 
 SIMILAR, SHINGLE, SEED, BANDS, ROWS = 0.8, 5, 42, 20, 4
 LEAST, SMALL, WINDOW, BLOCK = 48, 16, 256, 1024
@@ -62,6 +68,14 @@ def point(s: np.ndarray) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of the set as a signed long: a bit is set where over half of the members set it; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), CHUNK):
+        counts += np.unpackbits(s[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(s)).view(">i8")[0])
+
+
 def least(s: np.ndarray) -> np.ndarray:
     """The MinHash values."""
     out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -92,23 +106,23 @@ def text_hash(raw: bytes) -> int:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp: the set's name, h: the text's hash, keys of its bands, sig: its signature), written to the shared folder."""
+    """(id, fp: the set's name, h: the text's hash, sim: its SimHash, keys of its bands, sig: its signature), written to the shared folder."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for t in b.column(1):
                 text = t.as_py() or ""
                 s = shingles(text)
                 values = least(s)
-                for col, x in zip(rows, (point(s), text_hash(text.encode("utf-8", "replace")), bands(values), signature(values)), strict=True):
+                for col, x in zip(rows, (point(s), text_hash(text.encode("utf-8", "replace")), fingerprint(s), bands(values), signature(values)), strict=True):
                     col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, kinds)], ["id", "fp", "h", "keys", "sig"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows, kinds)], ["id", "fp", "h", "sim", "keys", "sig"])
 
     small_batches(docs.sparkSession)
-    return written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long, h long, keys array<long>, sig binary"))
+    return written(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long, h long, sim long, keys array<long>, sig binary"))
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
@@ -155,7 +169,7 @@ def _signatures(col: pa.Array) -> np.ndarray:
 
 
 def _near(small: int, window: int):
-    """(u, v) of the points of each bucket, which come sorted by band and key."""
+    """(u, v) of the points of each bucket, which come sorted by table and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fps, sigs, size = None, np.empty(0, np.int64), np.empty((0, BANDS * ROWS), np.uint8), 0
@@ -219,7 +233,7 @@ def _across(key: tuple, rows: pa.Table) -> pa.Table:
     bands = sig.view(np.uint32)[:, :t]
     a, b = np.flatnonzero(low), np.flatnonzero(low if low.all() else ~low)
     near = (agreement(sig[a], sig[b]) >= LEAST) & (comp[a][:, None] != comp[b][None, :])
-    for k in range(t):
+    for k in range(min(t, BANDS)):
         near &= bands[a, k][:, None] != bands[b, k][None, :]
     a, b, near = a[near.any(axis=1)], b[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
     u = v = np.empty(0, np.int64)
@@ -248,7 +262,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, sketches: DataFrame, text_col: str, small: int = SMALL, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(u, v): each point that isn't the least of its component, with that least one."""
-    points = sketches.select("fp", "keys").dropDuplicates(["fp"])
+    covering = F.array(*(F.col("sim").bitwiseAND(F.lit(m)) for m in masks()))  # tables BANDS and on
+    points = sketches.select("fp", F.concat("keys", covering).alias("keys")).dropDuplicates(["fp"])
     keyed = points.select("fp", F.posexplode("keys").alias("t", "key")).select("t", "key", "fp")
     bucket = W.partitionBy("t", "key").orderBy("fp")
     met = keyed.withColumn("met", F.coalesce(F.lag("fp").over(bucket), F.lead("fp").over(bucket)).isNotNull()).where("met").drop("met")

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import xxhash
+
 from rollcall.llm import jaccard, simhash
 
 
@@ -75,3 +77,34 @@ def test_large_buckets_lose_no_link(spark):
     for sizes in ({}, {"small": 3, "window": 2, "block": 7}):
         got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, **sizes).collect()}
         assert [got[i] for i in range(len(texts))] == root, sizes
+
+
+def test_covering_tables_join_every_similar_pair_within_three_bits(spark):
+    """The SimHash tables by themselves: bands are given keys that no two points share."""
+    from pyspark.sql import functions as F
+
+    rnd, texts = random.Random(21), []
+    word = lambda: "".join(rnd.choices("abcdefghij", k=5))
+    for k in range(60):
+        w = [word() for _ in range(300)]
+        texts += [" ".join(w), " ".join([*w[:150], word(), *w[151:]]), " ".join([*w[: 10 + k], word(), *w[11 + k :], word()])]
+    base = [word() for _ in range(400)]
+    texts += [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(0, 400, 10)]
+    sets = [brute(t) for t in texts]
+    sims = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in ([xxhash.xxh64_intdigest(x.encode(), 42) for x in s] for s in sets)]
+    assert [jaccard.fingerprint(jaccard.shingles(t)) % 2**64 for t in texts] == sims and jaccard.fingerprint(jaccard.shingles("")) == 0
+    root, similar = list(range(len(texts))), 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        similar += alike(sets[i], sets[j])
+        if alike(sets[i], sets[j]) and bin(sims[i] ^ sims[j]).count("1") <= 3:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert similar > 200 and 60 < len(set(root)) < len(texts) - 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = jaccard.sketched(docs, "doc_id", "text")
+    apart = sketches.withColumn("keys", F.transform("keys", lambda k: F.col("fp")))
+    for sizes in ({}, {"small": 3, "window": 2, "block": 7}):
+        labels = jaccard.link(docs, apart, "text", **sizes)
+        got = {r.doc_id: r.component_id for r in simhash.grouped(sketches.select("id", "fp"), labels, "doc_id").collect()}
+        # a pair of more bits may meet by chance and is then compared as well, so classes may be larger but none is split
+        assert all(got[i] == got[r] for i, r in enumerate(root)), sizes
+        assert all(alike(sets[i], sets[j]) or got[i] != got[j] for i in range(0, 180, 3) for j in range(3, 180, 3) if i != j), sizes
